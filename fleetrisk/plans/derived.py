@@ -60,7 +60,7 @@ def snippet_files(spark: SparkSession, sf_dir: str, items: list[str], paths: lis
 # Token-shaped lines; {n} is replaced by n characters of a hash of the key.
 TOKEN_LINES = [
     "const a = 'ghp_{36}'", "key = sk_live_{32}", "export NPM_TOKEN=npm_{36}", "SECRET: shpat_{32}",
-    "url: postgres://admin:{12}@db.internal:5432/app", "x = 1", "a = 'hvs.{32}' # b = 'hvs.{24}'",
+    "url: postgres://admin:{12}@db.internal:5432/app", "x = 1", "a = 'hvs.{32}' # b = 'hvs.zz{24}'",
     "// pattern: glpat-{20}", "dd_api_key = \"{32}\"", "Authorization: Basic none", "slack: xoxb-{24}",
     "k: /ghp_{36}/", "hook = https://hooks.slack.com/services/T0AB/B0CD/{24}", "{32}-us12",
 ]

@@ -78,7 +78,7 @@ SCANS = (
 
 # The wide nullable form of the tagged union: consumers branch on ``kind``.
 FINDINGS = (
-    "repo string, scan_id string, ord bigint, kind string, rule_id string, rule_name string, severity string, "
+    "repo string, scan_id string, ord string, kind string, rule_id string, rule_name string, severity string, "
     "category string, cwe string, description string, remediation string, file_path string, line_no int, "
     "line_content string, likely_test_fixture boolean, source string, commit_sha string, "
     "commit_date timestamp, commit_author string, validation string, package string, version string, "
