@@ -28,4 +28,4 @@ def glob_regex(glob: Column) -> Column:
 
 def glob_match(text: Column, glob: Column, regex: Column) -> Column:
     """Literal globs compare; only real globs run their precomputed regex."""
-    return F.when(has_glob(glob), text.rlike(regex)).otherwise(text == glob)
+    return F.when(has_glob(glob), F.rlike(text, regex)).otherwise(text == glob)

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetrisk.functions import paths as P
-from fleetrisk.operators import gates, iac, sast, secrets, sensitive
-from fleetrisk.plans import derived as D, snippets as S
+from fleetrisk.functions import paths as P, severity as sev
+from fleetrisk.operators import (
+    attack, calls, catalog, deps, diff, fix, gates, iac, iam, licenses, posture, sarif, sast, score, secrets, sensitive,
+    supply, suppress,
+)
+from fleetrisk.plans import analytics as A, derived as D, snippets as S, views as V
+from fleetrisk.schemas import FINDINGS, conform
 
 AS_OF = "2025-06-01"
 DOC_ENTROPY = 3.0
@@ -106,5 +110,116 @@ def detector_queries() -> dict[str, Query]:
     }
 
 
+def findings(spark: SparkSession, sf: str) -> DataFrame:
+    return conform(V.view(spark, sf, V.FINDINGS_SQL), FINDINGS)
+
+
+def _on_findings(op) -> Query:
+    return lambda spark, sf: op(findings(spark, sf))
+
+
+def _on_scans(op) -> Query:
+    return lambda spark, sf: op(V.view(spark, sf, V.SCANS_SQL))
+
+
+def _now():
+    return F.lit("2024-01-25 00:00:00").cast("timestamp")
+
+
+def _breakdown(f: DataFrame) -> DataFrame:
+    b = score.breakdown(f)
+    parts = ["critical", "high", "medium", "low", "fixture"]
+    return b.select("repo", "scan_id", *[F.round(p, 4).alias(p) for p in parts], "risk_score",
+                    score.health_label(F.col("risk_score")).alias("label"))
+
+
+def _snapshots(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return f.where("scan_id = 's0'"), f.where("scan_id = 's1'")
+
+
+def _fleet_diff(f: DataFrame) -> DataFrame:
+    n = F.substr("scan_id", F.lit(2)).cast("int")
+    pairs = f.select("repo", "scan_id").distinct().withColumn(
+        "prev_scan_id", F.when(n > 0, F.concat(F.lit("s"), (n - 1).cast("string"))))
+    return diff.fleet_diff(f, pairs).groupBy("repo", "scan_id", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _score_delta(f: DataFrame) -> DataFrame:
+    b, a = _snapshots(f)
+    return diff.score_delta(score.breakdown(b), score.breakdown(a))
+
+
+def applied(spark: SparkSession, sf: str) -> DataFrame:
+    as_of = F.lit("2025-06-01 12:00:00").cast("timestamp")
+    return suppress.apply(findings(spark, sf), V.view(spark, sf, V.SUPPRESSIONS_SQL), as_of)
+
+
+def _sarif_totals(f: DataFrame) -> DataFrame:
+    """Results and rules counted back out of the written documents."""
+    d = sarif.documents(f, max_results=500).withColumn("j", F.from_json(
+        "document", "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<struct<ruleId:string>>>>"))
+    return d.groupBy("repo", "scan_id").agg(
+        F.sum(F.size(F.col("j.runs")[0]["results"])).alias("results"),
+        F.max("parts").cast("bigint").alias("parts"))
+
+
+IGNORE_LINES = ["src/** [rule=code/*]", "tests/*", "# a comment", "", "package.json [rule=dependency/lodash] [reason=\"not reachable\"] [expires=2026-01-31]",
+                "docs/a.md [expires=2026-02-30]", "  *.tf\t[reason=soon]", "[rule=x]", "lib/x.js [rule=\"code/js eval\"]"]
+
+
+def _ignore_files(spark: SparkSession, sf: str) -> DataFrame:
+    f = D.snippet_files(spark, sf, IGNORE_LINES, [("", "")]).withColumn("path", F.lit(suppress.IGNORE_FILE))
+    return suppress.parse_ignore_files(f).groupBy("repo", "path_glob", "rule_glob", "reason", "expires", "source_line").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _resolved(f: DataFrame) -> DataFrame:
+    s = sarif.shapes(f).withColumn("catalog_id", catalog.resolve(F.col("sarif_rule")))
+    return s.groupBy("sarif_rule", "catalog_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def finding_queries() -> dict[str, Query]:
+    return {
+        "agg_2_finding_scores": _on_findings(lambda f: score.scored(f).select("ord", F.round("score", 6).alias("score"))),
+        "agg_3_repo_scores": _on_findings(_breakdown),
+        "agg_5_severity_counts": _on_findings(score.severity_counts),
+        "agg_7_category_rollup": _on_findings(lambda f: score.category_rollup(f).select(
+            "repo", "scan_id", "category", "n", sev.rank(F.col("worst")).alias("worst_rank"))),
+        "agg_15_detector_counts": _on_findings(score.detector_counts),
+        "top_1_worst_findings": _on_findings(lambda f: score.top_findings(f, 10).select(
+            "repo", "scan_id", "rank", "ord", F.round("score", 6).alias("score"))),
+        "diff_1_fingerprints": _on_findings(lambda f: f.select("ord", diff.fingerprint().alias("fp"))),
+        "diff_2_snapshot_diff": _on_findings(lambda f: diff.diff(*_snapshots(f)).select("repo", "ord", "change")),
+        "diff_2_score_delta": _on_findings(_score_delta),
+        "diff_3_fleet_diff": _on_findings(_fleet_diff),
+        "sup_1_ignore_files": _ignore_files,
+        "sup_2_applied": lambda spark, sf: applied(spark, sf).where("suppressed").select(
+            "ord", "expired", F.col("suppressed_by.source_line").alias("source_line")),
+        "sup_2_summary": lambda spark, sf: suppress.summary(applied(spark, sf)),
+        "att_3_nodes": _on_findings(attack.nodes), "att_3_edges": _on_findings(attack.edges),
+        "att_4_paths": _on_findings(lambda f: attack.paths(f).select(
+            "repo", "scan_id", "path_id", "title", "severity", F.array_join("steps", " | ").alias("steps"), "live")),
+        "exp_1_sarif_shapes": _on_findings(lambda f: sarif.shapes(f).select("ord", "sarif_rule", "level", "message", "uri", "start_line")),
+        "agg_11_sarif_rules": _on_findings(lambda f: sarif.rules(sarif.shapes(f)).drop("about")),
+        "snk_2_sarif_documents": _on_findings(_sarif_totals),
+        "cat_2_resolved_rules": _on_findings(_resolved),
+        "fix_0_fix_kinds": _on_findings(lambda f: f.withColumn("fix_kind", fix.fix_kind()).where("fix_kind is not null").select("ord", "fix_kind")),
+        "dep_19_vuln_counts": _on_findings(deps.vuln_counts),
+        "win_1_latest_scans": _on_scans(lambda s: diff.latest_scans(s).select("user_id", "owner", "repo", "id", "scanned_at")),
+        "win_2_previous_scan": _on_scans(lambda s: diff.previous_scan(s).select("id", "prev_id", "prev_score")),
+        "src_11_scan_history": _on_scans(lambda s: diff.scan_history(s, "u1").select("id", "scanned_at")),
+        "sql_1_new_users": _on_scans(A.new_users_per_day), "sql_2_scans_per_day": _on_scans(A.scans_per_day),
+        "sql_3_active_users": _on_scans(lambda s: A.active_users(s, _now())),
+        "sql_4_scans_per_user": _on_scans(lambda s: A.scans_per_user(s, _now())),
+        "sql_5_retention": _on_scans(A.retention), "sql_6_top_repos": _on_scans(lambda s: A.top_repos(s, _now())),
+        "sql_7_multi_repo_users": _on_scans(A.multi_repo_users), "sql_8_user_breakdown": _on_scans(A.user_breakdown),
+        "sql_9_stable_ids": lambda spark, sf: A.stabilise_ids(
+            V.view(spark, sf, V.SCANS_SQL), D.table(spark, sf, "customer").select(
+                F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("legacy_id"),
+                F.concat(F.lit("stable-"), F.col("c_custkey").cast("string")).alias("user_id")).where("legacy_id < 'u5'")
+        ).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**detector_queries()}
+    return {**detector_queries(), **finding_queries()}

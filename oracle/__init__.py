@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import detectors
+    from oracle import detectors, findings
 
-    return {**detectors.sql()}
+    return {**detectors.sql(), **findings.sql()}
