@@ -43,10 +43,12 @@ def package_json(files: DataFrame) -> DataFrame:
     sections = [("dependencies", False), ("devDependencies", True), ("optionalDependencies", False)]
     j = F.from_json("content", ", ".join(f"{s} map<string,string>" for s, _ in sections))
     f = _root(files, "package.json").select(*KEY, j.alias("j"))
-    every = F.concat(*[
-        F.transform(F.map_entries(F.coalesce(F.col(f"j.{s}"), F.expr("cast(map() as map<string,string>)"))),
-                    lambda e, dev=dev: F.struct(e["key"].alias("name"), e["value"].alias("spec"), F.lit(dev).alias("dev")))
-        for s, dev in sections])
+
+    def entries(section: str, dev: bool) -> Column:
+        return F.transform(F.map_entries(f"j.{section}"),
+                           lambda e: F.struct(e["key"].alias("name"), e["value"].alias("spec"), F.lit(dev).alias("dev")))
+
+    every = F.flatten(F.array_compact(F.array(*[entries(*s) for s in sections])))
     d = f.select(*KEY, F.explode(every).alias("d"))
     return _deps(d, "package.json", F.col("d.name"), F.regexp_extract("d.spec", f"({_SEMVER_IN})", 1), dev=F.col("d.dev"))
 

@@ -11,7 +11,7 @@ from fleetrisk.operators import (
     attack, calls, catalog, deps, diff, fix, gates, iac, iam, licenses, posture, sarif, sast, score, secrets, sensitive,
     supply, suppress,
 )
-from fleetrisk.plans import analytics as A, derived as D, snippets as S, views as V
+from fleetrisk.plans import analytics as A, derived as D, manifests as M, snippets as S, views as V
 from fleetrisk.schemas import FINDINGS, conform
 
 AS_OF = "2025-06-01"
@@ -221,5 +221,133 @@ def finding_queries() -> dict[str, Query]:
     }
 
 
+def _manifest(m: M.Manifest, op) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return op(m.files(spark, sf)).select("scan_id", "name", "version", "source", "is_transitive", "is_dev")
+    return run
+
+
+def dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    return V.view(spark, sf, V.DEPENDENCIES_SQL)
+
+
+def osv_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """Derived advisories in the nested form of the public dump."""
+    a = V.view(spark, sf, V.ADVISORIES_SQL).where("ecosystem <> 'npm'")
+    t = "cast(null as string)"
+    event = lambda i, f: f"named_struct('introduced', {i}, 'fixed', {f}, 'last_affected', {t})"
+    events = f"if(fixed is null, array({event('introduced', t)}), array({event('introduced', t)}, {event(t, 'fixed')}))"
+    return a.selectExpr(
+        "id", f"{t} as summary", f"if(id like 'CVE-%', array('X-1', concat('GHSA-alias-', id)), cast(array() as array<string>)) as aliases",
+        "if(cvss is null, null, array(named_struct('type', 'CVSS_V3', 'score', cvss))) as severity",
+        "named_struct('severity', db_severity, 'cwe_ids', cast(array() as array<string>)) as database_specific",
+        f"array(named_struct('package', named_struct('name', name, 'ecosystem', ecosystem), 'ranges', array(named_struct('type', 'SEMVER', 'events', {events})), "
+        "'versions', cast(array() as array<string>))) as affected", "cast(array() as array<struct<type:string,url:string>>) as references")
+
+
+def npm_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    a = V.view(spark, sf, V.ADVISORIES_SQL).where("ecosystem = 'npm'")
+    return a.selectExpr("name as package", "db_severity as severity", "concat('Flaw ', id) as title",
+                        "concat('>=', if(introduced = '0', '0.0.0', introduced), coalesce(concat(' <', fixed), '')) as vulnerable_versions",
+                        "concat('https://github.com/advisories/', id) as url", "cast(null as double) as cvss_score")
+
+
+def license_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    return V.view(spark, sf, V.PACKAGE_LICENSES_SQL).selectExpr("ecosystem", "name", "version", "array_compact(array(l1, l2)) as licenses")
+
+
+def registry_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    return V.view(spark, sf, V.REGISTRY_SQL).selectExpr(
+        "name", "status", "created", "if(n_maintainers = 0, cast(array() as array<string>), array('m')) as maintainers", "deprecated")
+
+
+def settings(spark: SparkSession, sf: str) -> DataFrame:
+    s = V.view(spark, sf, V.SETTINGS_SQL)
+    return s.select(
+        "repo", "branch_protected",
+        F.when(F.col("has_bp"), F.struct(F.col("bp_pr").alias("pr_required"), F.col("bp_checks").alias("status_checks_required"),
+                                         F.col("bp_admins").alias("enforce_admins"))).alias("bp_details"),
+        F.when(F.col("has_rs"), F.struct(F.col("rs_pr").alias("pr_required"), F.col("rs_checks").alias("status_checks_required"),
+                                         F.col("rs_signed").alias("signed_commits_required"), F.col("rs_nobypass").alias("no_bypass_actors"))).alias("ruleset"),
+        "has_security_md", "has_license", "has_codeowners", "readme", "has_dependabot_or_renovate", "has_lockfile",
+        F.element_at(F.array(*[F.lit(g) for g in V.GITIGNORES]), (F.col("gitignore_kind") + 1).cast("int")).alias("gitignore"),
+        F.col("signed_commits_ratio").cast("double").alias("signed_commits_ratio"), "mfa_state", "secret_scanning", "workflow_perms", "release_provenance")
+
+
+def rulesets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c = D.table(spark, sf, "customer")
+    rules = c.selectExpr(
+        "concat('org', c_custkey % 5, '/svc', c_custkey % 50) as repo", "'main' as branch",
+        "element_at(array('pull_request', 'required_status_checks', 'required_signatures', 'deletion'), cast(c_custkey % 4 + 1 as int)) as type",
+        "c_custkey % 25 as ruleset_id", "cast(c_nationkey % 3 as int) as n_checks")
+    sets = D.table(spark, sf, "nation").selectExpr(
+        "cast(n_nationkey as bigint) as id", "n_name as name", "if(n_nationkey % 4 = 0, 'disabled', 'active') as enforcement", "n_nationkey % 3 > 0 as bypass_visible",
+        "if(n_nationkey % 2 = 0, array('Team', 'Team', 'App'), cast(array() as array<string>)) as bypass_actor_types", "cast(n_nationkey % 3 as int) as bypass_count")
+    return rules, sets
+
+
+def _iam(spark: SparkSession, sf: str) -> DataFrame:
+    return iam.iam_findings(iam.iam_statements(M.IAM_POLICY.files(spark, sf)))
+
+
+def _supply(spark: SparkSession, sf: str) -> DataFrame:
+    f = M.PACKAGE_JSON.files(spark, sf)
+    return supply.npm_hooks(f).unionByName(supply.registry_signals(f, registry_snapshot(spark, sf), F.lit(AS_OF).cast("timestamp")))
+
+
+def _patches(spark: SparkSession, sf: str) -> DataFrame:
+    docker = D.snippet_files(spark, sf, S.DOCKER, DOCKER_PATHS)
+    flows = D.snippet_files(spark, sf, S.WORKFLOW, WORKFLOW_PATHS, base=8, spread=9)
+    eol = iac.eol_base_images(docker, F.lit(AS_OF).cast("date"))
+    all_f = eol.unionByName(iac.github_actions(flows)).withColumn("ord", F.concat_ws("|", "file_path", F.col("line_no").cast("string"), "rule_id"))
+    p = fix.patches(all_f, docker.unionByName(flows))
+    return p.select("repo", "path", "fix_kind", "summary", F.md5("patched").alias("patched"), F.regexp_extract("ord", r"\|(\d+)\|", 1).cast("int").alias("line_no"))
+
+
+def _dep_bumps(spark: SparkSession, sf: str) -> DataFrame:
+    """Bumps of the advisories found in the derived requirements files."""
+    files = M.REQUIREMENTS.files(spark, sf)
+    d = deps.requirements_txt(files).where("name = 'django' or name = 'pandas'").dropDuplicates(["scan_id", "name", "version"])
+    f = conform(d, FINDINGS, kind=F.lit("dependency"), package=F.col("name"), vulnerable_versions=F.lit(">= 1.0.0, < 9.9.1"), ord=F.col("name"))
+    return fix.patches(f, files).select("scan_id", "ord", "summary", F.md5("patched").alias("patched"))
+
+
+def dependency_queries() -> dict[str, Query]:
+    return {
+        "dep_1_package_json": _manifest(M.PACKAGE_JSON, deps.package_json), "dep_2_package_lock": _manifest(M.PACKAGE_LOCK, deps.package_lock),
+        "dep_3_requirements": _manifest(M.REQUIREMENTS, deps.requirements_txt), "dep_4_pyproject": _manifest(M.PYPROJECT, deps.pyproject_toml),
+        "dep_5_pipfile": _manifest(M.PIPFILE, deps.pipfile), "dep_6_go_mod": _manifest(M.GO_MOD, deps.go_mod),
+        "dep_7_gemfile_lock": _manifest(M.GEMFILE_LOCK, deps.gemfile_lock), "dep_8_pom": _manifest(M.POM, deps.pom_xml),
+        "dep_8_gradle": _manifest(M.GRADLE, deps.gradle), "dep_9_composer": _manifest(M.COMPOSER, deps.composer_lock),
+        "dep_11_dedupe": lambda spark, sf: deps.dedupe(dependencies(spark, sf)).drop("scan_id"),
+        "dep_12_npm_advisories": lambda spark, sf: deps.npm_findings(deps.dedupe(dependencies(spark, sf)), npm_snapshot(spark, sf)).select(
+            "repo", "package", "version", "severity", "title", "ghsa", "is_transitive"),
+        "dep_13_osv_advisories": lambda spark, sf: deps.osv_findings(deps.dedupe(dependencies(spark, sf)), osv_snapshot(spark, sf)).select(
+            "repo", "ecosystem", "package", "version", "rule_id", "severity", "ghsa", "vulnerable_versions", "url", "cvss_score"),
+        "dep_20_degraded": lambda spark, sf: deps.degraded(dependencies(spark, sf), V.view(spark, sf, V.ADVISORIES_SQL).where("ecosystem <> 'Go'").withColumn("detector", F.lit("osv"))),
+        "lic_2_npm_licenses": lambda spark, sf: licenses.npm_licenses(M.PACKAGE_LOCK.files(spark, sf)).select(
+            "scan_id", "package", "version", "license", "license_risk", "severity", "is_transitive"),
+        "lic_3_registry_licenses": lambda spark, sf: licenses.registry_licenses(dependencies(spark, sf), license_snapshot(spark, sf)).select(
+            "repo", "ecosystem", "package", "version", "license", "license_risk", "severity"),
+        "supc_2_typosquats": lambda spark, sf: supply.typosquats(M.TYPO.files(spark, sf), V.view(spark, sf, M.POPULAR_SQL)).select(
+            "scan_id", "package", "severity", "pattern", "evidence"),
+        "supc_4_npm_hooks": lambda spark, sf: supply.npm_hooks(M.PACKAGE_JSON.files(spark, sf)).select("scan_id", "severity", "pattern", "evidence"),
+        "supc_5_python_hooks": lambda spark, sf: supply.python_hooks(M.SETUP_PY.files(spark, sf)).groupBy("scan_id", "severity", "pattern").agg(F.count(F.lit(1)).alias("n")),
+        "supc_6_registry_signals": lambda spark, sf: supply.registry_signals(M.PACKAGE_JSON.files(spark, sf), registry_snapshot(spark, sf), F.lit(AS_OF).cast("timestamp")).select(
+            "scan_id", "category", "severity", "package", "pattern"),
+        "supc_10_scores": lambda spark, sf: supply.supply_scores(_supply(spark, sf)).select("scan_id", "score", "n", "level"),
+        "pos_1_signals": lambda spark, sf: posture.posture_signals(settings(spark, sf)).drop("ord", "points_max", "category"),
+        "pos_8_scores": lambda spark, sf: posture.posture_scores(posture.posture_signals(settings(spark, sf))),
+        "pos_9_quick_wins": lambda spark, sf: posture.quick_wins(posture.posture_signals(settings(spark, sf))),
+        "pos_6_rulesets": lambda spark, sf: posture.ruleset_rollup(*rulesets(spark, sf)),
+        "pos_6_bypass": lambda spark, sf: posture.bypass_findings(*rulesets(spark, sf)).groupBy("repo", "description").agg(F.count(F.lit(1)).alias("n")),
+        "iam_1_12_statement_rules": lambda spark, sf: _iam(spark, sf).select("scan_id", "stmt_no", "rule_id", "severity", "detail"),
+        "iam_s_scores": lambda spark, sf: iam.iam_scores(_iam(spark, sf), M.IAM_POLICY.files(spark, sf)).drop("repo"),
+        "call_1_28_rules": lambda spark, sf: calls.call_rules(calls.call_sites(D.snippet_files(spark, sf, [c for c, _ in M.CALLS], [("src/f", ".ts"), ("tests/f", ".jsx")]))).select(
+            "repo", "file_path", "line_no", "rule_id", "likely_test_fixture"),
+        "fix_2_3_patches": _patches, "fix_1_dependency_bumps": _dep_bumps,
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**detector_queries(), **finding_queries()}
+    return {**detector_queries(), **finding_queries(), **dependency_queries()}

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import detectors, findings
+    from oracle import detectors, findings, supply
 
-    return {**detectors.sql(), **findings.sql()}
+    return {**detectors.sql(), **findings.sql(), **supply.sql()}
