@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.window import WindowSpec
+from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetrisk.functions.structs import named
 from fleetrisk.schemas import FILE_KEY
 
 
@@ -20,47 +20,33 @@ def explode_lines(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
-def file_window(upto: int = 0) -> WindowSpec:
-    """Lines of one file in order, from the first to ``upto`` (0 this line, -1 the one before)."""
-    return (
-        Window.partitionBy(*FILE_KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, upto)
-    )
-
-
-def carried(state: Column, upto: int = 0) -> Column:
-    """Latest non-null ``state`` among the lines so far."""
-    return F.last(state, ignorenulls=True).over(file_window(upto))
-
-
-def running(counter: Column, upto: int = 0) -> Column:
-    return F.sum(counter).over(file_window(upto))
-
-
 def numbered(content: Column, facts=None) -> Column:
     """Array of (n, line, facts…) of one file, without leaving its row."""
 
     def one(line: Column, i: Column) -> Column:
-        extra = [c.alias(k) for k, c in (facts(line) if facts else {}).items()]
-        return F.struct((i + 1).alias("n"), line.alias("line"), *extra)
+        return named(n=i + 1, line=line, **(facts(line) if facts else {}))
 
     return F.transform(F.split(content, "\n", -1), one)
 
 
-def fold_hits(files: DataFrame, facts, init: dict[str, Column], step) -> DataFrame:
-    """Run a small state machine over the lines of each file; one row per line it reports.
+def fold(content: Column, facts, init: dict[str, Column], step) -> Column:
+    """Run a small state machine over the lines of a text; array of (n, line) it reports.
 
     ``facts(line)`` names booleans or numbers per line, ``step(state, fact)`` returns the
-    next state (dict) and whether the line is a hit. The fold runs inside the file's own row,
+    next state (dict) and whether the line is a hit. The fold stays inside the file's own row,
     so block context costs no shuffle.
     """
-    hits_t = "array<struct<n:int,line:string>>"
-    zero = F.struct(*[c.alias(k) for k, c in init.items()], F.array().cast(hits_t).alias("hits"))
+    zero = named(**init, hits=F.array().cast("array<struct<n:int,line:string>>"))
 
     def merge(acc: Column, x: Column) -> Column:
         nxt, hit = step(acc, x)
-        hits = F.when(hit, F.concat(acc["hits"], F.array(F.struct(x["n"], x["line"])))).otherwise(acc["hits"])
-        return F.struct(*[nxt[k].alias(k) for k in init], hits.alias("hits"))
+        hits = F.when(hit, F.concat(acc["hits"], F.array(named(n=x["n"], line=x["line"])))).otherwise(acc["hits"])
+        return named(**{k: nxt[k] for k in init}, hits=hits)
+
+    return F.aggregate(numbered(content, facts), zero, merge)["hits"]
 
-    folded = F.aggregate(numbered(F.col("content"), facts), zero, merge)["hits"]
-    return files.select(*FILE_KEY, F.explode(folded).alias("_h")).select(
+
+def fold_hits(files: DataFrame, facts, init: dict[str, Column], step) -> DataFrame:
+    """One row per line the state machine reports."""
+    return files.select(*FILE_KEY, F.explode(fold(F.col("content"), facts, init, step)).alias("_h")).select(
         *FILE_KEY, F.col("_h.n").alias("line_no"), F.col("_h.line").alias("line"))

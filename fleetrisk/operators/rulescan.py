@@ -1,16 +1,12 @@
-"""Rule packs over lines.
-
-A pack is data: a list of :class:`Rule`. Its patterns become literals of one
-projection, so every task compiles each once. Per language only the matching
-branch runs. A rule-table join would recompile patterns per row, so there is none.
+"""Rules are data. Patterns become literals of one projection, so every task compiles each once;
+a rule-table join would recompile patterns per row, so there is none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 
 @dataclass(frozen=True)
@@ -27,16 +23,6 @@ class Rule:
     framework: str | None = None
 
 
-def _hits(rules: list[Rule], line: Column) -> Column:
-    def one(r: Rule) -> Column:
-        pos = F.regexp_instr(line, F.lit(r.pattern))
-        if r.suppress:
-            pos = F.when(line.rlike(r.suppress), F.lit(0)).otherwise(pos)
-        return F.struct(F.lit(r.id).alias("rule_id"), pos.alias("pos"))
-
-    return F.array(*[one(r) for r in rules])
-
-
 def metadata(rules: list[Rule], *fields: str) -> Column:
     """Foldable map rule id to struct of the named fields; looked up only on hits."""
     items: list[Column] = []
@@ -46,34 +32,3 @@ def metadata(rules: list[Rule], *fields: str) -> Column:
             F.struct(*[F.lit(getattr(r, f)).cast("boolean" if f == "mask" else "string").alias(f) for f in fields]),
         ]
     return F.create_map(*items)
-
-
-def scan_rules(
-    lines: DataFrame,
-    rules: list[Rule],
-    gates: Callable[[tuple[str, ...]], Column],
-    skip: Column | None = None,
-) -> DataFrame:
-    """``lines`` times matching rules: adds rule_id, pos (1-based) and the rule's metadata.
-
-    ``gates`` turns a rule's gate tuple into the condition under which it applies.
-    At most one row per (rule, line).
-    """
-    line = F.col("line")
-    groups: dict[tuple[str, ...], list[Rule]] = {}
-    for r in rules:
-        groups.setdefault(r.gate, []).append(r)
-    empty = F.array().cast("array<struct<rule_id:string,pos:int>>")
-    parts = [F.when(gates(g), _hits(rs, line)).otherwise(empty) for g, rs in groups.items()]
-    base = lines.where(~skip) if skip is not None else lines
-    hit = base.withColumn("_h", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]))
-    hit = hit.where(F.col("_h.pos") > 0)
-    fields = ["name", "severity", "category", "cwe", "mask"]
-    hit = hit.withColumn("_m", F.element_at(metadata(rules, *fields), F.col("_h.rule_id")))
-    return hit.select(
-        *lines.columns,
-        F.col("_h.rule_id").alias("rule_id"),
-        F.col("_h.pos").alias("pos"),
-        F.col("_m.name").alias("rule_name"),
-        *[F.col(f"_m.{f}").alias(f) for f in fields[1:]],
-    )

@@ -11,7 +11,7 @@ from fleetrisk.operators import (
     attack, calls, catalog, deps, diff, fix, gates, iac, iam, licenses, posture, sarif, sast, score, secrets, sensitive,
     supply, suppress,
 )
-from fleetrisk.plans import analytics as A, derived as D, manifests as M, snippets as S, views as V
+from fleetrisk.plans import analytics as A, derived as D, fleet_scan, manifests as M, snippets as S, views as V
 from fleetrisk.schemas import FINDINGS, conform
 
 AS_OF = "2025-06-01"
@@ -349,5 +349,27 @@ def dependency_queries() -> dict[str, Query]:
     }
 
 
+def document_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents: token and entropy secrets, scored, summed and labelled per repository."""
+    files = D.document_files(spark, sf)
+    found = score.flatten({"secrets": secrets.token_secrets(files).unionByName(secrets.entropy_secrets(files, DOC_ENTROPY))})
+    b = score.breakdown(found)
+    n = found.groupBy("repo", "scan_id").agg(F.count(F.lit(1)).alias("findings"))
+    return b.join(n, ["repo", "scan_id"]).select(
+        "repo", "findings", F.round(F.col("high"), 4).alias("high"), F.round(F.col("medium"), 4).alias("medium"), "risk_score",
+        score.health_label(F.col("risk_score")).alias("label"))
+
+
+def _fleet(spark: SparkSession, sf: str) -> DataFrame:
+    """A mixed fleet through the whole scan; findings counted per kind and rule."""
+    from functools import reduce
+    parts = [D.snippet_files(spark, sf, S.JS + S.PY, CODE_PATHS), D.snippet_files(spark, sf, S.DOCKER, DOCKER_PATHS),
+             D.snippet_files(spark, sf, S.TERRAFORM, TERRAFORM_PATHS, base=8, spread=9), D.token_files(spark, sf, S.SCAN_PATHS),
+             M.PACKAGE_LOCK.files(spark, sf), M.REQUIREMENTS.files(spark, sf)]
+    files = reduce(lambda a, b: a.unionByName(b), parts)
+    snap = fleet_scan.Snapshots(npm_advisories=npm_snapshot(spark, sf), osv_advisories=osv_snapshot(spark, sf), package_licenses=license_snapshot(spark, sf))
+    return fleet_scan.findings(files, snap, F.lit(AS_OF).cast("date")).groupBy("kind", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def all_queries() -> dict[str, Query]:
-    return {**detector_queries(), **finding_queries(), **dependency_queries()}
+    return {"fleet_scan_scores": document_scores, "fleet_scan_all_detectors": _fleet, **detector_queries(), **finding_queries(), **dependency_queries()}

@@ -196,8 +196,19 @@ def entropy_secrets(min_entropy: float) -> str:
         f"trim(replace(line, value, {mask('value')})) AS line_content FROM kv4 WHERE rn = 1")
 
 
-def _fw_manifest_text(k: str) -> str:
-    return None
+def document_scores() -> str:
+    tok = " UNION ALL ".join(
+        f"SELECT repo, path, line_no, {q(r.severity)} AS severity, unnest(regexp_extract_all(line, {q(r.pattern)})) AS m, line FROM lines WHERE {rx('line', r.pattern)}"
+        for r in X.SECRET_RULES)
+    ent = entropy_secrets(R.DOC_ENTROPY)
+    cut = ent.rindex(" SELECT repo, path AS file_path")
+    return (ent[:cut] + f", tk AS ({tok}), tk2 AS (SELECT repo, path, severity, strpos(line, m) AS pos, line FROM tk), "
+            f"a AS (SELECT repo, severity, {any_rx('path', P.TEST_PATH_PATTERNS)} AS fx FROM tk2 WHERE {REAL} UNION ALL SELECT repo, CASE WHEN entropy >= 4.5 THEN 'high' ELSE 'medium' END, FALSE FROM kv4 WHERE rn = 1), "
+            "s AS (SELECT repo, count(*) AS findings, sum(CASE WHEN severity = 'critical' THEN 40.0 ELSE 0 END) AS c, sum(CASE WHEN severity = 'high' THEN 15.0 ELSE 0 END) AS h, "
+            "sum(CASE WHEN severity = 'medium' THEN 5.0 ELSE 0 END) AS m, sum(CASE WHEN severity = 'low' THEN 1.0 ELSE 0 END) AS l FROM a GROUP BY repo), "
+            "z AS (SELECT *, least(100, round(25 * log10(1 + (c + h + m + l)::DOUBLE)))::INTEGER AS risk_score FROM s) "
+            "SELECT repo, findings, h::DOUBLE AS high, m::DOUBLE AS medium, risk_score, CASE WHEN 100 - risk_score >= 90 THEN 'Excellent' WHEN 100 - risk_score >= 70 THEN 'Good' "
+            "WHEN 100 - risk_score >= 50 THEN 'Needs attention' ELSE 'Critical' END AS label FROM z")
 
 
 def framework_rules() -> str:
@@ -246,7 +257,7 @@ def sql() -> dict[str, str]:
     js_py = S.JS + S.PY
     ai_shown = f"NOT {prose('line', 'pos')}"
     return {
-        "flt_path_facts": path_facts(), "flt_coverage": coverage(), "top_2_file_priority": priority(),
+        "fleet_scan_scores": document_scores(), "flt_path_facts": path_facts(), "flt_coverage": coverage(), "top_2_file_priority": priority(),
         "sfn_1_sensitive_files": sensitive(), "sec_1_token_secrets": token_secrets(), "sec_3_entropy_secrets": entropy_secrets(R.DOC_ENTROPY),
         "sast_1_code_vulns": _code(js_py, R.CODE_PATHS, C.SAST_RULES, skip=COMMENT),
         "biz_1_business_logic": _code(js_py, R.CODE_PATHS, C.BIZ_RULES, skip=f"regexp_matches(line, '^\\s*(//|\\*)') OR ({LANG} = 'python' AND regexp_matches(line, '^\\s*#'))"),
