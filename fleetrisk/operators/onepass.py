@@ -14,13 +14,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetrisk.functions.needles import may_match
 from fleetrisk.functions.paths import is_test_like
 from fleetrisk.functions.structs import named
 from fleetrisk.functions.text import clip, self_reference
 from fleetrisk.operators.rulescan import Rule, metadata
 from fleetrisk.schemas import FILE_KEY, FINDINGS, conform
 
-HIT = "struct<pack:string,rule_id:string,pos:int,n:int,line:string,severity:string,description:string>"
+HIT = "struct<rule_id:string,pos:int,n:int,line:string,severity:string,description:string>"
 
 
 @dataclass(frozen=True)
@@ -38,21 +39,15 @@ class Family:
     show: Callable[[], Column] = lambda: clip(F.col("line"))
     own_patterns: bool = True  # drop hits inside detector definitions
     matches: bool = False  # every match of a rule is a hit of its own
-    prefilter: str | None = None  # a pattern every line with a hit contains
 
     def all_rules(self) -> list[Rule]:
         return [*self.rules, *[r for r, _ in self.conditions], *self.reports]
 
 
-def line_hit(pack: str, rule_id: str, pos: Column) -> Column:
-    none = F.lit(None).cast("string")
-    return named(pack=F.lit(pack), rule_id=F.lit(rule_id), pos=pos.cast("int"), n=F.lit(None).cast("int"), line=none, severity=none, description=none)
-
-
-def file_hit(pack: str, rule_id: str, at: Column, severity: Column | None = None, description: Column | None = None) -> Column:
+def file_hit(rule_id: str, at: Column, severity: Column | None = None, description: Column | None = None) -> Column:
     """``at`` is a struct with n and line."""
     none = F.lit(None).cast("string")
-    return named(pack=F.lit(pack), rule_id=F.lit(rule_id), pos=F.lit(1), n=at["n"], line=at["line"],
+    return named(rule_id=F.lit(rule_id), pos=F.lit(1), n=at["n"], line=at["line"],
                  severity=none if severity is None else severity, description=none if description is None else description)
 
 
@@ -60,26 +55,24 @@ def _empty() -> Column:
     return F.array().cast(f"array<{HIT}>")
 
 
-def _line_hits(fam: Family, on: Column) -> list[Column]:
+def _line_hits(fam: Family) -> Column:
+    """Hits of one family on a line as text, ``id:offset,`` each; empty without a hit.
+
+    A miss costs a regex test and allocates nothing; offsets are computed on hits only.
+    """
     line = F.col("line")
-    live = on & ~fam.skip() if fam.skip else on
-    if fam.prefilter:
-        live = live & line.rlike(fam.prefilter)
-    groups: dict[tuple[str, ...], list[Column]] = {}
+    found = []
     for r in fam.rules:
-        pos = F.regexp_instr(line, F.lit(r.pattern))
+        quick = may_match(F.col("_lower"), r.pattern)
+        hit = fam.rule_gate(r.gate) & (line.rlike(r.pattern) if quick is None else quick & line.rlike(r.pattern))
         if r.suppress:
-            pos = F.when(line.rlike(r.suppress), F.lit(0)).otherwise(pos)
-        groups.setdefault(r.gate, []).append(line_hit(fam.name, r.id, pos))
-    out = [F.when(live & fam.rule_gate(g), F.array(*hs)).otherwise(_empty()) for g, hs in groups.items()]
-    if fam.conditions:
-        hs = [line_hit(fam.name, r.id, F.when(c(), 1).otherwise(0)) for r, c in fam.conditions]
-        out.append(F.when(live, F.array(*hs)).otherwise(_empty()))
-    return out
-
-
-def _concat(parts: list[Column]) -> Column:
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+            hit = hit & ~line.rlike(r.suppress)
+        found.append(F.when(hit, F.concat(F.lit(f"{r.id}:"), F.regexp_instr(line, F.lit(r.pattern)).cast("string"), F.lit(","))))
+    found += [F.when(cond(), F.lit(f"{r.id}:1,")) for r, cond in fam.conditions]
+    live = F.col(f"_g_{fam.name}")
+    if fam.skip:
+        live = live & ~fam.skip()
+    return F.when(live, F.concat_ws("", *found))
 
 
 def scan_files(files: DataFrame, families: list[Family]) -> DataFrame:
@@ -91,17 +84,50 @@ def scan_files(files: DataFrame, families: list[Family]) -> DataFrame:
     extra = [c for c in f.columns if c not in (*files.columns, "content")]
     flags = {f"_g_{fam.name}": F.coalesce(fam.gate(), F.lit(False)) for fam in families}
     f = f.withColumns(flags).where(reduce(lambda a, b: a | b, [F.col(g) for g in flags]))
-    whole = [F.when(F.col(f"_g_{fam.name}"), _concat(fam.file_rules())).otherwise(_empty()) for fam in families if fam.file_rules]
-    fh = _concat(whole) if whole else _empty()
-    f = f.select(*FILE_KEY, *extra, *flags, fh.alias("_fh"), F.posexplode(F.split("content", "\n", -1)).alias("_p", "line"))
-    per_line = [h for fam in families for h in _line_hits(fam, F.col(f"_g_{fam.name}"))]
-    hits = _concat([*per_line, F.when(F.col("_p") == 0, F.col("_fh")).otherwise(_empty())])
-    h = f.select(*FILE_KEY, *extra, "_p", F.col("line").alias("_line"), F.explode(hits).alias("h")).where(F.col("h.pos") > 0)
-    return h.select(*FILE_KEY, *extra, F.col("h.pack").alias("pack"), F.col("h.rule_id").alias("rule_id"), F.col("h.pos").alias("pos"),
+    whole = [F.when(F.col(f"_g_{fam.name}"), F.concat(*fam.file_rules())).otherwise(_empty()) for fam in families if fam.file_rules]
+    if whole:
+        f = f.withColumn("_fh", F.concat(*whole))
+    keep = [*FILE_KEY, *extra, *flags, *(["_fh"] if whole else [])]
+    f = f.select(*keep, F.posexplode(F.split("content", "\n", -1)).alias("_p", "line"))
+    h = _hits_of(f, families, [*FILE_KEY, *extra, "_p"], bool(whole))
+    return h.select(*FILE_KEY, *extra, "pack", F.col("h.rule_id").alias("rule_id"), F.col("h.pos").alias("pos"),
                     F.coalesce("h.n", F.col("_p") + 1).alias("line_no"), F.coalesce("h.line", "_line").alias("line"),
                     F.col("h.severity").alias("_sev"), F.col("h.description").alias("description"))
 
 
+def scan_lines(lines: DataFrame, family: Family) -> DataFrame:
+    """Hits of one family on a table that already has a ``line`` column; every match when it wants them."""
+    keep = [c for c in lines.columns if c != "line"]
+    f = lines.withColumn(f"_g_{family.name}", F.lit(True)).withColumn("_p", F.lit(0))
+    h = _hits_of(f, [family], keep, False)
+    h = h.select(*keep, "pack", F.col("_line").alias("line"), F.col("h.rule_id").alias("rule_id"), F.col("h.pos").alias("pos"))
+    return _every_match(h, [family])
+
+
+def _hits_of(f: DataFrame, families: list[Family], keep: list[str], whole: bool) -> DataFrame:
+    """``keep``, pack, _line and h, one row per hit of the lines in ``f``."""
+    with_rules = [fam for fam in families if fam.rules or fam.conditions]
+    f = f.withColumn("_lower", F.lower("line"))
+    # A higher-order function keeps this projection out of whole-stage code: one fused method with
+    # hundreds of rules is too long for the JIT, separate short ones are not.
+    f = f.withColumns({"_hits": F.concat_ws("", *[_line_hits(fam) for fam in with_rules]) if with_rules else F.lit(""),
+                       "_read": F.exists(F.array("_p"), lambda p: p >= 0)})
+
+    def parse(token: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return named(rule_id=F.substring_index(token, ":", 1), pos=F.substring_index(token, ":", -1).cast("int"), n=F.lit(None).cast("int"),
+                     line=none, severity=none, description=none)
+
+    # The explode is the only filter: a where() on the hits would be pushed below and run every rule twice.
+    hits = F.when((F.col("_hits") != "") & F.col("_read"), F.transform(F.filter(F.split("_hits", ","), lambda t: t != ""), parse))
+    if whole:
+        own = F.when((F.col("_p") == 0) & (F.size("_fh") > 0), F.col("_fh"))
+        hits = F.when(own.isNull(), hits).otherwise(F.concat(F.coalesce(hits, _empty()), own))
+    packs = F.create_map(*[F.lit(x) for fam in families for i in dict.fromkeys(r.id for r in fam.all_rules()) for x in (i, fam.name)])
+    h = f.select(*keep, F.col("line").alias("_line"), F.explode(hits).alias("h"))
+    return h.withColumn("pack", F.element_at(packs, F.col("h.rule_id")))
+
+
 def _every_match(hits: DataFrame, families: list[Family]) -> DataFrame:
     """One row per match for the families that want it; offsets searched left to right."""
     many = [fam for fam in families if fam.matches]

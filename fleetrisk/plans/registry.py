@@ -12,7 +12,9 @@ from fleetrisk.operators import (
     supply, suppress,
 )
 from fleetrisk.plans import analytics as A, derived as D, fleet_scan, manifests as M, snippets as S, views as V
+from fleetrisk.plans.materialise import materialise
 from fleetrisk.schemas import FINDINGS, conform
+from fleetrisk.streaming import incremental, quota
 
 AS_OF = "2025-06-01"
 DOC_ENTROPY = 3.0
@@ -366,10 +368,59 @@ def _fleet(spark: SparkSession, sf: str) -> DataFrame:
     parts = [D.snippet_files(spark, sf, S.JS + S.PY, CODE_PATHS), D.snippet_files(spark, sf, S.DOCKER, DOCKER_PATHS),
              D.snippet_files(spark, sf, S.TERRAFORM, TERRAFORM_PATHS, base=8, spread=9), D.token_files(spark, sf, S.SCAN_PATHS),
              M.PACKAGE_LOCK.files(spark, sf), M.REQUIREMENTS.files(spark, sf)]
-    files = reduce(lambda a, b: a.unionByName(b), parts)
+    files = materialise(reduce(lambda a, b: a.unionByName(b), parts))
     snap = fleet_scan.Snapshots(npm_advisories=npm_snapshot(spark, sf), osv_advisories=osv_snapshot(spark, sf), package_licenses=license_snapshot(spark, sf))
     return fleet_scan.findings(files, snap, F.lit(AS_OF).cast("date")).groupBy("kind", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+PATCH_LINES = ["@@ -1,4 +10,6 @@ def", "+const a = 'ghp_{36}'", " context", "-const b = 'ghp_{36}'", "+++ b/x", "--- a/x", "+key = sk_live_{32}",
+               "@@ -40 +70,2 @@", "\\ No newline at end of file", "+plain", "+url: postgres://admin:{12}@db:5432/app", ""]
+
+
+def commits(spark: SparkSession, sf: str) -> DataFrame:
+    """One commit per order, its patch made of the lines above; a third belong to one repository."""
+    k = F.col("o_orderkey")
+    hexed = F.concat(F.md5((k % 40).cast("string")), F.md5((k % 40 + 1).cast("string")))
+    text = D.snippet_text(PATCH_LINES, k, 5, 7)
+    for n in (12, 32, 36):
+        text = F.replace(text, F.lit("{%d}" % n), F.substring(hexed, 1, n))
+    o = D.split_small(D.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
+    patch = F.struct(F.concat(F.lit("src/f"), (k % 6).cast("string"), F.lit(".ts")).alias("filename"), F.lit("modified").alias("status"), text.alias("patch"))
+    return o.select(D.repo_of(k).alias("repo"), F.lit("s1").alias("scan_id"), F.concat(F.lit("c"), k.cast("string")).alias("sha"),
+                    F.lit("dev").alias("author_name"), F.col("o_orderdate").alias("author_date"), F.lit(None).cast("string").alias("committer_name"),
+                    F.lit(None).cast("timestamp").alias("committer_date"), (k % 4 != 0).alias("verified"), F.array(patch).alias("files"))
+
+
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    """History secrets minus those the tree still holds."""
+    k = F.col("o_orderkey")
+    tree = D.snippet_files(spark, sf, ["x = 1"], [("src/f", ".ts")]).limit(0)
+    held = D.split_small(D.table(spark, sf, "orders").select("o_orderkey").where("o_orderkey % 4 = 0")).select(
+        D.repo_of(k).alias("repo"), F.lit("s1").alias("scan_id"), F.concat(F.lit("src/f"), (k % 6).cast("string"), F.lit(".ts")).alias("path"), F.lit(10).cast("bigint").alias("size"),
+        F.concat(F.lit("const a = 'ghp_"), F.substring(F.concat(F.md5((k % 40).cast("string")), F.md5((k % 40 + 1).cast("string"))), 1, 36), F.lit("'")).alias("content"))
+    tree = secrets.token_secrets(tree.select(*held.columns).unionByName(held))
+    return secrets.history_secrets(commits(spark, sf), tree).select("repo", "file_path", "line_no", "rule_id", "line_content", "commit_sha")
+
+
+def rate_events(spark: SparkSession, sf: str) -> DataFrame:
+    return D.table(spark, sf, "events").select(
+        F.when(F.col("user_id") % 3 == 0, "u-hot").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("key"), "ts")
+
+
+def scan_events(spark: SparkSession, sf: str) -> DataFrame:
+    return D.table(spark, sf, "events").select("ts", (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "view").alias("degraded"), F.col("value").alias("duration_ms"))
+
+
+def stream_queries() -> dict[str, Query]:
+    return {
+        "sec_4_added_lines": lambda spark, sf: secrets.added_lines(commits(spark, sf)).select("sha", "path", "line_no", "line"),
+        "sec_5_history_secrets": history,
+        "pos_4_signed_ratio": lambda spark, sf: posture.signed_ratio(commits(spark, sf)).select("repo", F.round("signed_commits_ratio", 6).alias("ratio")),
+        "str_1_quota": lambda spark, sf: quota.quota(rate_events(spark, sf), quota.Policy(3)).drop("id"),
+        "str_4_event_counters": lambda spark, sf: incremental.event_counters(scan_events(spark, sf)).withColumn("mean_ms", F.round("mean_ms", 4)),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {"fleet_scan_scores": document_scores, "fleet_scan_all_detectors": _fleet, **detector_queries(), **finding_queries(), **dependency_queries()}
+    return {"fleet_scan_scores": document_scores, "fleet_scan_all_detectors": _fleet, **detector_queries(), **finding_queries(),
+            **dependency_queries(), **stream_queries()}
