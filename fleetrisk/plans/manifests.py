@@ -118,6 +118,14 @@ IAM_ITEM = (f'{{"Effect":"<<{case_of("o_orderkey + i", ["Allow", "Allow", "Deny"
             f'"Resource":"<<{case_of("o_orderkey + i * 2", ["*", "arn:aws:s3:::b"])}>>"<<{case_of("o_orderkey + i * 5", PRINCIPALS)}>><<{case_of("o_orderkey + i * 7", CONDITIONS)}>>}}')
 IAM_POLICY = Manifest("iam/policy.json", '{"Version":"2012-10-17","Statement":[', IAM_ITEM, ",\n", "]}", "(1 + o_orderkey % 3)")
 
+# Container reports: vulnerability results with fields in the message, and one that is none.
+_nl = "<<chr(92) || 'n'>>"
+SARIF_REPORT = Manifest(
+    f"<<{case_of('o_orderkey', ['trivy-results.sarif', 'trivy.sarif', '.github/trivy-results.sarif', 'other.sarif'])}>>",
+    '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"x","rules":[{"id":"CVE-1","name":"OsPackage","shortDescription":{"text":"short one"},"helpUri":"https://h/1","properties":{"security-severity":"<<o_orderkey % 10>>.5","tags":["vulnerability"]}},{"id":"KSV1","properties":{"tags":["misconfiguration"]}}]}},"results":[',
+    f'{{"ruleId":"<<{case_of("o_orderkey + i", ["CVE-1", "GHSA-x", "KSV1", "CVE-2"])}>>","level":"<<{case_of("i", ["error", "warning", "note"])}>>","message":{{"text":"Package: pkg<<o_orderkey % 30>>{_nl}Installed Version: 1.<<i>>{_nl}<<{case_of("o_orderkey + i * 2", ["Severity: HIGH", "Title: none", "Severity: MODERATE"])}>>{_nl}Fixed Version: 2.<<i>>"}}}}',
+    ",", "]}]}", "(1 + o_orderkey % 3)")
+
 # Call sites: (line, rules it must raise).
 CALLS = [
     ("db.query(`SELECT a FROM t WHERE id = ${req.body.id}`)", ["sql-injection-template"]),

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetrisk.functions import paths as P, severity as sev
+from fleetrisk.functions import paths as P, severity as sev, text
 from fleetrisk.operators import (
     attack, calls, catalog, deps, diff, fix, gates, iac, iam, licenses, posture, sarif, sast, score, secrets, sensitive,
     supply, suppress,
 )
 from fleetrisk.plans import analytics as A, derived as D, fleet_scan, manifests as M, snippets as S, views as V
+from fleetrisk.operators.lines import explode_lines
 from fleetrisk.plans.materialise import materialise
 from fleetrisk.schemas import FINDINGS, conform
+from fleetrisk.sources import tables
 from fleetrisk.streaming import incremental, quota
 
 AS_OF = "2025-06-01"
@@ -421,6 +423,50 @@ def stream_queries() -> dict[str, Query]:
     }
 
 
+PRESENCE_PATHS = [("", p) for ps in posture.PRESENCE.values() for p in ps] + [("src/x", ".ts")]
+
+
+def _presence(spark: SparkSession, sf: str) -> DataFrame:
+    """Presence flags of derived repositories; the key in the path is dropped so names are exact."""
+    f = D.snippet_files(spark, sf, S.WORKFLOW, PRESENCE_PATHS).withColumn("path", F.regexp_replace("path", r"^\d+", ""))
+    flows = D.snippet_files(spark, sf, S.WORKFLOW + ["      attestations: write"], WORKFLOW_PATHS)
+    key = F.concat("repo", F.lit("-"), F.pmod(F.length("content"), F.lit(97)).cast("string"))
+    g = posture.file_signals(f.unionByName(flows).withColumn("repo", key))
+    return g.select("repo", *posture.PRESENCE, "release_provenance")
+
+
+def misc_queries() -> dict[str, Query]:
+    def binary(spark, sf):
+        d = D.table(spark, sf, "documents").withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit(" "), F.lit("\u0001"))).otherwise(F.col("text")))
+        return d.select("doc_id", gates.looks_binary(F.col("text")).alias("is_binary"))
+
+    def identifiers(spark, sf):
+        p = F.regexp_replace("url", r"^https?://[^/]+/?", "")
+        ref = F.regexp_replace(p, r"[?#].*$", "")
+        return D.table(spark, sf, "pages").select("page_id", gates.is_safe_repo_path(p).alias("path_ok"), gates.is_safe_git_ref(ref).alias("ref_ok"),
+                                                  gates.is_safe_owner_repo(F.substring_index(ref, "/", 1)).alias("owner_ok"))
+
+    def urls(spark, sf):
+        u = F.regexp_replace("url", r"^(https?://)[^/]+", "$1github.com")
+        u = F.when(F.col("page_id") % 3 == 0, F.regexp_replace(u, "^https?://", "")).when(F.col("page_id") % 7 == 0, F.col("url")).otherwise(u)
+        return D.table(spark, sf, "pages").select("page_id", tables.repo_from_url(u).alias("repo"))
+
+    def self_refs(spark, sf):
+        f = D.snippet_files(spark, sf, S.JS, [("src/f", ".ts")])
+        l = explode_lines(f).withColumn("pos", F.instr("line", "e")).where("pos > 0")
+        return l.select("repo", "path", "line_no", text.self_reference(F.col("line"), F.col("pos")).alias("self_reference"))
+
+    return {
+        "flt_3_binary": binary, "flt_10_self_reference": self_refs, "flt_12_identifiers": identifiers, "sf_7_repo_urls": urls,
+        "sf_1_entropy": lambda spark, sf: D.split_small(D.table(spark, sf, "documents").select("doc_id", "text")).select(
+            "doc_id", F.round(text.shannon_entropy(F.col("text")), 6).alias("entropy")),
+        "fw_2_frameworks": lambda spark, sf: sast.detect_frameworks(manifest_files(spark, sf)).select("repo", "framework"),
+        "src_8_container_reports": lambda spark, sf: sarif.container_findings(sarif.container_reports(M.SARIF_REPORT.files(spark, sf))).select(
+            "scan_id", "package", "version", "severity", "title", "ghsa", "vulnerable_versions", "cvss_score", "url"),
+        "pos_2_file_signals": _presence,
+    }
+
+
 def all_queries() -> dict[str, Query]:
     return {"fleet_scan_scores": document_scores, "fleet_scan_all_detectors": _fleet, **detector_queries(), **finding_queries(),
-            **dependency_queries(), **stream_queries()}
+            **dependency_queries(), **stream_queries(), **misc_queries()}

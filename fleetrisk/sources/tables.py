@@ -118,7 +118,7 @@ def suppression_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def repo_from_url(url: Column) -> Column:
-    """``owner/name`` from a repository URL or short form, null when it is neither."""
-    m = r"^(?:(?:https?://)?(?:www\.)?github\.com/|git@github\.com:)?([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?(?:[/?#].*)?$"
+    """``owner/name`` of a github.com address, with or without scheme, ``.git`` or a deeper path; else null."""
+    m = r"^(?i:(?:https?://)?github\.com)/+([A-Za-z0-9._-]+)/+([A-Za-z0-9._-]+)(?:[/?#].*)?$"
     t = F.trim(url)
-    return F.when(t.rlike(m), F.concat(F.regexp_extract(t, m, 1), F.lit("/"), F.regexp_extract(t, m, 2)))
+    return F.when(t.rlike(m), F.concat(F.regexp_extract(t, m, 1), F.lit("/"), F.regexp_replace(F.regexp_extract(t, m, 2), r"\.git$", "")))

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import detectors, findings, streams, supply
+    from oracle import detectors, findings, misc, streams, supply
 
-    return {**detectors.sql(), **findings.sql(), **supply.sql(), **streams.sql()}
+    return {**detectors.sql(), **findings.sql(), **supply.sql(), **streams.sql(), **misc.sql()}
