@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetrisk.functions import severity as sev
+from fleetrisk.functions.structs import named
 
 # Secret id prefixes to (domain, capability, assets); first group wins.
 BLAST = [
@@ -38,15 +37,11 @@ EXPOSURE = r"s3-public|public-access|wildcard|world-ingress|publicly-accessible|
 
 
 def blast_radius(rule_id: Column) -> Column:
-    """struct(domain, capability, assets) of a secret id, or null."""
-    out = None
-    rid = F.lower(rule_id)
-    for prefixes, domain, capability, assets in BLAST:
-        hit = reduce(lambda a, b: a | b, [rid.startswith(p) for p in prefixes])
-        val = F.struct(F.lit(domain).alias("domain"), F.lit(capability).alias("capability"),
-                       F.array(*[F.lit(a) for a in assets]).alias("assets"))
-        out = F.when(hit, val) if out is None else out.when(hit, val)
-    return out
+    """struct(domain, capability, assets) of a secret id, or null: one prefix match and a literal map."""
+    prefix = F.regexp_extract(F.lower(rule_id), "^(" + "|".join(p for ps, *_ in BLAST for p in ps) + ")", 1)
+    table = F.create_map(*[x for ps, domain, capability, assets in BLAST for p in ps for x in (
+        F.lit(p), named(domain=F.lit(domain), capability=F.lit(capability), assets=F.array(*[F.lit(a) for a in assets])))])
+    return F.try_element_at(table, prefix)
 
 
 def _live_fixture_free() -> Column:

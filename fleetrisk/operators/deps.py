@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetrisk.functions import severity as sev
-from fleetrisk.functions.versions import in_interval, interval_text, intervals, satisfies, version_key
+from fleetrisk.functions.versions import in_interval, in_range, interval_text, intervals, keyed, parse_range, version_key
 from fleetrisk.operators.lines import explode_lines, fold_hits
 from fleetrisk.schemas import DEPENDENCIES, as_findings, conform
 
@@ -239,9 +239,12 @@ def npm_findings(deps: DataFrame, advisories: DataFrame, strict: bool = True) ->
     then return to the repositories. A package half the fleet uses is a single row in that join.
     """
     npm = deps.where(F.col("ecosystem") == "npm")
-    m = npm.select("name", "version").distinct().join(advisories.withColumnRenamed("package", "name"), "name")
+    adv = advisories.withColumnRenamed("package", "name").withColumn("_range", parse_range(F.col("vulnerable_versions")))
+    uniq = npm.select("name", "version").distinct().withColumn("_vk", version_key(F.col("version")))
+    m = uniq.join(adv, "name")
     if strict:
-        m = m.where(satisfies(F.col("version"), F.col("vulnerable_versions")))
+        m = m.where(in_range(F.col("_vk"), F.col("_range")))
+    m = m.drop("_vk", "_range")
     j = npm.join(m, ["name", "version"])
     return as_findings(j, "dependency", rule_id=F.col("name"), package=F.col("name"), severity=sev.normalize(F.col("severity")),
                        ghsa=F.nullif(F.regexp_extract("url", r"(GHSA-[\w-]+)", 1), F.lit("")))
@@ -263,7 +266,7 @@ def osv_affected(osv: DataFrame) -> DataFrame:
            .when(F.col("id").startswith("GO-"), F.concat(F.lit("https://pkg.go.dev/vuln/"), "id"))
            .otherwise(F.coalesce(ref, F.concat(F.lit("https://osv.dev/vulnerability/"), "id"))))
     return a.select(
-        "id", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), "iv",
+        "id", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), keyed(F.col("iv")).alias("iv"),
         F.col("a.versions").alias("versions"), F.when(text == "", "unknown").otherwise(text).alias("vulnerable_versions"),
         F.coalesce("summary", "id").alias("title"), ghsa.alias("ghsa"), cvss.alias("cvss_score"), url.alias("url"),
         F.when(db.isNotNull() | cvss.isNull(), sev.normalize(db)).otherwise(sev.from_cvss(cvss)).alias("severity"),
@@ -273,7 +276,7 @@ def osv_affected(osv: DataFrame) -> DataFrame:
 def is_affected() -> Column:
     """The installed version lies in one of the advisory's intervals or in its version list."""
     listed = F.coalesce(F.array_contains("versions", F.col("version")), F.lit(False))
-    return listed | F.exists("iv", lambda x: in_interval(F.col("vk"), x["introduced"], x["fixed"], x["last_affected"]))
+    return listed | F.exists("iv", lambda x: in_interval(F.col("vk"), x))
 
 
 def osv_findings(deps: DataFrame, osv: DataFrame) -> DataFrame:

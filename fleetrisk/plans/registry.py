@@ -357,9 +357,7 @@ def document_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents: token and entropy secrets, scored, summed and labelled per repository."""
     files = D.document_files(spark, sf)
     found = score.flatten({"secrets": secrets.token_secrets(files).unionByName(secrets.entropy_secrets(files, DOC_ENTROPY))})
-    b = score.breakdown(found)
-    n = found.groupBy("repo", "scan_id").agg(F.count(F.lit(1)).alias("findings"))
-    return b.join(n, ["repo", "scan_id"]).select(
+    return score.breakdown(found).select(
         "repo", "findings", F.round(F.col("high"), 4).alias("high"), F.round(F.col("medium"), 4).alias("medium"), "risk_score",
         score.health_label(F.col("risk_score")).alias("label"))
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.plans.derived import TABLES, table
+from fleetrisk.plans.derived import TABLES, split_small, table
 
 
 def case_of(expr: str, items: list[str | None]) -> str:
@@ -145,7 +145,7 @@ FROM {part} GROUP BY p_partkey % 60
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the texts above on the tables of ``sf_dir``."""
-    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    used = {t: split_small(table(spark, sf_dir, t)) for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql, **used)
 
 
