@@ -7,9 +7,8 @@ hold none of the literals, which is nearly every line, the regex is never reache
 from __future__ import annotations
 
 import re
-from functools import reduce
 
-from pyspark.sql import Column
+from fleetrisk.functions.structs import sql_str
 
 _MIN, _MAX_ALTERNATIVES = 2, 16
 
@@ -63,7 +62,7 @@ def needles(pattern: str) -> list[str]:
     return sorted(found) if found and min(map(len, found)) >= _MIN and all(n.isascii() for n in found) else []
 
 
-def may_match(lowered: Column, pattern: str) -> Column | None:
-    """Cheap necessary condition on the lower-case line, or None when there is none."""
+def may_match(lowered: str, pattern: str) -> str:
+    """SQL of the cheap necessary condition on the lower-case column; empty when there is none."""
     found = needles(pattern)
-    return reduce(lambda a, b: a | b, [lowered.contains(n) for n in found]) if found else None
+    return "(" + " OR ".join(f"contains({lowered}, {sql_str(n)})" for n in found) + ")" if found else ""

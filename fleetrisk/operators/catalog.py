@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetrisk.functions import severity as sev
+from fleetrisk.functions.structs import sql_map
 from fleetrisk.rules import calls, iac, sast, secrets, sensitive
 
 # Infrastructure layers and the order in which a bare iac/ id tries them.
@@ -45,7 +46,7 @@ def by_severity(catalog: DataFrame) -> DataFrame:
 
 def resolve(sarif_id: Column) -> Column:
     """Catalogue id of a finding's SARIF rule id, or null. A literal map: no join, no shuffle."""
-    known = F.create_map(*[F.lit(x) for e in entries() for x in (e[0], e[0])])
+    known = sql_map([(e[0], e[0]) for e in entries()])
     rest = F.substr(sarif_id, F.instr(sarif_id, "/") + 1)
     tries = [sarif_id, F.when(sarif_id.startswith("code/"), F.concat(F.lit("ast/"), rest))]
     tries += [F.when(sarif_id.startswith("iac/"), F.concat(F.lit(f"iac/{s}/"), rest)) for s, _, _ in _IAC_LAYERS]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetrisk.functions.needles import may_match
 from fleetrisk.functions.paths import is_test_like
-from fleetrisk.functions.structs import named
+from fleetrisk.functions.structs import named, sql_map, sql_str
 from fleetrisk.functions.text import clip, self_reference
 from fleetrisk.operators.rulescan import Rule, metadata
 from fleetrisk.schemas import FILE_KEY, FINDINGS, conform
@@ -55,24 +55,27 @@ def _empty() -> Column:
     return F.array().cast(f"array<{HIT}>")
 
 
-def _line_hits(fam: Family) -> Column:
+def _gates(fam: Family) -> dict[str, Column]:
+    """File columns that say whether the family, and each gate of its rules, applies."""
+    own = F.coalesce(fam.gate(), F.lit(False))
+    by_gate = {f"_g_{fam.name}_{'_'.join(g)}": F.coalesce(fam.rule_gate(g), F.lit(False)) for g in {r.gate for r in fam.rules}}
+    return {f"_g_{fam.name}": own, **by_gate}
+
+
+def _line_hits(fam: Family) -> list[Column]:
     """Hits of one family on a line as text, ``id:offset,`` each; empty without a hit.
 
-    A miss costs a regex test and allocates nothing; offsets are computed on hits only.
+    A miss costs a literal test and allocates nothing; offsets are computed on hits only.
     """
-    line = F.col("line")
+    live = f"`_v_{fam.name}`"
     found = []
     for r in fam.rules:
-        quick = may_match(F.col("_lower"), r.pattern)
-        hit = fam.rule_gate(r.gate) & (line.rlike(r.pattern) if quick is None else quick & line.rlike(r.pattern))
-        if r.suppress:
-            hit = hit & ~line.rlike(r.suppress)
-        found.append(F.when(hit, F.concat(F.lit(f"{r.id}:"), F.regexp_instr(line, F.lit(r.pattern)).cast("string"), F.lit(","))))
-    found += [F.when(cond(), F.lit(f"{r.id}:1,")) for r, cond in fam.conditions]
-    live = F.col(f"_g_{fam.name}")
-    if fam.skip:
-        live = live & ~fam.skip()
-    return F.when(live, F.concat_ws("", *found))
+        p = sql_str(r.pattern)
+        gate = f"_g_{fam.name}_{'_'.join(r.gate)}"
+        tests = [f"`{gate}`", may_match("_lower", r.pattern), f"line RLIKE {p}", f"NOT line RLIKE {sql_str(r.suppress)}" if r.suppress else ""]
+        found.append(f"CASE WHEN {' AND '.join(t for t in tests if t)} THEN concat({sql_str(r.id + ':')}, CAST(regexp_instr(line, {p}) AS STRING), ',') END")
+    out = [F.expr(f"CASE WHEN {live} THEN concat_ws('', {', '.join(found)}) END")] if found else []
+    return out + [F.when(F.col(f"_v_{fam.name}") & cond(), F.lit(f"{r.id}:1,")) for r, cond in fam.conditions]
 
 
 def scan_files(files: DataFrame, families: list[Family]) -> DataFrame:
@@ -82,8 +85,8 @@ def scan_files(files: DataFrame, families: list[Family]) -> DataFrame:
         if fam.columns:
             f = f.withColumns(fam.columns())
     extra = [c for c in f.columns if c not in (*files.columns, "content")]
-    flags = {f"_g_{fam.name}": F.coalesce(fam.gate(), F.lit(False)) for fam in families}
-    f = f.withColumns(flags).where(reduce(lambda a, b: a | b, [F.col(g) for g in flags]))
+    flags = {k: v for fam in families for k, v in _gates(fam).items()}
+    f = f.withColumns(flags).where(reduce(lambda a, b: a | b, [F.col(f"_g_{fam.name}") for fam in families]))
     whole = [F.when(F.col(f"_g_{fam.name}"), F.concat(*fam.file_rules())).otherwise(_empty()) for fam in families if fam.file_rules]
     if whole:
         f = f.withColumn("_fh", F.concat(*whole))
@@ -98,7 +101,7 @@ def scan_files(files: DataFrame, families: list[Family]) -> DataFrame:
 def scan_lines(lines: DataFrame, family: Family) -> DataFrame:
     """Hits of one family on a table that already has a ``line`` column; every match when it wants them."""
     keep = [c for c in lines.columns if c != "line"]
-    f = lines.withColumn(f"_g_{family.name}", F.lit(True)).withColumn("_p", F.lit(0))
+    f = lines.withColumns({**_gates(family), "_p": F.lit(0)})
     h = _hits_of(f, [family], keep, False)
     h = h.select(*keep, "pack", F.col("_line").alias("line"), F.col("h.rule_id").alias("rule_id"), F.col("h.pos").alias("pos"))
     return _every_match(h, [family])
@@ -107,10 +110,11 @@ def scan_lines(lines: DataFrame, family: Family) -> DataFrame:
 def _hits_of(f: DataFrame, families: list[Family], keep: list[str], whole: bool) -> DataFrame:
     """``keep``, pack, _line and h, one row per hit of the lines in ``f``."""
     with_rules = [fam for fam in families if fam.rules or fam.conditions]
-    f = f.withColumn("_lower", F.lower("line"))
+    live = {f"_v_{fam.name}": F.col(f"_g_{fam.name}") & ~fam.skip() if fam.skip else F.col(f"_g_{fam.name}") for fam in with_rules}
+    f = f.withColumns({"_lower": F.lower("line"), **live})
     # A higher-order function keeps this projection out of whole-stage code: one fused method with
     # hundreds of rules is too long for the JIT, separate short ones are not.
-    f = f.withColumns({"_hits": F.concat_ws("", *[_line_hits(fam) for fam in with_rules]) if with_rules else F.lit(""),
+    f = f.withColumns({"_hits": F.concat_ws("", *[h for fam in with_rules for h in _line_hits(fam)]) if with_rules else F.lit(""),
                        "_read": F.exists(F.array("_p"), lambda p: p >= 0)})
 
     def parse(token: Column) -> Column:
@@ -123,7 +127,7 @@ def _hits_of(f: DataFrame, families: list[Family], keep: list[str], whole: bool)
     if whole:
         own = F.when((F.col("_p") == 0) & (F.size("_fh") > 0), F.col("_fh"))
         hits = F.when(own.isNull(), hits).otherwise(F.concat(F.coalesce(hits, _empty()), own))
-    packs = F.create_map(*[F.lit(x) for fam in families for i in dict.fromkeys(r.id for r in fam.all_rules()) for x in (i, fam.name)])
+    packs = sql_map([(i, fam.name) for fam in families for i in dict.fromkeys(r.id for r in fam.all_rules())])
     h = f.select(*keep, F.col("line").alias("_line"), F.explode(hits).alias("h"))
     return h.withColumn("pack", F.element_at(packs, F.col("h.rule_id")))
 
@@ -133,7 +137,7 @@ def _every_match(hits: DataFrame, families: list[Family]) -> DataFrame:
     many = [fam for fam in families if fam.matches]
     if not many:
         return hits.withColumn("match", F.lit(None).cast("string"))
-    patterns = F.create_map(*[F.lit(x) for fam in many for r in fam.rules for x in (r.id, r.pattern)])
+    patterns = sql_map([(r.id, r.pattern) for fam in many for r in fam.rules])
     found = F.regexp_extract_all(F.col("line"), F.element_at(patterns, F.col("rule_id")), F.lit(0))
     start = named(out=F.array().cast("array<struct<m:string,at:int>>"), next=F.lit(1))
 

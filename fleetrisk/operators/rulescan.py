@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from fleetrisk.functions.structs import sql_str
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -24,11 +26,6 @@ class Rule:
 
 
 def metadata(rules: list[Rule], *fields: str) -> Column:
-    """Foldable map rule id to struct of the named fields; looked up only on hits."""
-    items: list[Column] = []
-    for r in {r.id: r for r in rules}.values():
-        items += [
-            F.lit(r.id),
-            F.struct(*[F.lit(getattr(r, f)).cast("boolean" if f == "mask" else "string").alias(f) for f in fields]),
-        ]
-    return F.create_map(*items)
+    """Literal map rule id to struct of the named text fields; looked up only on hits."""
+    items = [f"{sql_str(r.id)}, named_struct({', '.join(f'{sql_str(f)}, {sql_str(getattr(r, f))}' for f in fields)})" for r in {r.id: r for r in rules}.values()]
+    return F.expr(f"map({', '.join(items)})")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fleetrisk.functions.structs import sql_array
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -34,7 +36,7 @@ def repo_of(key: Column) -> Column:
 
 
 def pick(items: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(i) for i in items]), (index % len(items) + 1).cast("int"))
+    return F.element_at(sql_array(items), (index % len(items) + 1).cast("int"))
 
 
 def path_of(paths: list[tuple[str, str]], key: Column) -> Column:
