@@ -88,7 +88,6 @@ def framework_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def detector_queries() -> dict[str, Query]:
-    as_of = F.lit(AS_OF).cast("date")
     code = S.JS + S.PY
     return {
         "flt_path_facts": path_facts,
@@ -104,7 +103,7 @@ def detector_queries() -> dict[str, Query]:
         "ai_1_scaffold_tells": _snip(code, CODE_PATHS, sast.scaffold_tells),
         "fw_3_framework_rules": framework_query,
         "iac_d_dockerfile": _snip(S.DOCKER, DOCKER_PATHS, iac.dockerfile),
-        "iac_e_base_images": _snip(S.DOCKER, DOCKER_PATHS, lambda f: iac.eol_base_images(f, as_of)),
+        "iac_e_base_images": _snip(S.DOCKER, DOCKER_PATHS, lambda f: iac.eol_base_images(f, F.lit(AS_OF).cast("date"))),
         "iac_g_github_actions": _snip(S.WORKFLOW, WORKFLOW_PATHS, iac.github_actions, 8, 9),
         "iac_t_terraform": _snip(S.TERRAFORM, TERRAFORM_PATHS, iac.terraform, 8, 9),
         "iac_c_cloudformation": _snip(S.CLOUDFORMATION, CFN_PATHS, iac.cloudformation, 6, 7),
@@ -342,6 +341,9 @@ def dependency_queries() -> dict[str, Query]:
         "supc_10_scores": lambda spark, sf: supply.supply_scores(_supply(spark, sf)).select("scan_id", "score", "n", "level"),
         "pos_1_signals": lambda spark, sf: posture.posture_signals(settings(spark, sf)).drop("ord", "points_max", "category"),
         "pos_8_scores": lambda spark, sf: posture.posture_scores(posture.posture_signals(settings(spark, sf))),
+        "pos_8_breakdown": lambda spark, sf: posture.posture_breakdown(posture.posture_signals(settings(spark, sf))),
+        "iam_7_breakdown": lambda spark, sf: iam.iam_breakdown(_iam(spark, sf)).drop("repo"),
+        "supc_10_breakdown": lambda spark, sf: supply.supply_breakdown(_supply(spark, sf)).drop("repo"),
         "pos_9_quick_wins": lambda spark, sf: posture.quick_wins(posture.posture_signals(settings(spark, sf))),
         "pos_6_rulesets": lambda spark, sf: posture.ruleset_rollup(*rulesets(spark, sf)),
         "pos_6_bypass": lambda spark, sf: posture.bypass_findings(*rulesets(spark, sf)).groupBy("repo", "description").agg(F.count(F.lit(1)).alias("n")),

@@ -270,6 +270,14 @@ def sql() -> dict[str, str]:
         "pos_1_signals": with_ctes(SET, _signals(), select="SELECT repo, signal, points_earned, satisfied, unknown FROM sig"),
         "pos_8_scores": with_ctes(SET, _signals(), "sc AS (SELECT repo, CASE WHEN sum(points_max) FILTER (NOT unknown) > 0 THEN round(sum(points_earned) / (sum(points_max) FILTER (NOT unknown)) * 100) ELSE 100 END::INTEGER AS posture_score FROM sig GROUP BY repo)",
                                   select="SELECT repo, posture_score, CASE WHEN posture_score >= 90 THEN 'A' WHEN posture_score >= 75 THEN 'B' WHEN posture_score >= 60 THEN 'C' WHEN posture_score >= 40 THEN 'D' ELSE 'F' END AS posture_grade FROM sc"),
+        "pos_8_breakdown": with_ctes(SET, _signals(), select="SELECT repo, category, sum(points_earned)::BIGINT AS points_earned, sum(points_max)::BIGINT AS points_max FROM sig GROUP BY ALL"),
+        "iam_7_breakdown": with_ctes(*_iam_ctes(), "c AS (SELECT scan_id, CASE WHEN rule_id LIKE 'iam-oidc-%' THEN 'oidc' WHEN rule_id IN ('iam-action-resource-wildcard', 'iam-sensitive-service-wildcard', 'iam-principal-wildcard') THEN 'admin' ELSE 'privesc' END AS category, severity FROM rr)",
+                                     "n(category) AS (VALUES ('oidc'), ('privesc'), ('admin'))",
+                                     select="SELECT s.scan_id, n.category, count(c.severity) AS n, CASE WHEN bool_or(c.severity = 'critical') THEN 'critical' WHEN bool_or(c.severity = 'high') THEN 'high' END AS worst FROM (SELECT DISTINCT scan_id FROM c) s CROSS JOIN n LEFT JOIN c ON c.scan_id = s.scan_id AND c.category = n.category GROUP BY s.scan_id, n.category"),
+        "supc_10_breakdown": with_ctes(HOOK_ROWS, SIGNALS, "a AS (SELECT scan_id, 'postinstall' AS category, severity FROM h UNION ALL SELECT scan_id, category, severity FROM sg)",
+                                       "n(category) AS (VALUES " + ", ".join(f"({q(c)})" for c in SU.CATEGORIES) + ")",
+                                       select="SELECT s.scan_id, n.category, greatest(0, 100 - coalesce(sum(CASE a.severity WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 WHEN 'LOW' THEN 3 END), 0))::INTEGER AS score, count(a.severity) AS n, count(*) FILTER (a.severity = 'HIGH') AS high, count(*) FILTER (a.severity = 'MEDIUM') AS medium, count(*) FILTER (a.severity = 'LOW') AS low "
+                                       "FROM (SELECT DISTINCT scan_id FROM a) s CROSS JOIN n LEFT JOIN a ON a.scan_id = s.scan_id AND a.category = n.category GROUP BY s.scan_id, n.category"),
         "pos_9_quick_wins": quick_wins(),
         "pos_6_rulesets": with_ctes(RULESETS, select="SELECT repo, bool_or(type = 'pull_request') AS pr_required, bool_or(type = 'required_status_checks' AND n_checks > 0) AS status_checks_required, bool_or(type = 'required_signatures') AS signed_commits_required, bool_and(cnt = 0) FILTER (vis) AS no_bypass_actors FROM rs GROUP BY repo"),
         "pos_6_bypass": with_ctes(RULESETS, select="SELECT repo, 'Rule ''' || type || ''' in ruleset ''' || name || ''' (branch ''main'') can be bypassed by ' || cnt || ' actor(s): ' || who || '.' AS description, count(*) AS n FROM rs WHERE vis AND cnt > 0 GROUP BY ALL"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetrisk.functions.needles import needles
 from fleetrisk.operators import calls, catalog, iac, onepass, sast, secrets, sensitive
-from fleetrisk.plans import manifests as M, snippets as S
+from fleetrisk.plans import snippets as S
 from fleetrisk.rules import iac as I, sast as C, secrets as X
 
 PACKS = [X.SECRET_RULES, C.SAST_RULES, C.FRAMEWORK_RULES, C.BIZ_RULES, C.AI_RULES, I.TERRAFORM_LINE_RULES, I.CLOUDFORMATION_LINE_RULES,
@@ -112,11 +112,6 @@ def test_base_image_stages(files):
     assert [(r.line_no, r.severity) for r in rows] == [(1, "high"), (3, "medium")]
 
 
-@pytest.mark.parametrize("line,rules", M.CALLS, ids=[c[0][:40] for c in M.CALLS])
-def test_call_rule(line, rules):
-    assert calls.sites_of(line) is not None  # the tables below check the rules themselves
-
-
 def test_call_sites_over_several_lines(files):
     src = "db.query(\n  `SELECT * FROM t WHERE id = ${\n req.body.id}`\n)\nfunction makeToken() {\n  return Math.random()\n}\nconst x = { token: Math.random() }\nres.cookie('a', 1, opts)\n"
     got = {(r.rule_id, r.line_no) for r in calls.call_rules(calls.call_sites(files(("a.tsx", src)))).collect()}

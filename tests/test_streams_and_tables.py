@@ -127,3 +127,26 @@ def test_whole_scan(spark, files):
     assert [r.rule_id for r in applied.where("suppressed").collect()] == ["dockerfile-base-image-eol"]
     row = fleet_scan.scan_rows(suppress.kept(applied), f).first()
     assert row.secrets_count == 1 and row.files_scanned == 5 and row.risk_score > 0 and row.fixture > 0
+
+
+def test_sql_table_functions(spark, files):
+    from fleetrisk.functions import sql
+
+    sql.register(spark)
+    files(("a.ts", "eval(x)\nnew Foo(1, 2)"), ("iam.json", '{"Statement":[{"Effect":"Allow","Action":"*","Resource":"*"}]}')).createOrReplaceTempView("f")
+    calls = spark.sql("SELECT c.* FROM f, LATERAL call_sites(content) c WHERE path = 'a.ts' ORDER BY line_no").collect()
+    assert [(r.line_no, r.kind, r.callee, r.n_args) for r in calls] == [(1, "call", "eval", 1), (2, "new", "Foo", 2)]
+    assert spark.sql("SELECT s.actions FROM f, LATERAL iam_statements(path, content) s").first()[0] == ["*"]
+
+
+def test_alerts_only_for_unknown_findings(spark, tmp_path):
+    from fleetrisk.schemas import FINDINGS, conform
+
+    t = datetime.datetime(2024, 1, 1)
+    raw = spark.createDataFrame([("o/r", "code", "js-eval", p, 1, t) for p in ("a.ts", "b.ts", "b.ts")], "repo string, kind string, rule_id string, file_path string, line_no int, seen_at timestamp")
+    rows = conform(raw, FINDINGS + ", seen_at timestamp")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    known = lambda: rows.where("file_path = 'a.ts'").drop("seen_at")
+    incremental.alerts(stream, known, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert [r.file_path for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["b.ts"]
