@@ -21,6 +21,18 @@ TOKEN_SHAPES = (
 )
 
 
+# White space cut from line ends, tabs and carriage returns included.
+_SPACE = " \t\r\n\f\v\u00a0\ufeff"
+
+
+def strip(text: Column | str) -> Column:
+    return F.btrim(text, F.lit(_SPACE))
+
+
+def lstrip(text: Column | str) -> Column:
+    return F.ltrim(text, F.lit(_SPACE))
+
+
 def mask_value(value: Column) -> Column:
     """Keep four characters at each end; eight or fewer are hidden whole."""
     n = F.length(value)
@@ -39,11 +51,11 @@ def replace_first(text: Column, needle: Column, by: Column) -> Column:
 def mask_line(line: Column, matched: Column) -> Column:
     """Line with the first occurrence of the secret masked, cut to 200 characters."""
     safe = replace_first(line, matched, mask_value(matched))
-    return F.when(F.length(safe) > 200, F.concat(F.substring(safe, 1, 197), F.lit("..."))).otherwise(F.trim(safe))
+    return F.when(F.length(safe) > 200, F.concat(F.substring(safe, 1, 197), F.lit("..."))).otherwise(strip(safe))
 
 
 def clip(line: Column, n: int = 200) -> Column:
-    return F.substring(F.trim(line), 1, n)
+    return F.substring(strip(line), 1, n)
 
 
 def ellipsis(line: Column, n: int = 200) -> Column:
@@ -92,6 +104,6 @@ def after_prose_marker(line: Column, pos: Column) -> Column:
 
 
 def comment_line(line: Column, hash_is_comment: Column | bool = True) -> Column:
-    t = F.ltrim(line)
+    t = lstrip(line)
     h = hash_is_comment if isinstance(hash_is_comment, Column) else F.lit(hash_is_comment)
     return t.startswith("//") | t.startswith("*") | (h & t.startswith("#"))

@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetrisk.functions.text import strip
 from fleetrisk.functions import severity as sev
 from fleetrisk.functions.versions import in_interval, in_range, interval_text, intervals, keyed, parse_range, version_key
 from fleetrisk.operators.lines import explode_lines, fold_hits
@@ -103,7 +104,7 @@ def package_lock(files: DataFrame) -> DataFrame:
 def requirements_txt(files: DataFrame) -> DataFrame:
     """Only ``==`` pins; comments, options, markers and hashes are dropped."""
     lines = explode_lines(_root(files, "requirements.txt"))
-    t = F.trim(F.regexp_replace("line", r"\r", ""))
+    t = strip(F.regexp_replace("line", r"\r", ""))
     lines = lines.where((t != "") & ~t.startswith("#") & ~t.startswith("-"))
     body = F.substring_index(F.substring_index(F.regexp_replace(t, r"\s#.*$", ""), ";", 1), " --hash=", 1)
     name = F.regexp_extract(body, f"^({_NAME})", 1)
@@ -120,7 +121,7 @@ def _table_entries(files: DataFrame, source: str, header: str, version) -> DataF
         lambda s, x: ({"inside": F.when(x["mine"], True).when(x["head"], False).otherwise(s["inside"])},
                       s["inside"] & ~x["head"] & x["kv"]))
     name = F.lower(F.regexp_extract("line", rf"^\s*({_NAME})\s*=", 1))
-    spec = F.trim(F.regexp_extract("line", r"=\s*[\"']([^\"']+)[\"']", 1))
+    spec = strip(F.regexp_extract("line", r"=\s*[\"']([^\"']+)[\"']", 1))
     return _deps(rows, source, name, version(spec))
 
 
@@ -134,7 +135,7 @@ def pyproject_toml(files: DataFrame) -> DataFrame:
     f = _root(files, "pyproject.toml")
     block = F.regexp_extract("content", r"(?s)dependencies\s*=\s*\[(.*?)\]", 1)
     items = f.select(*KEY, F.explode(F.regexp_extract_all(block, F.lit(r'"([^"]+)"'), F.lit(1))).alias("i"))
-    i = F.trim("i")
+    i = strip("i")
     name = F.regexp_extract(i, f"^({_NAME})", 1)
     pep = _deps(items, "pyproject.toml", F.lower(name), F.regexp_extract(F.substr(i, F.length(name) + 1), _PINNED, 1))
     poetry = _table_entries(files, "pyproject.toml", r"^\[tool\.poetry\.(?:dev-)?dependencies\]", lambda s: _pin(s, r"^[\^~>=<!]+"))
@@ -149,13 +150,13 @@ def go_mod(files: DataFrame) -> DataFrame:
     """Block and single requires; leading v and +incompatible stripped."""
     rows = fold_hits(
         _root(files, "go.mod"),
-        lambda l: {"skip": (F.trim(l) == "") | F.trim(l).startswith("//"), "open": F.trim(l).startswith("require ("),
-                   "close": F.trim(l) == ")", "single": F.trim(l).startswith("require ")},
+        lambda l: {"skip": (strip(l) == "") | strip(l).startswith("//"), "open": strip(l).startswith("require ("),
+                   "close": strip(l) == ")", "single": strip(l).startswith("require ")},
         {"inside": F.lit(False)},
         lambda s, x: ({"inside": F.when(x["open"], True).when(x["close"], False).otherwise(s["inside"])},
                       ~x["skip"] & ~x["open"] & ((s["inside"] & ~x["close"]) | (~s["inside"] & x["single"]))))
-    t = F.trim(F.regexp_replace(F.trim(F.regexp_replace("line", r"\s+", " ")), r"^require ", ""))
-    parts = F.split(F.trim(F.regexp_replace(t, r"//.*$", "")), " ")
+    t = strip(F.regexp_replace(strip(F.regexp_replace("line", r"\s+", " ")), r"^require ", ""))
+    parts = F.split(strip(F.regexp_replace(t, r"//.*$", "")), " ")
     version = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
     rows = rows.withColumn("n", F.get(parts, F.lit(0))).withColumn("v", version).where(F.col("v").startswith("v"))
     return _deps(rows, "go.mod", F.col("n"), F.regexp_replace(F.regexp_replace("v", "^v", ""), r"\+incompatible$", ""))
@@ -166,7 +167,7 @@ def gemfile_lock(files: DataFrame) -> DataFrame:
     entry = rf"^ {{4}}({_NAME}) \(([0-9][A-Za-z0-9._-]*)\)\s*$"
     rows = fold_hits(
         _root(files, "Gemfile.lock"),
-        lambda l: {"open": F.trim(l) == "specs:", "end": (F.trim(l) == "") | l.rlike("^[A-Z]"), "gem": l.rlike(entry)},
+        lambda l: {"open": strip(l) == "specs:", "end": (strip(l) == "") | l.rlike("^[A-Z]"), "gem": l.rlike(entry)},
         {"inside": F.lit(False)},
         lambda s, x: ({"inside": F.when(x["open"], True).when(x["end"], False).otherwise(s["inside"])}, s["inside"] & ~x["open"] & ~x["end"] & x["gem"]))
     return _deps(rows, "Gemfile.lock", F.regexp_extract("line", entry, 1), F.regexp_extract("line", entry, 2))
@@ -177,7 +178,7 @@ def pom_xml(files: DataFrame) -> DataFrame:
         "content", F.lit(r"(?s)(<dependency>.*?</dependency>)"), F.lit(1))).alias("b"))
 
     def tag(t: str) -> Column:
-        return F.trim(F.regexp_extract("b", rf"<{t}>\s*([^<\s][^<]*?)\s*</{t}>", 1))
+        return strip(F.regexp_extract("b", rf"<{t}>\s*([^<\s][^<]*?)\s*</{t}>", 1))
 
     blocks = blocks.where((tag("groupId") != "") & (tag("artifactId") != "") & ~tag("version").contains("${"))
     return _deps(blocks, "pom.xml", F.concat(tag("groupId"), F.lit(":"), tag("artifactId")), tag("version"))
@@ -202,7 +203,7 @@ def composer_lock(files: DataFrame) -> DataFrame:
     f = _root(files, "composer.lock").select(*KEY, F.from_json("content", f"packages {pkg}, `packages-dev` {pkg}").alias("j"))
     empty = F.expr(f"cast(array() as {pkg})")
     d = f.select(*KEY, F.explode(F.concat(F.coalesce("j.packages", empty), F.coalesce("j.packages-dev", empty))).alias("d"))
-    v = F.trim(F.regexp_replace("d.version", "^v", ""))
+    v = strip(F.regexp_replace("d.version", "^v", ""))
     return _deps(d.where(~v.startswith("dev-") & ~v.contains("@")), "composer.lock", F.col("d.name"), v)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetrisk.functions.text import strip
 from fleetrisk.functions.paths import JS_EXTENSIONS
 
 # Assignment shapes, safe-version pattern, supported base-image tags.
@@ -32,7 +33,7 @@ def from_ref(line: Column) -> tuple[Column, Column, Column]:
     """(image with registry, tag, short lower-case name) of a FROM line; tag empty without one."""
     rest = F.regexp_extract(line, r"(?i)^\s*FROM\s+(.+?)\s*$", 1)
     rest = F.regexp_replace(F.regexp_replace(rest, r"(?i)^--platform=\S+\s+", ""), r"(?i)\s+AS\s+\S+\s*$", "")
-    ref = F.substring_index(F.trim(rest), "@", 1)
+    ref = F.substring_index(strip(rest), "@", 1)
     last = F.substring_index(ref, "/", -1)
     tag = F.when(last.contains(":"), F.substring_index(last, ":", -1)).otherwise("")
     image = F.when(tag != "", F.substr(ref, F.lit(1), F.length(ref) - F.length(tag) - 1)).otherwise(ref)
@@ -92,7 +93,7 @@ def patches(findings: DataFrame, files: DataFrame) -> DataFrame:
                            F.concat(F.lit("$1$2"), safe, F.lit('"')))
 
     def req(l: Column) -> Column:
-        name = F.regexp_extract(F.trim(l), r"^([A-Za-z0-9_.\-]+)\s*(?:[=<>!~]=|>|<)\s*.+$", 1)
+        name = F.regexp_extract(strip(l), r"^([A-Za-z0-9_.\-]+)\s*(?:[=<>!~]=|>|<)\s*.+$", 1)
         return F.when((name != "") & (F.lower(name) == F.lower(pkg)), F.concat(name, F.lit("=="), safe)).otherwise(l)
 
     pip = F.array_join(F.transform(F.split("content", "\n", -1), req), "\n")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetrisk.functions.text import strip
 from fleetrisk.functions.paths import basename
 from fleetrisk.operators.iac import package_scripts
 from fleetrisk.operators.lines import numbered
@@ -31,7 +32,7 @@ def declared_names(files: DataFrame) -> DataFrame:
     npm = _sections(files).where(~F.col("name").startswith("@")).select(*FILE_KEY, F.lit("npm").alias("ecosystem"), "name")
     word = r"['\"]([A-Za-z0-9_.\-]+)"
     req = F.filter(F.transform(F.split("content", r"\r?\n", -1), lambda l: F.when(
-        ~F.trim(l).rlike(r"^[#-]"), F.regexp_extract(F.trim(l), r"^([A-Za-z0-9_.\-]+)", 1))), lambda n: n != "")
+        ~strip(l).rlike(r"^[#-]"), F.regexp_extract(strip(l), r"^([A-Za-z0-9_.\-]+)", 1))), lambda n: n != "")
     project = F.regexp_extract("content", r"(?s)(\[project\].*?)(?:\n\[|\z)", 1)
     toml = F.regexp_extract_all(F.regexp_extract(project, r"(?s)dependencies\s*=\s*\[(.*?)\]", 1), F.lit(word), F.lit(1))
     setup = F.regexp_extract_all(F.regexp_extract("content", r"(?s)install_requires\s*=\s*\[(.*?)\]", 1), F.lit(word), F.lit(1))
@@ -161,8 +162,8 @@ def _hook_findings(df: DataFrame, body: Column, p: dict[str, str], chain: Column
 
 def npm_hooks(files: DataFrame) -> DataFrame:
     s = package_scripts(files.where(~F.col("path").contains("node_modules/")))
-    s = s.where(F.col("hook").isin(NPM_HOOKS) & (F.trim("script") != ""))
-    segs = F.filter(F.split("script", r"\s*(?:&&|\|\||;)\s*"), lambda x: F.trim(x).rlike(r"^[a-zA-Z][a-zA-Z0-9_\-]*\b"))
+    s = s.where(F.col("hook").isin(NPM_HOOKS) & (strip("script") != ""))
+    segs = F.filter(F.split("script", r"\s*(?:&&|\|\||;)\s*"), lambda x: strip(x).rlike(r"^[a-zA-Z][a-zA-Z0-9_\-]*\b"))
     return _hook_findings(s, F.col("script"), NPM_PATTERNS, F.size(segs) >= 4, F.col("script"))
 
 
@@ -189,16 +190,16 @@ def python_hooks(files: DataFrame) -> DataFrame:
 
     whole = F.array(F.struct(F.lit("pyproject").alias("hook"), F.col("content").alias("body")))
     hooks = F.when(F.col("b") == "setup.py", F.transform(opens, block)).otherwise(whole)
-    h = f.select(*FILE_KEY, F.explode(hooks).alias("x")).select(*FILE_KEY, "x.*").where(F.trim("body") != "")
+    h = f.select(*FILE_KEY, F.explode(hooks).alias("x")).select(*FILE_KEY, "x.*").where(strip("body") != "")
     calls = F.size(F.regexp_extract_all("body", F.lit(f"({_SHELL})"), F.lit(1)))
-    lines = F.filter(F.transform(F.split("body", "\n"), lambda l: F.trim(l)), lambda l: l != "")
+    lines = F.filter(F.transform(F.split("body", "\n"), lambda l: strip(l)), lambda l: l != "")
     shown = F.filter(lines, lambda l: ~l.rlike(r"^(?:def\s|class\s|@|#|\"\"\"|''')"))
     preview = F.coalesce(F.get(shown, F.lit(0)), F.get(lines, F.lit(0)), F.lit(""))
     return _hook_findings(h, F.col("body"), PY_PATTERNS, calls >= 4, preview)
 
 
 def is_registry_spec(spec: Column) -> Column:
-    s = F.trim(spec)
+    s = strip(spec)
     return (s != "") & ~s.rlike(r"(?i)^(?:file:|link:|workspace:|git\+|github:|git:|https?:|\.{0,2}/|portal:)")
 
 

@@ -123,3 +123,9 @@ def test_sensitive_names(files):
     got = {r.file_path: r.rule_id for r in sensitive.sensitive_files(files(*[(p, "") for p in paths])).collect()}
     assert got == {"a/id_rsa": "ssh-key", ".env.prod": "env-production", "dump.sql": "database-dump", "private.asc": "private-key"} | (
         {"x.pub.pem": "private-key"} if "x.pub.pem" in got else {})
+
+
+def test_tabs_are_white_space(files):
+    f = files(("a.ts", "\t// eval(x)\n\teval(x)\t\r"), ("b.conf", "\tAPI_KEY = aB3$kL9zQ1wE7rT5yU2iO8pX4cV6bN0m\t"))
+    assert [(r.line_no, r.line_content) for r in sast.code_vulns(f).collect()] == [(2, "eval(x)")]
+    assert secrets.entropy_secrets(f).count() == 1
