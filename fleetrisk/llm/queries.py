@@ -7,21 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetrisk.llm import op7_substring
+from fleetrisk.llm import op1_suffix, op2_exact, op3_simhash, op7_substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op1_suffix.remove(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_exact.duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op3_simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op7_substring.remove(table(spark, sf_dir, "documents"), width=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_exact_dedup": """
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
+        FROM (SELECT doc_id, coalesce(text, '') AS body, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+                     count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size FROM documents)""",
+}
