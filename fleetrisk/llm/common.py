@@ -109,32 +109,32 @@ def blocks(at: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word (a run without ASCII white space) of texts that lie one behind the other, and how many words each has.
-
-    Polynomial prefix sums over the bytes give each word's hash by one subtraction.
-    """
-    hashes, counts = [], np.zeros(len(at) - 1, np.int64)
+def word_blocks(raw: np.ndarray, at: np.ndarray):
+    """Of texts that lie one behind the other, block by block: rows from i to j; 64-bit hash, begin and end of every word (a run without
+    ASCII white space); how many words each row has. Polynomial prefix sums over the bytes give each word's hash by one subtraction."""
     for i, j in blocks(at):
         part, ends_at = raw[at[i] : at[j]], at[i + 1 : j + 1] - at[i]
         gap = SPACE[part]
-        if not len(part):
-            continue
         inside = ~gap
-        begin = inside.copy()
+        begin, stop = inside.copy(), inside.copy()
         begin[1:] &= gap[:-1]
-        cut = ends_at[(ends_at < len(part)) & (ends_at > 0)]
-        begin[cut] = inside[cut]
-        stop = inside.copy()
         stop[:-1] &= gap[1:]
-        stop[cut - 1] = inside[cut - 1]
+        edge = ends_at[(ends_at < len(part)) & (ends_at > 0)]
+        begin[edge] = inside[edge]
+        stop[edge - 1] = inside[edge - 1]
         first, last = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         up, down = POWERS.upto(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + U64(1)) * up[:-1], out=sums[1:])
-        hashes.append(mixed((sums[last] - sums[first]) * down[first]))
-        counts[i:j] = np.diff(np.searchsorted(first, np.concatenate(([0], ends_at))))
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
+        hashes = mixed((sums[last] - sums[first]) * down[first])
+        yield i, j, hashes, first + at[i], last + at[i], np.diff(np.searchsorted(first, np.concatenate(([0], ends_at))))
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of all texts, and how many words each text has."""
+    parts = list(word_blocks(raw, at))
+    join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
+    return join(2, np.uint64), join(5, np.int64)
 
 
 def grams(hashes: np.ndarray, counts: np.ndarray, width: int, base: int) -> tuple[np.ndarray, np.ndarray]:
