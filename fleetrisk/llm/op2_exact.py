@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from fleetrisk.llm.common import U64, cut, mixed, texts
 
 #: Digests in a bucket, about; keys per seed of the perfect hash; copies of the bucket of frequent texts.
-BUCKET, LOAD, COPIES = 20_000, 2, 64
+BUCKET, LOAD, COPIES = 4_000, 2, 64
 INDEX = "bucket bigint, n bigint, seeds binary, digests binary, winners binary, sizes binary"
 NONE = -(2**63)
 

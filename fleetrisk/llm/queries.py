@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetrisk.llm import op1_suffix, op2_exact, op3_simhash, op7_substring
+from fleetrisk.llm import op1_suffix, op2_exact, op3_simhash, op7_substring, op8_packing, op10_token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,21 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+def op10_token_length_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_harmonic_packing": op8_harmonic_packing,
+    "op10_token_length_counts": op10_token_length_counts,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.

@@ -1,8 +1,9 @@
 """Encoding whole texts with a public word-BPE tokenizer, each different word once.
 
-The tokenizer drops white space and never joins across it, so a text's ids are its words' ids one after the other. A worker keeps the ids
-of the words it has met in a table by their 64-bit hash (bounded: past TABLE words it starts anew) and has the tokenizer encode the others,
-many at once, with a special token between words.
+The tokenizer puts A-Z in lower case, drops white space, and joins neither across it nor between a letter or digit and a sign. So a text's
+ids are those of its pieces one after the other. A worker keeps the ids of the pieces it has met in a table by their 64-bit hash (bounded:
+past TABLE pieces it starts anew) and has the tokenizer encode the others. A text that holds "<|", which may begin a special token, goes to
+the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-from fleetrisk.llm.common import U64, word_blocks
+from fleetrisk.llm.common import LOWER, U64, word_blocks
 
-TABLE, SLOTS = 500_000, 1 << 20
-BETWEEN = "<|endoftext|>"
+TABLE, SLOTS = 1_000_000, 1 << 21
+#: Of ASCII: letters and digits, and signs other than the apostrophe (which may begin "'s" and the like). Other bytes are cut from neither.
+ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
+SPECIAL = b"<|"
+#: The neighbours that are cut between.
+PAIRS = ((ALNUM, SIGN), (SIGN, ALNUM))
 
 
 def vocabulary(spark: SparkSession, path: str | None = None) -> Broadcast:
@@ -37,7 +43,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
-        self.between = self.tokenizer.token_to_id(BETWEEN)
         self.forget()
 
     def forget(self) -> None:
@@ -70,22 +75,12 @@ class Encoder:
             left = left[~done]
             at[left] = (at[left] + 1) & (SLOTS - 1)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            if any("<|" in w for w in part):
-                out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            else:
-                ids = np.array(self.tokenizer.encode(BETWEEN.join(part), add_special_tokens=False).ids, np.uint32)
-                out += [x[1:] if i else x for i, x in enumerate(np.split(ids, np.flatnonzero(ids == self.between)))]
-        return out
-
     def learn(self, raw: np.ndarray, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
         hashes, at = np.unique(hashes, return_index=True)
         if len(self.size) + len(hashes) > TABLE:
             self.forget()
-        ids = self.encode_words([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(first[at].tolist(), last[at].tolist())])
+        words = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(first[at].tolist(), last[at].tolist())]
+        ids = [np.array(e.ids, np.uint32) for k in range(0, len(words), 1000) for e in self.tokenizer.encode_batch(words[k : k + 1000], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         self.insert(hashes, len(self.size) + np.arange(len(hashes)))
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(size) - size))
@@ -93,34 +88,44 @@ class Encoder:
         self.pool = np.concatenate((self.pool, *ids))
 
     def numbers(self, raw: np.ndarray, at: np.ndarray):
-        """Rows from i to j, the number of each of their words, and how many words each row has."""
-        for i, j, hashes, first, last, counts in word_blocks(raw, at):
+        """Rows from i to j, the number of each of their pieces, and how many pieces each row has."""
+        for i, j, hashes, first, last, counts in word_blocks(raw, at, PAIRS):
             hashes = np.maximum(hashes, U64(1))
             n = self.find(hashes)
-            if len(lost := np.flatnonzero(n < 0)):
-                self.learn(raw, hashes[lost], first[lost], last[lost])
+            while len(lost := np.flatnonzero(n < 0)):  # again where the table began anew
+                self.learn(raw, hashes[lost[:TABLE]], first[lost[:TABLE]], last[lost[:TABLE]])
                 n = self.find(hashes)
-                if len(lost := np.flatnonzero(n < 0)):  # the table began anew
-                    self.learn(raw, hashes[lost], first[lost], last[lost])
-                    n = self.find(hashes)
             yield i, j, n, counts
 
+    def whole(self, raw: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
+        """The ids of the texts that may hold special tokens."""
+        data = raw.tobytes()
+        rows, k = set(), data.find(SPECIAL)
+        while k >= 0:
+            i = int(np.searchsorted(at, k, side="right")) - 1
+            rows.add(i)
+            k = data.find(SPECIAL, int(at[i + 1]) - 1)
+        return {i: np.array(self.tokenizer.encode(data[at[i] : at[i + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) for i in rows}
+
     def ids(self, raw: np.ndarray, at: np.ndarray):
         """The ids of each text, in order."""
-        for _, _, n, counts in self.numbers(raw, at):
+        odd = self.whole(raw, at)
+        for i, _, n, counts in self.numbers(LOWER[raw], at):
             size = self.size[n]
             ends = np.concatenate(([0], np.cumsum(size)))
             flat = self.pool[np.repeat(self.start[n] - ends[:-1], size) + np.arange(ends[-1])]
             edges = ends[np.concatenate(([0], np.cumsum(counts)))]
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                yield flat[a:b]
+            for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                yield odd.get(i + k, flat[a:b])
 
     def lengths(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How many ids each text has."""
         out = np.zeros(len(at) - 1, np.int64)
-        for i, j, n, counts in self.numbers(raw, at):
+        for i, j, n, counts in self.numbers(LOWER[raw], at):
             ends = np.concatenate(([0], np.cumsum(self.size[n])))
             out[i:j] = np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
+        for i, x in self.whole(raw, at).items():
+            out[i] = len(x)
         return out
 
 
