@@ -96,7 +96,7 @@ POWERS = Powers(0x9E3779B97F4A7C15)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 #: Bytes of text that are hashed at once, so that the arrays stay small; a longer document is one block.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def blocks(at: np.ndarray) -> list[tuple[int, int]]:
@@ -109,9 +109,11 @@ def blocks(at: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def word_blocks(raw: np.ndarray, at: np.ndarray):
+def word_blocks(raw: np.ndarray, at: np.ndarray, pairs: tuple = ()):
     """Of texts that lie one behind the other, block by block: rows from i to j; 64-bit hash, begin and end of every word (a run without
-    ASCII white space); how many words each row has. Polynomial prefix sums over the bytes give each word's hash by one subtraction."""
+    ASCII white space); how many words each row has. Polynomial prefix sums over the bytes give each word's hash by one subtraction.
+
+    pairs: two kinds of bytes each (arrays of 256 booleans); words are cut between a byte of the first and one of the second."""
     for i, j in blocks(at):
         part, ends_at = raw[at[i] : at[j]], at[i + 1 : j + 1] - at[i]
         gap = SPACE[part]
@@ -119,6 +121,10 @@ def word_blocks(raw: np.ndarray, at: np.ndarray):
         begin, stop = inside.copy(), inside.copy()
         begin[1:] &= gap[:-1]
         stop[:-1] &= gap[1:]
+        for one, two in pairs:
+            between = one[part[:-1]] & two[part[1:]]
+            begin[1:] |= between
+            stop[:-1] |= between
         edge = ends_at[(ends_at < len(part)) & (ends_at > 0)]
         begin[edge] = inside[edge]
         stop[edge - 1] = inside[edge - 1]

@@ -22,12 +22,12 @@ SENT = "chunk int, bucket int, payload binary"
 
 def chunked(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and chunk."""
-    n = 2 * partitions(docs.sparkSession)
+    n = 4 * partitions(docs.sparkSession)
     return texts(docs, *more).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
 
 
 def buckets(docs: DataFrame) -> int:
-    return partitions(docs.sparkSession)
+    return 2 * partitions(docs.sparkSession)
 
 
 def dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,6 +28,8 @@ from fleetrisk.llm.common import U64, blocks, flat, mixed, rolling
 ANCHOR = 24
 BASE = 0xD6E8FEB86659FD93
 LAST = 2**63 - 1
+#: Rows that a bucket sorts at a time, about.
+ROWS = 50_000
 
 
 def sliding(values: np.ndarray, width: int, of) -> np.ndarray:
@@ -194,25 +196,36 @@ def found(ids: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, n
     _, group, many = np.unique(anchor[by], return_inverse=True, return_counts=True)
     go = many[group] > 1
     mine, group = single[by][go], group[go]
-    if len(mine):
-        seen, size_l, size_r = rows[mine], rows[mine, -2].astype(np.int64), rows[mine, -1].astype(np.int64)
-        order_r, near_r = suffix_order(np.ascontiguousarray(seen[:, before : before + length]), size_r, group)
-        order_l, near_l = suffix_order(np.ascontiguousarray(seen[:, :before][:, ::-1]), size_l, group)
-        best_l, best_r = np.zeros(len(mine), np.uint8), np.zeros(len(mine), np.uint8)
-        class_l, class_r = np.empty(len(mine), np.int64), np.empty(len(mine), np.int64)
-        for k in range(before + 1):  # strings that begin k bytes before the anchor
-            class_r[order_r] = np.cumsum(near_r < length - k)
-            class_l[order_l] = np.cumsum(near_l < k)
-            fit = np.flatnonzero((size_l >= k) & (size_r >= length - k))
-            if len(fit) > 1:
-                key = class_r[fit] * (len(mine) + 1) + class_l[fit]
-                o = np.argsort(key)
-                first = np.flatnonzero(np.concatenate(([True], key[o][1:] != key[o][:-1])))
-                smallest = np.repeat(np.minimum.reduceat(ids[mine[fit[o]]], first), np.diff(np.append(first, len(o))))
-                hit = fit[o][ids[mine[fit[o]]] > smallest]
-                best_l[hit] = np.maximum(best_l[hit], k)
-                best_r[hit] = np.maximum(best_r[hit], length - k)
-        left[mine], right[mine] = best_l, best_r
+    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(mine):  # some anchors at a time; one anchor's rows stay together
+        later = edges[edges >= at + ROWS]
+        to = int(later[0]) if len(later) else len(mine)
+        left[mine[at:to]], right[mine[at:to]] = matched(ids[mine[at:to]], rows[mine[at:to]], group[at:to], length)
+        at = to
+    return left, right
+
+
+def matched(ids: np.ndarray, rows: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """found() for rows of different texts, where rows with one anchor lie together and have one number in group."""
+    before = length - ANCHOR
+    size_l, size_r = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+    order_r, near_r = suffix_order(np.ascontiguousarray(rows[:, before : before + length]), size_r, group)
+    order_l, near_l = suffix_order(np.ascontiguousarray(rows[:, :before][:, ::-1]), size_l, group)
+    left, right = np.zeros(len(rows), np.uint8), np.zeros(len(rows), np.uint8)
+    class_l, class_r = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+    for k in range(before + 1):  # strings that begin k bytes before the anchor
+        class_r[order_r] = np.cumsum(near_r < length - k)
+        class_l[order_l] = np.cumsum(near_l < k)
+        fit = np.flatnonzero((size_l >= k) & (size_r >= length - k))
+        if len(fit) > 1:
+            key = class_r[fit] * (len(rows) + 1) + class_l[fit]
+            o = np.argsort(key)
+            first = np.flatnonzero(np.concatenate(([True], key[o][1:] != key[o][:-1])))
+            smallest = np.repeat(np.minimum.reduceat(ids[fit[o]], first), np.diff(np.append(first, len(o))))
+            hit = fit[o][ids[fit[o]] > smallest]
+            left[hit] = np.maximum(left[hit], k)
+            right[hit] = np.maximum(right[hit], length - k)
     return left, right
 
 
