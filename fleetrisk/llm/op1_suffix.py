@@ -61,7 +61,7 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
         side = np.zeros(reach - 1, np.uint32)
         chosen = np.flatnonzero(sliding(np.concatenate((side, least, side)), reach, np.maximum) == rank)
         places.append(chosen + at[i])
-        hashes.append(h[chosen])
+        hashes.append(mixed(h[chosen] + U64(1)))  # anew, as the least hashes are all small
         of.append(np.searchsorted(ends, chosen, side="right") + i)
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
