@@ -1,13 +1,58 @@
-"""From raw documents to packed training sequences, stage by stage; each stage is written as Parquet and read again."""
+"""From raw documents to packed training sequences.
+
+Five stages, each written as Parquet in the shared folder and read again as the next one's documents: documents of poor quality go, then
+exact copies, near copies and documents that hold benchmark items; what stays is packed. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from fleetrisk.llm import op2_exact, op3_simhash, op6_quality, op8_packing, op9_decontaminate
+from fleetrisk.llm.common import shared_folder
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score of 0.7 or more). It learns from the labelled documents of the raw table."""
+    raw, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return op6_quality.keep(docs, raw, labels)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return op2_exact.keep(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that fingerprints at 3 or fewer differing bits connect."""
+    return op3_simhash.keep(docs, width=3, radius=3)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than 0.8 of the five-word shingles of every benchmark item."""
+    return op9_decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=5, share=0.8)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 ids."""
+    return op8_packing.pack(docs, capacity=2048)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("benchmark decontamination", decontaminate), ("packing", pack),
+]
 #: The first stage is a learned classifier, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    shared_folder(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

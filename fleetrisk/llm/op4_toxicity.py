@@ -42,7 +42,7 @@ def places(raw: np.ndarray, at: np.ndarray):
 class Ftrl:
     """FTRL-proximal for 0/1 features; the bias is a coordinate of its own, without L1."""
 
-    def __init__(self, alpha: float = 3.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0):
+    def __init__(self, alpha: float = 3.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -65,7 +65,7 @@ class Ftrl:
         return all_[w != 0], w[w != 0]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = 20_000, epochs: int = 8, weight: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = 20_000, epochs: int = 8, weight: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights other than zero; the last place, 2^BITS, is the bias. weight: how often a document of label 1 counts."""
     def extract(batches):
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetrisk.llm import op1_suffix, op2_exact, op3_simhash, op4_toxicity, op7_substring, op8_packing, op9_decontaminate, op10_token_counts
+from fleetrisk.llm import op1_suffix, op2_exact, op3_simhash, op4_toxicity, op5_html, op6_quality, op7_substring, op8_packing, op9_decontaminate, op10_token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op4_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op7_substring.remove(table(spark, sf_dir, "documents"), width=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_toxicity_scores": op4_toxicity_scores,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_quality_scores": op6_quality_scores,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_decontamination": op9_decontamination,
