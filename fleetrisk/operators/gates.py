@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetrisk.functions.paths import any_match, basename, extension, has_extension
 
-# Paths never scanned, extensions scanned, size limit.
+# Paths never scanned, extensions scanned.
 SKIP_PATHS = [
     r"(^|/)node_modules/", r"(^|/)\.next/", r"(^|/)dist/", r"(^|/)build/", r"(^|/)target/", r"(^|/)vendor/",
     r"(^|/)\.git/", r"(^|/)coverage/", r"(^|/)out/", r"\.min\.(js|css)$", r"\.lock$", r"package-lock\.json$",
@@ -17,18 +17,16 @@ SCANNABLE_EXTENSIONS = [
     "hpp", "cs", "sh", "bash", "zsh", "fish", "yml", "yaml", "json", "xml", "toml", "ini", "conf", "config", "env",
     "envrc", "md", "txt", "sql", "dockerfile", "makefile", "properties", "plist", "tf", "tfvars", "bicep",
 ]
-MAX_FILE_SIZE = 1_000_000
 
 
-def is_scannable(path: Column, size: Column) -> Column:
-    """Path, size and extension only, so the content of rejects is never decoded."""
+def is_scannable(path: Column, size: Column, max_size: int | None = None) -> Column:
+    """Path and extension only, so the content of rejects is never decoded; ``max_size`` also rejects longer files."""
     name = F.lower(basename(path))
     by_ext = F.when(has_extension(path), extension(path).isin(SCANNABLE_EXTENSIONS)).otherwise(
         name.isin("dockerfile", "makefile")
     )
-    return ~any_match(path, SKIP_PATHS) & (F.coalesce(size, F.lit(0)) <= MAX_FILE_SIZE) & (
-        by_ext | name.startswith(".env")
-    )
+    ok = ~any_match(path, SKIP_PATHS) & (by_ext | name.startswith(".env"))
+    return ok if max_size is None else ok & (F.coalesce(size, F.lit(0)) <= max_size)
 
 
 def looks_binary(content: Column) -> Column:
@@ -158,7 +156,7 @@ def is_safe_git_ref(value: Column) -> Column:
     return value.rlike(r"^[A-Za-z0-9._/-]+$") & (F.length(value) <= 255) & ~bad
 
 
-def is_iam_candidate(path: Column, size: Column, max_size: int = 256 * 1024) -> Column:
+def is_iam_candidate(path: Column, size: Column, max_size: int | None = None) -> Column:
     """Files that may declare cloud identity policies: Terraform, serverless, hinted JSON/YAML."""
     from fleetrisk.rules.iam import CANDIDATE_HINTS
 
@@ -166,4 +164,4 @@ def is_iam_candidate(path: Column, size: Column, max_size: int = 256 * 1024) ->
     named = p.rlike(r"\.tf$") | p.rlike(r"(^|/)serverless\.ya?ml$") | (
         p.rlike(r"\.(json|ya?ml)$") & p.rlike("(" + "|".join(CANDIDATE_HINTS) + ")")
     )
-    return named & (F.coalesce(size, F.lit(0)) <= max_size)
+    return named if max_size is None else named & (F.coalesce(size, F.lit(0)) <= max_size)

@@ -1,4 +1,10 @@
-"""Identity-policy statements and the rules over them."""
+"""Identity-policy statements and the rules over them.
+
+Policies come in two kinds of syntax. Braced ones (JSON, Terraform blocks and objects, policies in here-documents) are read by one reader:
+matching brackets give the extent of every statement, and its entries are the ``key: value``, ``key = value`` and ``key {…}`` at its top
+level. Indented ones (YAML) are read as paths of keys. Either way a statement becomes the same fields, so the rules are plain columns.
+A file is one row with an array of its statements, so rules that compare the statements of a file need no join.
+"""
 
 from __future__ import annotations
 
@@ -7,153 +13,245 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetrisk.functions import severity as sev
+from fleetrisk.functions.brackets import pairs
 from fleetrisk.operators.gates import is_iam_candidate
 from fleetrisk.rules import iam as R
-from fleetrisk.schemas import FILE_KEY, IAM_STATEMENTS
+from fleetrisk.schemas import FILE_KEY
 
-_LIST = re.compile(r'"([^"]*)"')
+#: A key in quotes or bare with a separator and a value, or with a block.
+ENTRY = re.compile(r"""(?:"(?P<quoted>[^"\n]+)"|(?P<bare>[A-Za-z_][\w-]*))\s*(?:(?P<sep>[:=])\s*(?=\S)|(?=(?P<block>\{)))""")
+STRING = re.compile(r"""\"((?:\\.|[^"\\])*)\"|'([^'\n]*)'""")
+WORD = re.compile(r"[^\s,\]}#]+")
+YAML_LINE = re.compile(r"^(?P<indent> *)(?P<dashes>(?:- +|-$)*)(?:(?P<key>\"[^\"]+\"|'[^']+'|[\w.:*/-]+?)\s*:(?=\s|$)\s*)?(?P<value>.*?)\s*(?:\s#.*)?$")
+FIELDS = {"effect": "effect", "action": "actions", "actions": "actions", "notaction": "not_actions", "notactions": "not_actions", "resource": "resources", "resources": "resources",
+          "principal": "principal", "principals": "principal", "condition": "conditions", "conditions": "conditions"}
+#: Characters of a statement that are kept as evidence; the rules read the whole statement.
+EVIDENCE = 300
 
 
-def _strings(v) -> list[str]:
+def _texts(v) -> list[str]:
     return [v] if isinstance(v, str) else [x for x in v if isinstance(x, str)] if isinstance(v, list) else []
 
 
-def _get(d: dict, key: str):
-    return d.get(key, d.get(key[0].lower() + key[1:]))
-
-
-def _row(effect, principal, actions, not_actions, resources, conditions, line, snippet) -> dict:
-    return {"effect": effect, "principal": None if principal is None else json.dumps(principal),
-            "actions": ["!" + a for a in not_actions] or actions, "resources": resources,
-            "conditions": None if conditions is None else json.dumps(conditions),
-            "source_line": line, "raw_snippet": snippet[:300]}
+def _value(text: str, close: dict[int, int], at: int):
+    """The value that begins at ``at`` and the place after it."""
+    if text[at] in "[{" and at in close:
+        end = close[at]
+        return (_list if text[at] == "[" else _entries)(text, close, at + 1, end - 1), end
+    if m := STRING.match(text, at):
+        return (json.loads(m.group(), strict=False) if m.group(1) is not None and "\\" in m.group() and _is_json(m.group()) else m.group(1) if m.group(1) is not None else m.group(2)), m.end()
+    m = WORD.match(text, at)
+    return (m.group(), m.end()) if m else (None, at + 1)
 
 
-def _walk(node, content: str) -> Iterator[dict]:
-    """Statements of a JSON document, at any depth."""
-    stack = [node]
-    while stack:
-        n = stack.pop()
-        if isinstance(n, list):
-            stack.extend(reversed(n))
-        elif isinstance(n, dict):
-            stmts = n.get("Statement")
-            for s in stmts if isinstance(stmts, list) else [stmts]:
-                if isinstance(s, dict):
-                    text = json.dumps(s, separators=(",", ":"), ensure_ascii=False)
-                    at = content.find(text[1:30]) if len(text) > 10 else -1
-                    yield _row(_get(s, "Effect") if isinstance(_get(s, "Effect"), str) else None, _get(s, "Principal"),
-                               _strings(_get(s, "Action")), _strings(_get(s, "NotAction")), _strings(_get(s, "Resource")),
-                               _get(s, "Condition"), content.count("\n", 0, at) + 1 if at >= 0 else None, text)
-            stack.extend(reversed(list(n.values())))
-
-
-def _json(text: str, content: str) -> Iterator[dict]:
+def _is_json(text: str) -> bool:
     try:
-        yield from _walk(json.loads(text), content)
+        json.loads(text, strict=False)
     except ValueError:
-        return
-
-
-def _terraform(content: str) -> Iterator[dict]:
-    for m in re.finditer(r"jsonencode\s*\(\s*(\{.*?\})\s*\)", content, re.S):
-        body = re.sub(r"(?m)^\s*#.*$|//.*$", "", m.group(1))
-        yield from _json(re.sub(r",(\s*[}\]])", r"\1", body), content)
-    for m in re.finditer(r'data\s+"aws_iam_policy_document"[^{]*\{(.*?)\n\}\s*$', content, re.S | re.M):
-        for s in re.finditer(r"statement\s*\{(.*?)\n\s*\}", m.group(1), re.S):
-            block = s.group(1)
-
-            def items(key: str) -> list[str]:
-                found = re.search(rf"(?i)(?<![\w]){key}\s*=\s*\[([^\]]*)\]", block)
-                return [x for x in _LIST.findall(found.group(1)) if x] if found else []
-
-            effect = re.search(r'(?i)effect\s*=\s*"([^"]+)"', block)
-            who = [f"{p.group(1)}:{i}" for p in re.finditer(
-                r'principals\s*\{[^}]*type\s*=\s*"([^"]+)"[^}]*identifiers\s*=\s*\[([^\]]*)\][^}]*\}', block)
-                for i in _LIST.findall(p.group(2)) if i]
-            at = content.find(s.group(0))
-            yield _row(effect.group(1) if effect else "Allow", {"hcl": who} if who else None, items("actions"),
-                       items("not_actions"), items("resources"), {"hcl": True} if re.search(r"condition\s*\{", block) else None,
-                       content.count("\n", 0, at) + 1 if at >= 0 else None, s.group(0))
-    for m in re.finditer(r"<<-?([A-Z_][A-Z0-9_]*)\s*\n(.*?)\n\s*\1\s*$", content, re.S | re.M):
-        yield from _json(re.sub(r"\$\{[^}]+\}", "PLACEHOLDER", m.group(2)), content)
-
-
-def _yaml_list(text: str, key: str) -> list[str]:
-    m = re.search(rf"(?<![A-Za-z]){key}\s*:\s*(.*?)(?:\n\s+[A-Z][a-z]+\s*:|\Z)", text, re.S)
-    if not m:
-        return []
-    body = m.group(1).strip()
-    unquote = lambda x: re.sub(r'^"|"$', "", x.strip())
-    if body.startswith("["):
-        return [x for x in map(unquote, re.sub(r"^\[|\]$", "", body).split(",")) if x]
-    if "\n" not in body and not body.startswith("-"):
-        return [unquote(body)]
-    lines = [l.strip() for l in body.split("\n")]
-    return [x for x in (unquote(re.sub(r"^-\s*", "", l)) for l in lines if l.startswith("-")) if x]
-
-
-def _yaml(content: str) -> Iterator[dict]:
-    block: list[str] = []
-    start, base = 0, None
-
-    def flush() -> Iterator[dict]:
-        if block:
-            text = "\n".join(block)
-            effect = re.search(r'(?m)^[\s-]*Effect\s*:\s*"?([A-Za-z]+)"?', text)
-            who = re.search(r"Principal\s*:\s*(.*?)(?:\n\s+[A-Z][a-z]+\s*:|\Z)", text, re.S)
-            yield _row(effect.group(1) if effect else None, {"yaml": who.group(1).strip()} if who else None,
-                       _yaml_list(text, "Action"), _yaml_list(text, "NotAction"), _yaml_list(text, "Resource"),
-                       {"yaml": True} if re.search(r"(?i)Condition\s*:", text) else None, start + 1, text)
-
-    for i, line in enumerate(re.split(r"\r?\n", content)):
-        t = line.strip()
-        indent = len(line) - len(line.lstrip()) if t else -1
-        if re.match(r"(?i)Statement\s*:\s*$", t):
-            yield from flush()
-            block, base = [], indent
-        elif base is not None and t and indent <= base:
-            yield from flush()
-            block, base = [], None
-        elif base is not None and (t.startswith("- ") or t == "-"):
-            yield from flush()
-            block, start = [line], i
-        elif base is not None and block:
-            block.append(line)
-    yield from flush()
+        return False
+    return True
+
+
+def _list(text: str, close: dict[int, int], at: int, end: int) -> list:
+    out = []
+    while at < end:
+        if text[at] in " \t\r\n,":
+            at += 1
+        elif text[at] == "#":
+            at = text.find("\n", at) if "\n" in text[at:end] else end
+        else:
+            v, at = _value(text, close, at)
+            out.append(v)
+    return out
+
+
+def _entries(text: str, close: dict[int, int], at: int, end: int) -> dict:
+    """Entries at the top level of a braced text; a key that comes again gathers its values."""
+    out: dict = {}
+    while at < end:
+        m = ENTRY.match(text, at, end)
+        if m:
+            v, at = _value(text, close, m.end())
+            key = m["quoted"] or m["bare"]
+            out[key] = v if key not in out else (out[key] if isinstance(out[key], list) else [out[key]]) + [v]
+        elif text[at] in "#/" and text[at : at + 2] in ("//", "# ") or text[at] == "#":
+            stop = text.find("\n", at)
+            at = end if stop < 0 else stop
+        else:
+            at = close[at] if at in close else STRING.match(text, at).end() if text[at] in "\"'" and STRING.match(text, at) else at + 1
+    return out
+
+
+def _fields(entries: dict) -> dict:
+    """Entries under the names of the statement's columns, however the syntax spells them."""
+    out: dict = {}
+    for key, v in entries.items():
+        if field := FIELDS.get(key.replace("_", "").lower()):
+            out[field] = v
+    return out
+
+
+def _blocks(v, name: str) -> list[dict]:
+    return [x for x in (v if isinstance(v, list) else [v]) if isinstance(x, dict) and name in x]
+
+
+def _statement(entries: dict, line: int | None, evidence: str, effect: str | None = None) -> dict:
+    f = _fields(entries)
+    who, cond = f.get("principal"), f.get("conditions")
+    if found := _blocks(who, "identifiers"):  # blocks of a type and identifiers
+        by: dict = {}
+        for b in found:
+            by.setdefault(str(b.get("type", "AWS")), []).extend(_texts(b["identifiers"]))
+        who = by
+    if found := _blocks(cond, "variable"):  # blocks of a test, a variable and values
+        cond = {}
+        for b in found:
+            cond.setdefault(str(b.get("test", "")), {})[str(b["variable"])] = _texts(b.get("values"))
+    effect = f.get("effect") if isinstance(f.get("effect"), str) else effect
+    return {"effect": effect, "principal": None if who is None else json.dumps(who), "actions": ["!" + a for a in _texts(f.get("not_actions"))] or _texts(f.get("actions")),
+            "resources": _texts(f.get("resources")), "conditions": None if cond is None else json.dumps(cond), "source_line": line, "raw_snippet": evidence[:EVIDENCE]}
+
+
+def braced(content: str) -> list[dict]:
+    """Statements of JSON and Terraform texts: what stands under a key Statement, and the statement blocks of policy documents."""
+    close = pairs(content)
+    out, found = [], []
+    for m in re.finditer(r"""(?<![\w"])"?Statement"?\s*[:=]\s*(?=[\[{])""", content):
+        begin = m.end()
+        if begin in close:
+            inside = [begin] if content[begin] == "{" else [i for i in _children(content, close, begin) if content[i] == "{"]
+            found += [(i, None) for i in inside]
+    documents = [(m.end() - 1, close[m.end() - 1]) for m in re.finditer(r'data\s+"aws_iam_policy_document"\s+"[^"]*"\s*\{', content) if m.end() - 1 in close]
+    for m in re.finditer(r"(?<!\w)statement\s*\{", content):
+        if m.end() - 1 in close and any(a < m.start() < b for a, b in documents):
+            found.append((m.end() - 1, "Allow"))  # the default of such blocks
+    at, line = 0, 1
+    for begin, effect in sorted(found):
+        line, at = line + content.count("\n", at, begin), begin
+        out.append(_statement(_entries(content, close, begin + 1, close[begin] - 1), line, content[begin : close[begin]], effect))
+    return out
+
+
+def _children(content: str, close: dict[int, int], begin: int) -> Iterator[int]:
+    """The brackets directly within one."""
+    at, end = begin + 1, close[begin] - 1
+    while at < end:
+        if at in close:
+            yield at
+            at = close[at]
+        else:
+            m = STRING.match(content, at) if content[at] in "\"'" else None
+            at = m.end() if m else at + 1
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if text[:1] in "[{":
+        return _value(text, pairs(text), 0)[0]
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'" else text
+
+
+def _tree(lines: list[tuple[int, str | None, bool, str]]):
+    """Nested values of lines (indent, key, whether an item begins, value) that lie below one key."""
+    if not lines:
+        return None
+    top = lines[0][0]
+    parts: list[list] = []
+    for row in lines:
+        if row[0] <= top and (lines[0][2] or not row[2]):  # items may stand as deep as the key they belong to
+            parts.append([row])
+        else:
+            parts[-1].append(row)
+    if lines[0][2]:
+        return [_item(p) for p in parts]
+    out = {}
+    for (_, key, _, value), *below in parts:
+        if key is not None:
+            out[key] = _scalar(value) if value else _tree(below)
+    return out if out else _scalar(" ".join(r[3] for r in lines))
+
+
+def _item(part: list):
+    (indent, key, _, value), *below = part
+    if key is None:
+        return _scalar(value) if value else _tree(below)
+    inner = min((r[0] for r in below), default=indent + 2)
+    # The first entry stands beside the dash; its own values are deeper than the entries after it.
+    return _tree([(inner if not value and below and below[0][2] else min(inner, indent + 2), key, False, value), *below]) if value else _tree([(indent + 2, key, False, value), *below])
+
+
+def indented(content: str) -> list[dict]:
+    """Statements of YAML texts: the items below each key Statement."""
+    rows = []
+    for n, line in enumerate(content.split("\n")):
+        m = YAML_LINE.match(line.rstrip("\r"))
+        if m and line.strip() and not line.lstrip().startswith("#"):
+            key = m["key"].strip("\"'") if m["key"] else None
+            dash = bool(m["dashes"])
+            rows.append((n + 1, len(m["indent"]), dash, key, m["value"], line))
+    out = []
+    for i, (_, indent, dash, key, value, _) in enumerate(rows):
+        if key != "Statement" or value:
+            continue
+        base = indent + (2 if dash else 0)
+        j = i + 1
+        while j < len(rows) and (rows[j][1] > base or rows[j][1] == base and rows[j][2]):
+            j += 1
+        body = rows[i + 1 : j]
+        top = min((r[1] for r in body), default=0)
+        starts = [k for k, r in enumerate(body) if r[1] == top and r[2]] or ([0] if body else [])
+        for a, b in zip(starts, [*starts[1:], len(body)]):
+            own = body[a:b]
+            tree = _tree([(r[1] + (2 if k == 0 and r[2] else 0), r[3], r[2] and k > 0, r[4]) for k, r in enumerate(own)])
+            if isinstance(tree, dict):
+                out.append(_statement(tree, own[0][0], "\n".join(r[5] for r in own)))
+    return out
 
 
 def statements_of(path: str, content: str) -> list[dict]:
     p = path.lower()
     if p.endswith(".json"):
-        return list(_json(content, content))
+        return braced(content) if _is_json(content) else []
     if p.endswith(".tf"):
-        return list(_terraform(content))
-    return list(_yaml(content)) if p.endswith((".yml", ".yaml")) else []
+        return braced(content)
+    return indented(content) if p.endswith((".yml", ".yaml")) else []
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = [{"repo": r.repo, "scan_id": r.scan_id, "path": r.path, "stmt_no": i, **s}
-               for r in pdf.itertuples(index=False) for i, s in enumerate(statements_of(r.path, r.content))]
-        if out:
-            df = pd.DataFrame(out)[_COLUMNS].astype(object)
-            yield df.where(df.notna(), None)
+STATEMENT = "struct<effect:string,principal:string,actions:array<string>,resources:array<string>,conditions:string,source_line:int,raw_snippet:string>"
 
 
-_COLUMNS = ["repo", "scan_id", "path", "stmt_no", "effect", "principal", "actions", "resources", "conditions",
-            "source_line", "raw_snippet"]
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text = pa.string()
+    kind = pa.list_(pa.struct([("effect", text), ("principal", text), ("actions", pa.list_(text)), ("resources", pa.list_(text)), ("conditions", text), ("source_line", pa.int32()), ("raw_snippet", text)]))
+    for batch in batches:
+        found = [statements_of(p or "", c or "") for p, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, kind)], [*FILE_KEY, "statements"])
 
 
-def iam_statements(files: DataFrame) -> DataFrame:
-    """Statements of candidate files (JSON, Terraform, YAML). NotAction entries carry a ``!``."""
+def iam_files(files: DataFrame) -> DataFrame:
+    """Candidate files (JSON, Terraform, YAML) with the array of their statements. NotAction entries carry a ``!``.
+
+    Files without the word are passed over before Python sees them.
+    """
     skip = reduce(lambda a, b: a | b, [F.lower("path").rlike(p) for p in R.CANDIDATE_SKIP])
-    f = files.where(is_iam_candidate(F.col("path"), F.col("size")) & ~skip)
-    return f.select(*FILE_KEY, "content").mapInPandas(_extract, IAM_STATEMENTS)
+    f = files.where(is_iam_candidate(F.col("path"), F.col("size")) & ~skip & F.col("content").rlike("(?i)statement"))
+    return f.select(*FILE_KEY, "content").mapInArrow(_extract, f"repo string, scan_id string, path string, statements array<{STATEMENT}>")
+
+
+def iam_statements(files: DataFrame) -> DataFrame:
+    """One row per statement; ``creates`` names the compute-creating actions that any statement of its file grants."""
+    f = iam_files(files).withColumn("creates", F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("statements", _creates)))), ", "))
+    return f.select(*FILE_KEY, "creates", F.posexplode("statements").alias("stmt_no", "s")).select(*FILE_KEY, "stmt_no", "s.*", "creates")
+
+
+def _creates(s: Column) -> Column:
+    """Compute-creating actions that a statement grants."""
+    plain = F.coalesce(F.lower(s["effect"]) == "allow", F.lit(False)) & ~F.exists(s["actions"], lambda a: a.startswith("!"))
+    return F.array_compact(F.array(*[F.when(plain & _grants_any([t], s["actions"]), F.lit(t)) for t in R.CREATE_COMPUTE]))
 
 
 def _grants(action: Column, target: str) -> Column:
@@ -162,8 +260,8 @@ def _grants(action: Column, target: str) -> Column:
     return (a == "*") | (a == target) | (a.endswith("*") & F.lit(target).startswith(F.regexp_replace(a, r"\*$", "")))
 
 
-def _grants_any(targets: list[str]) -> Column:
-    return F.exists("actions", lambda a: reduce(lambda x, y: x | y, [_grants(a, t) for t in targets]))
+def _grants_any(targets: list[str], actions: Column | str = "actions") -> Column:
+    return F.exists(actions, lambda a: reduce(lambda x, y: x | y, [_grants(a, t) for t in targets]))
 
 
 def _named(rule_id: str) -> Column:
@@ -178,9 +276,9 @@ def iam_findings(statements: DataFrame) -> DataFrame:
     plain = F.coalesce(allow, F.lit(False)) & ~negated
     star = F.array_contains("resources", "*")
     who, cond = F.col("principal"), F.col("conditions")
-    # Wildcard principals: the literal "*", {"AWS": "*"} or ["*"] under a key, or an HCL "type:*".
-    any_star = who.rlike(r'^"\*"$|^\{.*:\s*(?:"\*"|\[[^\]]*"\*"[^\]]*\])') | who.rlike(r'"hcl":\s*\[[^\]]*:\*\s*"')
-    aws_star = who.rlike(r'^"\*"$|(?i)"aws":\s*(?:"\*"|\[[^\]]*"\*"[^\]]*\])') | who.rlike(r'"hcl":\s*\[[^\]]*"(?i:aws):\*\s*"')
+    # Wildcard principals: the literal "*", or "*" alone or in a list under a key.
+    any_star = who.rlike(r'^"\*"$|^\{.*:\s*(?:"\*"|\[[^\]]*"\*"[^\]]*\])')
+    aws_star = who.rlike(r'^"\*"$|(?i)"aws":\s*(?:"\*"|\[[^\]]*"\*"[^\]]*\])')
     services = F.array_sort(F.array_distinct(F.filter(F.transform("actions", lambda a: F.split(F.lower(a), ":")[0]),
                                                       lambda s: s.isin(R.SENSITIVE_SERVICES))))
     services = F.filter(services, lambda s: F.exists("actions", lambda a: F.lower(a).startswith(F.concat(s, F.lit(":")))))
@@ -191,9 +289,8 @@ def iam_findings(statements: DataFrame) -> DataFrame:
     trust = (F.coalesce(allow, F.lit(True)) & F.exists("actions", lambda a: a.rlike("(?i)sts:AssumeRoleWithWebIdentity"))
              & F.lower(who).contains(R.OIDC_HOST))
     sub = F.regexp_extract(cond, r'(?i)"token\.actions\.githubusercontent\.com:sub":\s*\[?\s*"([^"]*)"', 1)
-    opaque = cond.rlike(r'^\{"(hcl|yaml)":')
     oidc = F.when(trust & cond.isNull(), _named("iam-oidc-no-condition")).when(
-        trust & ~opaque & (sub != ""),
+        trust & (sub != ""),
         F.when(sub.rlike(r"^repo:[^/:]*/\*:|^repo:\*:"), _named("iam-oidc-wildcard-repo"))
         .when(F.lower(sub).endswith(":pull_request"), _named("iam-oidc-pull-request-trust"))
         .when(sub.rlike(r"^repo:[^/:]+/[^:]+:ref:\*") | sub.endswith(":*"), _named("iam-oidc-wildcard-ref")))
@@ -206,20 +303,12 @@ def iam_findings(statements: DataFrame) -> DataFrame:
         F.when(plain & star & (full | (wide >= R.SERVICE_WILDCARDS)), _named("iam-action-resource-wildcard")),
         F.when(plain & star & ~full & (F.size(services) > 0), _named("iam-sensitive-service-wildcard")),
         F.when(allow & aws_star & cond.isNull(), _named("iam-principal-wildcard")),
+        F.when(pass_role & (F.col("creates") != ""), _named("iam-passrole-with-create-compute")),
     ]
-    base = statements.select(*FILE_KEY, "stmt_no", "source_line", "raw_snippet",
-                             F.explode(F.array_compact(F.array(*rules))).alias("r"),
-                             F.when(F.size(services) > 0, F.array_join(services, ", ")).alias("services"))
-    base = base.withColumn("detail", F.when(F.col("r.rule_id") == "iam-sensitive-service-wildcard", F.col("services"))).drop("services")
-    # PassRole in a file that also creates compute: a per-file summary of the creating statements.
-    makes = F.array_compact(F.array(*[F.when(plain & _grants_any([t]), F.lit(t)) for t in R.CREATE_COMPUTE]))
-    compute = statements.select(*FILE_KEY, F.explode(makes).alias("t")).groupBy(*FILE_KEY).agg(
-        F.array_join(F.array_sort(F.collect_set("t")), ", ").alias("detail"))
-    combo = statements.where(pass_role).select(*FILE_KEY, "stmt_no", "source_line", "raw_snippet").join(compute, FILE_KEY)
-    combo = combo.withColumn("r", _named("iam-passrole-with-create-compute"))
-    cols = [*FILE_KEY, "stmt_no", F.col("source_line").alias("line_no"), "r.rule_id", "r.rule_name", "r.severity", "r.category",
-            "detail", F.col("raw_snippet").alias("evidence")]
-    return base.select(*cols).unionByName(combo.select(*cols))
+    out = statements.withColumn("r", F.explode(F.array_compact(F.array(*rules)))).withColumn("services", F.when(F.size(services) > 0, F.array_join(services, ", ")))
+    detail = F.when(F.col("r.rule_id") == "iam-sensitive-service-wildcard", F.col("services")).when(F.col("r.rule_id") == "iam-passrole-with-create-compute", F.col("creates"))
+    return out.select(*FILE_KEY, "stmt_no", F.col("source_line").alias("line_no"), "r.rule_id", "r.rule_name", "r.severity", "r.category",
+                      detail.alias("detail"), F.col("raw_snippet").alias("evidence"))
 
 
 def iam_scores(findings: DataFrame, scans: DataFrame) -> DataFrame:
@@ -232,14 +321,18 @@ def iam_scores(findings: DataFrame, scans: DataFrame) -> DataFrame:
     return out.select("repo", "scan_id", score.alias("iam_score"), level.alias("iam_level"), F.coalesce("n", F.lit(0)).alias("findings"))
 
 
-def iam_breakdown(findings: DataFrame) -> DataFrame:
+def iam_breakdown(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
     """Findings and worst severity for each of the three categories, zero when absent."""
     per = []
     for c in R.CATEGORIES:
         mine = F.when(F.col("category") == c, sev.rank(F.col("severity")))
         per.append(F.struct(F.lit(c).alias("category"), F.count(mine).alias("n"),
                             F.min_by("severity", mine).alias("_s"), F.min(mine).alias("_r")))
-    g = findings.groupBy("repo", "scan_id").agg(F.array(*per).alias("x")).select("repo", "scan_id", F.inline("x"))
+    f = findings.select("repo", "scan_id", "category", "severity")
+    if scans is not None:
+        none = F.lit(None).cast("string")
+        f = f.unionByName(scans.select("repo", "scan_id").distinct().select("repo", "scan_id", none.alias("category"), none.alias("severity")))
+    g = f.groupBy("repo", "scan_id").agg(F.array(*per).alias("x")).select("repo", "scan_id", F.inline("x"))
     return g.select("repo", "scan_id", "category", "n", F.when(F.col("_r").isNotNull(), F.col("_s")).alias("worst"))
 
 

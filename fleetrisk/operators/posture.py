@@ -26,12 +26,12 @@ PRESENCE = {
 
 
 def file_signals(files: DataFrame) -> DataFrame:
-    """Presence flags, README and .gitignore text, and release provenance, per repository."""
+    """Presence flags, README and .gitignore text, and release provenance, per scan of a repository."""
     path = F.col("path")
     flow = path.rlike(r"(?i)^\.github/workflows/[^/]+\.ya?ml$")
     wanted = [p for ps in PRESENCE.values() for p in ps] + ["README.md", ".gitignore"]
     f = files.where(path.isin(wanted) | flow)
-    g = f.groupBy("repo").agg(
+    g = f.groupBy("repo", "scan_id").agg(
         *[F.bool_or(path.isin(ps)).alias(k) for k, ps in PRESENCE.items()],
         F.max(F.when(path == "README.md", F.col("content"))).alias("readme"),
         F.max(F.when(path == ".gitignore", F.col("content"))).alias("gitignore"),
@@ -40,10 +40,10 @@ def file_signals(files: DataFrame) -> DataFrame:
     return g.withColumn("release_provenance", state).drop("_signed")
 
 
-def signed_ratio(commits: DataFrame) -> DataFrame:
-    """Verified share of the latest 30 commits."""
-    r = recent_commits(commits.select("repo", "scan_id", "sha", "author_date", "committer_date", "verified"))
-    return r.groupBy("repo").agg(F.avg(F.coalesce("verified", F.lit(False)).cast("double")).alias("signed_commits_ratio"))
+def signed_ratio(commits: DataFrame, depth: int = 30) -> DataFrame:
+    """Verified share of the latest ``depth`` commits of each scan."""
+    r = recent_commits(commits.select("repo", "scan_id", "sha", "author_date", "committer_date", "verified"), depth)
+    return r.groupBy("repo", "scan_id").agg(F.avg(F.coalesce("verified", F.lit(False)).cast("double")).alias("signed_commits_ratio"))
 
 
 def ruleset_rollup(rules: DataFrame, rulesets: DataFrame) -> DataFrame:

@@ -239,19 +239,29 @@ def _cost(cond: Column) -> Column:
     return F.greatest(F.lit(0), 100 - F.sum(F.when(cond, points).otherwise(0))).cast("int")
 
 
-def supply_scores(findings: DataFrame) -> DataFrame:
+def _with_scans(findings: DataFrame, scans: DataFrame | None) -> DataFrame:
+    """The columns that scores read; scans without a signal come as a row without severity."""
+    f = findings.select("repo", "scan_id", "category", "severity")
+    if scans is None:
+        return f
+    none = F.lit(None).cast("string")
+    return f.unionByName(scans.select("repo", "scan_id").distinct().select("repo", "scan_id", none.alias("category"), none.alias("severity")))
+
+
+def supply_scores(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """Score, signals and level per scan; with ``scans`` those without a signal score 100."""
     score = _cost(F.lit(True))
-    return findings.groupBy("repo", "scan_id").agg(score.alias("score"), F.count(F.lit(1)).alias("n")).withColumn("level", level(F.col("score")))
+    return _with_scans(findings, scans).groupBy("repo", "scan_id").agg(score.alias("score"), F.count("severity").alias("n")).withColumn("level", level(F.col("score")))
 
 
-def supply_breakdown(findings: DataFrame) -> DataFrame:
+def supply_breakdown(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
     """Score and severity counts for each of the five categories; empty ones score 100."""
     per = []
     for c in CATEGORIES:
         mine = F.col("category") == c
         per.append(F.struct(F.lit(c).alias("category"), _cost(mine).alias("score"), F.count_if(mine).alias("n"),
                             *[F.count_if(mine & (F.col("severity") == s)).alias(s.lower()) for s in PENALTY]))
-    return findings.groupBy("repo", "scan_id").agg(F.array(*per).alias("x")).select("repo", "scan_id", F.inline("x"))
+    return _with_scans(findings, scans).groupBy("repo", "scan_id").agg(F.array(*per).alias("x")).select("repo", "scan_id", F.inline("x"))
 
 
 def manifests_scanned(files: DataFrame) -> DataFrame:

@@ -19,15 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def split_small(df: DataFrame) -> DataFrame:
-    """Split a table stored in fewer pieces than there are cores, before text is built on it.
-
-    A no-op on tables with enough splits, which is every table at cluster scale.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def repo_of(key: Column) -> Column:
     """A third of all keys belong to one repository."""
     return F.when(key % 3 == 0, F.lit("acme/mono")).otherwise(
@@ -53,7 +44,7 @@ def snippet_files(spark: SparkSession, sf_dir: str, items: list[str], paths: lis
     """One file per row of ``source``; content and path follow the key."""
     k = F.col(key)
     text = snippet_text(items, k, base, spread)
-    return split_small(table(spark, sf_dir, source).select(key)).select(
+    return table(spark, sf_dir, source).select(key).select(
         repo_of(k).alias("repo"), F.lit("s1").alias("scan_id"), path_of(paths, k).alias("path"),
         F.length(text).cast("bigint").alias("size"), text.alias("content"),
     )
@@ -75,7 +66,7 @@ def token_files(spark: SparkSession, sf_dir: str, paths: list[tuple[str, str]])
     text = snippet_text(TOKEN_LINES, k)
     for n in (12, 20, 24, 32, 36):
         text = F.replace(text, F.lit("{%d}" % n), F.substring(hexed, 1, n))
-    return split_small(table(spark, sf_dir, "orders").select("o_orderkey")).select(
+    return table(spark, sf_dir, "orders").select("o_orderkey").select(
         repo_of(k).alias("repo"), F.lit("s1").alias("scan_id"), path_of(paths, k).alias("path"),
         F.length(text).cast("bigint").alias("size"), text.alias("content"),
     )
@@ -85,7 +76,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as configuration files: planted tokens move to key/value lines, whole texts kept."""
     text = F.regexp_replace("text", r" ?token = \"([0-9a-f]{40})\"", "\napi_key = \"$1\"\nplain = 1\n")
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    return split_small(d).select(
+    return d.select(
         F.concat(F.lit("docs/"), "source").alias("repo"), F.lit("s1").alias("scan_id"),
         F.concat("lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".conf")).alias("path"),
         F.col("n_chars").alias("size"), text.alias("content"),

@@ -42,16 +42,16 @@ FRAMEWORK_MANIFESTS = [
 FRAMEWORKS_OF = [["express", "nestjs"], ["django", "flask"], ["spring"], ["laravel"], ["rails"], ["fastapi"]]
 ORACLE_FRAMEWORKS = (
     "fw AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'acme/mono' ELSE 'org' || (c_custkey % 5) || '/svc' || (c_custkey % 11) END AS repo, "
-    f"unnest(({FRAMEWORKS_OF!r})[c_custkey % {len(FRAMEWORKS_OF)} + 1]) AS framework FROM customer WHERE c_acctbal > 9000)"
+    f"unnest(({FRAMEWORKS_OF!r})[c_custkey % {len(FRAMEWORKS_OF)} + 1]) AS framework FROM customer)"
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Framework manifests of a subset of repositories, one per wealthy customer."""
+    """Framework manifests, one per customer."""
     k = F.col("c_custkey")
-    c = D.table(spark, sf_dir, "customer").where("c_acctbal > 9000")
+    c = D.table(spark, sf_dir, "customer")
     return c.select(
         D.repo_of(k).alias("repo"), F.lit("s1").alias("scan_id"),
         F.concat(F.lit("m"), (k % 6).cast("string"), F.lit("/"), D.pick([n for n, _ in FRAMEWORK_MANIFESTS], k)).alias("path"),
@@ -79,7 +79,7 @@ def path_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 def file_priority(spark: SparkSession, sf: str) -> DataFrame:
     f = D.snippet_files(spark, sf, [""], S.SCAN_PATHS).where(gates.is_scannable(F.col("path"), F.col("size")))
-    return gates.prioritized(f, 50).select("repo", F.col("path").alias("file_path"), "tier", "scan_rank")
+    return gates.prioritized(f).select("repo", F.col("path").alias("file_path"), "tier")
 
 
 def framework_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +91,7 @@ def detector_queries() -> dict[str, Query]:
     code = S.JS + S.PY
     return {
         "flt_path_facts": path_facts,
-        "flt_coverage": lambda spark, sf: gates.scan_coverage(D.snippet_files(spark, sf, [""], S.SCAN_PATHS), 50).drop("scan_id"),
+        "flt_coverage": lambda spark, sf: gates.scan_coverage(D.snippet_files(spark, sf, [""], S.SCAN_PATHS)).drop("scan_id"),
         "top_2_file_priority": file_priority,
         "sfn_1_sensitive_files": lambda spark, sf: sensitive.sensitive_files(
             D.snippet_files(spark, sf, [""], S.SENSITIVE_PATHS)).select("repo", "file_path", "rule_id", "severity"),
@@ -130,7 +130,7 @@ def _now():
 
 
 def _breakdown(f: DataFrame) -> DataFrame:
-    b = score.breakdown(f)
+    b = score.breakdown(f, f)
     parts = ["critical", "high", "medium", "low", "fixture"]
     return b.select("repo", "scan_id", *[F.round(p, 4).alias(p) for p in parts], "risk_score",
                     score.health_label(F.col("risk_score")).alias("label"))
@@ -185,10 +185,10 @@ def finding_queries() -> dict[str, Query]:
     return {
         "agg_2_finding_scores": _on_findings(lambda f: score.scored(f).select("ord", F.round("score", 6).alias("score"))),
         "agg_3_repo_scores": _on_findings(_breakdown),
-        "agg_5_severity_counts": _on_findings(score.severity_counts),
+        "agg_5_severity_counts": _on_findings(lambda f: score.severity_counts(f, f)),
         "agg_7_category_rollup": _on_findings(lambda f: score.category_rollup(f).select(
             "repo", "scan_id", "category", "n", sev.rank(F.col("worst")).alias("worst_rank"))),
-        "agg_15_detector_counts": _on_findings(score.detector_counts),
+        "agg_15_detector_counts": _on_findings(lambda f: score.detector_counts(f, f)),
         "top_1_worst_findings": _on_findings(lambda f: score.top_findings(f, 10).select(
             "repo", "scan_id", "rank", "ord", F.round("score", 6).alias("score"))),
         "diff_1_fingerprints": _on_findings(lambda f: f.select("ord", diff.fingerprint().alias("fp"))),
@@ -219,7 +219,7 @@ def finding_queries() -> dict[str, Query]:
         "sql_9_stable_ids": lambda spark, sf: A.stabilise_ids(
             V.view(spark, sf, V.SCANS_SQL), D.table(spark, sf, "customer").select(
                 F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("legacy_id"),
-                F.concat(F.lit("stable-"), F.col("c_custkey").cast("string")).alias("user_id")).where("legacy_id < 'u5'")
+                F.concat(F.lit("stable-"), F.col("c_custkey").cast("string")).alias("user_id"))
         ).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")),
     }
 
@@ -310,7 +310,7 @@ def _patches(spark: SparkSession, sf: str) -> DataFrame:
 def _dep_bumps(spark: SparkSession, sf: str) -> DataFrame:
     """Bumps of the advisories found in the derived requirements files."""
     files = M.REQUIREMENTS.files(spark, sf)
-    d = deps.requirements_txt(files).where("name = 'django' or name = 'pandas'").dropDuplicates(["scan_id", "name", "version"])
+    d = deps.requirements_txt(files).dropDuplicates(["scan_id", "name", "version"])
     f = conform(d, FINDINGS, kind=F.lit("dependency"), package=F.col("name"), vulnerable_versions=F.lit(">= 1.0.0, < 9.9.1"), ord=F.col("name"))
     return fix.patches(f, files).select("scan_id", "ord", "summary", F.md5("patched").alias("patched"))
 
@@ -338,12 +338,12 @@ def dependency_queries() -> dict[str, Query]:
         "supc_5_python_hooks": lambda spark, sf: supply.python_hooks(M.SETUP_PY.files(spark, sf)).groupBy("scan_id", "severity", "pattern").agg(F.count(F.lit(1)).alias("n")),
         "supc_6_registry_signals": lambda spark, sf: supply.registry_signals(M.PACKAGE_JSON.files(spark, sf), registry_snapshot(spark, sf), F.lit(AS_OF).cast("timestamp")).select(
             "scan_id", "category", "severity", "package", "pattern"),
-        "supc_10_scores": lambda spark, sf: supply.supply_scores(_supply(spark, sf)).select("scan_id", "score", "n", "level"),
+        "supc_10_scores": lambda spark, sf: supply.supply_scores(_supply(spark, sf), M.PACKAGE_JSON.files(spark, sf)).select("scan_id", "score", "n", "level"),
         "pos_1_signals": lambda spark, sf: posture.posture_signals(settings(spark, sf)).drop("ord", "points_max", "category"),
         "pos_8_scores": lambda spark, sf: posture.posture_scores(posture.posture_signals(settings(spark, sf))),
         "pos_8_breakdown": lambda spark, sf: posture.posture_breakdown(posture.posture_signals(settings(spark, sf))),
-        "iam_7_breakdown": lambda spark, sf: iam.iam_breakdown(_iam(spark, sf)).drop("repo"),
-        "supc_10_breakdown": lambda spark, sf: supply.supply_breakdown(_supply(spark, sf)).drop("repo"),
+        "iam_7_breakdown": lambda spark, sf: iam.iam_breakdown(_iam(spark, sf), M.IAM_POLICY.files(spark, sf)).drop("repo"),
+        "supc_10_breakdown": lambda spark, sf: supply.supply_breakdown(_supply(spark, sf), M.PACKAGE_JSON.files(spark, sf)).drop("repo"),
         "pos_9_quick_wins": lambda spark, sf: posture.quick_wins(posture.posture_signals(settings(spark, sf))),
         "pos_6_rulesets": lambda spark, sf: posture.ruleset_rollup(*rulesets(spark, sf)),
         "pos_6_bypass": lambda spark, sf: posture.bypass_findings(*rulesets(spark, sf)).groupBy("repo", "description").agg(F.count(F.lit(1)).alias("n")),
@@ -356,10 +356,11 @@ def dependency_queries() -> dict[str, Query]:
 
 
 def document_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole documents: token and entropy secrets, scored, summed and labelled per repository."""
+    """Whole documents: token and entropy secrets, scored, summed, labelled and ranked, for every repository."""
     files = D.document_files(spark, sf)
     found = score.flatten({"secrets": secrets.token_secrets(files).unionByName(secrets.entropy_secrets(files, DOC_ENTROPY))})
-    return score.breakdown(found).select(
+    ranked = score.breakdown(found, files).orderBy(F.desc("risk_score"), "repo")
+    return ranked.select(
         "repo", "findings", F.round(F.col("high"), 4).alias("high"), F.round(F.col("medium"), 4).alias("medium"), "risk_score",
         score.health_label(F.col("risk_score")).alias("label"))
 
@@ -386,7 +387,7 @@ def commits(spark: SparkSession, sf: str) -> DataFrame:
     text = D.snippet_text(PATCH_LINES, k, 5, 7)
     for n in (12, 32, 36):
         text = F.replace(text, F.lit("{%d}" % n), F.substring(hexed, 1, n))
-    o = D.split_small(D.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
+    o = D.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     patch = F.struct(F.concat(F.lit("src/f"), (k % 6).cast("string"), F.lit(".ts")).alias("filename"), F.lit("modified").alias("status"), text.alias("patch"))
     return o.select(D.repo_of(k).alias("repo"), F.lit("s1").alias("scan_id"), F.concat(F.lit("c"), k.cast("string")).alias("sha"),
                     F.lit("dev").alias("author_name"), F.col("o_orderdate").alias("author_date"), F.lit(None).cast("string").alias("committer_name"),
@@ -396,11 +397,10 @@ def commits(spark: SparkSession, sf: str) -> DataFrame:
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """History secrets minus those the tree still holds."""
     k = F.col("o_orderkey")
-    tree = D.snippet_files(spark, sf, ["x = 1"], [("src/f", ".ts")]).limit(0)
-    held = D.split_small(D.table(spark, sf, "orders").select("o_orderkey").where("o_orderkey % 4 = 0")).select(
+    held = D.table(spark, sf, "orders").select("o_orderkey").select(
         D.repo_of(k).alias("repo"), F.lit("s1").alias("scan_id"), F.concat(F.lit("src/f"), (k % 6).cast("string"), F.lit(".ts")).alias("path"), F.lit(10).cast("bigint").alias("size"),
-        F.concat(F.lit("const a = 'ghp_"), F.substring(F.concat(F.md5((k % 40).cast("string")), F.md5((k % 40 + 1).cast("string"))), 1, 36), F.lit("'")).alias("content"))
-    tree = secrets.token_secrets(tree.select(*held.columns).unionByName(held))
+        F.when(k % 4 == 0, F.concat(F.lit("const a = 'ghp_"), F.substring(F.concat(F.md5((k % 40).cast("string")), F.md5((k % 40 + 1).cast("string"))), 1, 36), F.lit("'"))).otherwise("x = 1").alias("content"))
+    tree = secrets.token_secrets(held)
     return secrets.history_secrets(commits(spark, sf), tree).select("repo", "file_path", "line_no", "rule_id", "line_content", "commit_sha")
 
 
@@ -417,7 +417,7 @@ def stream_queries() -> dict[str, Query]:
     return {
         "sec_4_added_lines": lambda spark, sf: secrets.added_lines(commits(spark, sf)).select("sha", "path", "line_no", "line"),
         "sec_5_history_secrets": history,
-        "pos_4_signed_ratio": lambda spark, sf: posture.signed_ratio(commits(spark, sf)).select("repo", F.round("signed_commits_ratio", 6).alias("ratio")),
+        "pos_4_signed_ratio": lambda spark, sf: posture.signed_ratio(commits(spark, sf)).select("repo", "scan_id", F.round("signed_commits_ratio", 6).alias("ratio")),
         "str_1_quota": lambda spark, sf: quota.quota(rate_events(spark, sf), quota.Policy(3)).drop("id"),
         "str_4_event_counters": lambda spark, sf: incremental.event_counters(scan_events(spark, sf)).withColumn("mean_ms", F.round("mean_ms", 4)),
     }
@@ -432,7 +432,7 @@ def _presence(spark: SparkSession, sf: str) -> DataFrame:
     flows = D.snippet_files(spark, sf, S.WORKFLOW + ["      attestations: write"], WORKFLOW_PATHS)
     key = F.concat("repo", F.lit("-"), F.pmod(F.length("content"), F.lit(97)).cast("string"))
     g = posture.file_signals(f.unionByName(flows).withColumn("repo", key))
-    return g.select("repo", *posture.PRESENCE, "release_provenance")
+    return g.select("repo", "scan_id", *posture.PRESENCE, "release_provenance")
 
 
 def misc_queries() -> dict[str, Query]:
@@ -458,7 +458,7 @@ def misc_queries() -> dict[str, Query]:
 
     return {
         "flt_3_binary": binary, "flt_10_self_reference": self_refs, "flt_12_identifiers": identifiers, "sf_7_repo_urls": urls,
-        "sf_1_entropy": lambda spark, sf: D.split_small(D.table(spark, sf, "documents").select("doc_id", "text")).select(
+        "sf_1_entropy": lambda spark, sf: D.table(spark, sf, "documents").select(
             "doc_id", F.round(text.shannon_entropy(F.col("text")), 6).alias("entropy")),
         "fw_2_frameworks": lambda spark, sf: sast.detect_frameworks(manifest_files(spark, sf)).select("repo", "framework"),
         "src_8_container_reports": lambda spark, sf: sarif.container_findings(sarif.container_reports(M.SARIF_REPORT.files(spark, sf))).select(

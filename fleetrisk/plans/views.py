@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.plans.derived import TABLES, split_small, table
+from fleetrisk.plans.derived import TABLES, table
 
 
 def case_of(expr: str, items: list[str | None]) -> str:
@@ -87,7 +87,7 @@ SELECT {repo('c_custkey')} AS repo, {case_of('c_custkey', GLOBS)} AS path_glob,
   'reason ' || c_custkey AS reason,
   CASE WHEN c_custkey % 4 = 0 THEN CAST(NULL AS DATE) ELSE DATE '2025-01-01' + CAST(c_custkey % 300 AS INT) END AS expires,
   CAST(c_custkey AS INT) AS source_line
-FROM {{customer}} WHERE c_acctbal > 9800
+FROM {{customer}}
 """
 
 # Dependencies, advisories and licence rows over shared package names.
@@ -106,7 +106,7 @@ SELECT 'pkg' || (p_partkey % 200) AS name, {case_of('p_partkey', ['npm', 'PyPI',
   CASE WHEN p_size % 5 = 0 THEN CAST(NULL AS STRING) ELSE (p_size % 3 + 1) || '.' || (p_size % 9) || '.' || (p_partkey % 5) END AS fixed,
   {case_of('p_partkey', ['CRITICAL', 'HIGH', 'MODERATE', None])} AS db_severity,
   {case_of('p_size', ['9.8', '7.0', '4.2', 'CVSS:3.1/AV:N', None])} AS cvss
-FROM {{part}} WHERE p_partkey % 10 < 4
+FROM {{part}}
 """
 
 PACKAGE_LICENSES_SQL = f"""
@@ -145,7 +145,7 @@ FROM {part} GROUP BY p_partkey % 60
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the texts above on the tables of ``sf_dir``."""
-    used = {t: split_small(table(spark, sf_dir, t)) for t in TABLES if "{" + t + "}" in sql}
+    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql, **used)
 
 

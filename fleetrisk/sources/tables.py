@@ -13,6 +13,11 @@ def files_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checkouts(spark: SparkSession, root: str, scan_id: str = "head", depth: int = 2) -> DataFrame:
+    """Files of checkouts as text; see ``text_files`` for what is no text."""
+    return text_files(raw_checkouts(spark, root, scan_id, depth))[0]
+
+
+def raw_checkouts(spark: SparkSession, root: str, scan_id: str = "head", depth: int = 2) -> DataFrame:
     """Raw checkouts below ``root/<owner>/<repo>/…`` as files rows; executors read the files.
 
     ``depth`` is the number of directories that name a repository. Each file is one row, so a
@@ -25,7 +30,21 @@ def checkouts(spark: SparkSession, root: str, scan_id: str = "head", depth: int
     repo = F.array_join(F.slice(parts, 1, depth), "/")
     path = F.array_join(F.slice(parts, depth + 1, F.size(parts)), "/")
     return b.select(repo.alias("repo"), F.lit(scan_id).alias("scan_id"), path.alias("path"), F.col("length").alias("size"),
-                    F.decode("content", "UTF-8").alias("content"))
+                    "content")
+
+
+def text_files(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, rejected) of rows with bytes as content: text is decoded for paths that a scan reads, and only if it is UTF-8.
+
+    Pictures, archives and the like are told by their path and never decoded; their row stays, with null content, for the
+    detectors that read names. The rejected are scannable paths whose bytes are no UTF-8: their invalid parts are replaced in files.
+    """
+    from fleetrisk.operators.gates import is_scannable
+
+    read = is_scannable(F.col("path"), F.col("size"))
+    valid = F.try_validate_utf8(F.col("content").cast("string")).isNotNull()
+    files = raw.withColumn("content", F.when(read, F.make_valid_utf8(F.col("content").cast("string"))))
+    return files, raw.where(read & ~valid).drop("content")
 
 
 def safe_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,12 +113,13 @@ def repo_settings(spark: SparkSession, path: str) -> DataFrame:
 def with_posture_inputs(settings: DataFrame, file_flags: DataFrame, signed: DataFrame | None = None, rulesets: DataFrame | None = None) -> DataFrame:
     """Settings completed with what files, commits and rulesets say about the same repository."""
     def left(df: DataFrame, side: DataFrame, cols: list[str]) -> DataFrame:
-        s = side.select("repo", *[F.col(c).alias(f"_{c}") for c in cols])
-        j = df.join(s, "repo", "left")
+        key = [k for k in ("repo", "scan_id") if k in df.columns and k in side.columns]
+        s = side.select(*key, *[F.col(c).alias(f"_{c}") for c in cols])
+        j = df.join(s, key, "left")
         pick = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) if c in df.columns else F.col(f"_{c}") for c in cols}
         return j.withColumns(pick).drop(*[f"_{c}" for c in cols])
 
-    out = left(settings, file_flags, [c for c in file_flags.columns if c != "repo"])
+    out = left(settings, file_flags, [c for c in file_flags.columns if c not in ("repo", "scan_id")])
     if signed is not None:
         out = left(out, signed, ["signed_commits_ratio"])
     if rulesets is not None:

@@ -190,8 +190,8 @@ def entropy_secrets(min_entropy: float) -> str:
         f"kv AS (SELECT *, regexp_extract(ltrim(line), {q(kv)}, 1) AS key, trim(regexp_extract(ltrim(line), {q(kv)}, 2)) AS raw FROM lines "
         f"WHERE NOT regexp_matches(ltrim(line), '^(#|;|//|$)') AND {rx('ltrim(line)', kv)})",
         "kv2 AS (SELECT *, regexp_replace(CASE WHEN (raw LIKE '\"%\"') OR (raw LIKE '''%''') THEN substr(raw, 2, greatest(length(raw) - 2, 0)) ELSE raw END, '(.)\\s+#.*$', '\\1') AS value FROM kv)",
-        f"kv3 AS (SELECT *, {ent} AS entropy FROM kv2 WHERE length(value) BETWEEN 20 AND 200 AND {rx('key', X.SECRET_KEY)} AND NOT {placeholder})",
-        f"kv4 AS (SELECT *, row_number() OVER (PARTITION BY repo, path, key, substr(value, 1, 10) ORDER BY line_no) AS rn FROM kv3 WHERE entropy >= {min_entropy})",
+        f"kv3 AS (SELECT *, {ent} AS entropy FROM kv2 WHERE length(value) >= 20 AND {rx('key', X.SECRET_KEY)} AND NOT {placeholder})",
+        f"kv4 AS (SELECT *, row_number() OVER (PARTITION BY repo, path, key, value ORDER BY line_no) AS rn FROM kv3 WHERE entropy >= {min_entropy})",
         select=f"SELECT repo, path AS file_path, line_no, CASE WHEN entropy >= 4.5 THEN 'high' ELSE 'medium' END AS severity, "
         f"trim(replace(line, value, {mask('value')})) AS line_content FROM kv4 WHERE rn = 1")
 
@@ -207,8 +207,8 @@ def document_scores() -> str:
             "s AS (SELECT repo, count(*) AS findings, sum(CASE WHEN severity = 'critical' THEN 40.0 ELSE 0 END) AS c, sum(CASE WHEN severity = 'high' THEN 15.0 ELSE 0 END) AS h, "
             "sum(CASE WHEN severity = 'medium' THEN 5.0 ELSE 0 END) AS m, sum(CASE WHEN severity = 'low' THEN 1.0 ELSE 0 END) AS l FROM a GROUP BY repo), "
             "z AS (SELECT *, least(100, round(25 * log10(1 + (c + h + m + l)::DOUBLE)))::INTEGER AS risk_score FROM s) "
-            "SELECT repo, findings, h::DOUBLE AS high, m::DOUBLE AS medium, risk_score, CASE WHEN 100 - risk_score >= 90 THEN 'Excellent' WHEN 100 - risk_score >= 70 THEN 'Good' "
-            "WHEN 100 - risk_score >= 50 THEN 'Needs attention' ELSE 'Critical' END AS label FROM z")
+            "SELECT repo, coalesce(findings, 0) AS findings, coalesce(h, 0)::DOUBLE AS high, coalesce(m, 0)::DOUBLE AS medium, coalesce(risk_score, 0) AS risk_score, CASE WHEN 100 - risk_score >= 90 THEN 'Excellent' WHEN 100 - risk_score >= 70 THEN 'Good' "
+            "WHEN 100 - risk_score >= 50 THEN 'Needs attention' WHEN 100 - risk_score < 50 THEN 'Critical' ELSE 'Excellent' END AS label FROM (SELECT DISTINCT repo FROM files) LEFT JOIN z USING (repo)")
 
 
 def framework_rules() -> str:
@@ -221,7 +221,7 @@ def framework_rules() -> str:
 
 def scannable(size: str = "size") -> str:
     name = f"lower({base()})"
-    return (f"(NOT {any_rx('path', G.SKIP_PATHS)} AND {size} <= {G.MAX_FILE_SIZE} AND (CASE WHEN contains({base()}, '.') THEN {is_in(ext(), G.SCANNABLE_EXTENSIONS)} "
+    return (f"(NOT {any_rx('path', G.SKIP_PATHS)} AND (CASE WHEN contains({base()}, '.') THEN {is_in(ext(), G.SCANNABLE_EXTENSIONS)} "
             f"ELSE {name} IN ('dockerfile', 'makefile') END OR starts_with({name}, '.env')))")
 
 
@@ -243,14 +243,12 @@ def path_facts() -> str:
 
 def coverage() -> str:
     return with_ctes(snippet_files([""], S.SCAN_PATHS), "f AS (SELECT *, length(content) AS size FROM files)",
-                     select=f"SELECT repo, least(count(*) FILTER ({scannable()}), 50) AS files_scanned, count(*) - least(count(*) FILTER ({scannable()}), 50) AS files_skipped, "
-                     f"count(*) FILTER ({scannable()}) > 50 AS truncated FROM f GROUP BY repo")
+                     select=f"SELECT repo, count(*) FILTER ({scannable()}) AS files_scanned, count(*) FILTER (NOT {scannable()}) AS files_skipped, FALSE AS truncated FROM f GROUP BY repo")
 
 
 def priority() -> str:
     return with_ctes(snippet_files([""], S.SCAN_PATHS), "f AS (SELECT *, length(content) AS size FROM files)",
-                     f"r AS (SELECT repo, path, ({tier()})::INTEGER AS tier, row_number() OVER (PARTITION BY repo ORDER BY {tier()}, path) AS rn FROM f WHERE {scannable()})",
-                     select="SELECT repo, path AS file_path, tier, rn::INTEGER AS scan_rank FROM r WHERE rn <= 50")
+                     select=f"SELECT repo, path AS file_path, ({tier()})::INTEGER AS tier FROM f WHERE {scannable()}")
 
 
 def sql() -> dict[str, str]:

@@ -49,11 +49,11 @@ def applied() -> list[str]:
            "WHEN 'dependency' THEN ['dependency/' || package, 'dependency/' || package || '/' || ghsa, 'dependency/' || ghsa] ELSE ['license/' || package] END")
     g = "CASE {0} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in GLOB_RX.items()) + " END"
     return [
-        FIN, "sup0 AS (" + V.plain(V.SUPPRESSIONS_SQL) + ")",
+        "f AS (SELECT *, row_number() OVER () AS rid FROM (" + V.plain(V.FINDINGS_SQL) + "))", "sup0 AS (" + V.plain(V.SUPPRESSIONS_SQL) + ")",
         f"sup AS (SELECT *, {g.format('path_glob')} AS prx, {g.format('rule_glob')} AS rrx, CASE WHEN rule_glob IS NULL THEN 0 ELSE 2 END + "
-        "CASE WHEN regexp_matches(path_glob, '[*?\\[]') THEN 0 ELSE 1 END AS spec FROM sup0)",
+        "CASE WHEN regexp_matches(path_glob, '[*?\\[]') THEN 0 ELSE 1 END AS spec FROM (SELECT repo, path_glob, rule_glob, min(source_line) AS source_line, list(expires ORDER BY source_line)[1] AS expires FROM sup0 GROUP BY ALL))",
         f"fx AS (SELECT *, {paths} AS paths, list_filter({ids}, lambda x: x IS NOT NULL) AS ids FROM f)",
-        "m AS (SELECT fx.repo, fx.scan_id, fx.ord, sup.source_line, sup.expires, row_number() OVER (PARTITION BY fx.ord ORDER BY spec DESC, source_line) AS rn FROM fx JOIN sup ON fx.repo = sup.repo "
+        "m AS (SELECT fx.repo, fx.scan_id, fx.ord, fx.rid, sup.source_line, sup.expires, row_number() OVER (PARTITION BY fx.rid ORDER BY spec DESC, source_line) AS rn FROM fx JOIN sup ON fx.repo = sup.repo "
         "AND len(list_filter(fx.paths, lambda p: regexp_matches(p, sup.prx))) > 0 AND (sup.rule_glob IS NULL OR len(list_filter(fx.ids, lambda r: regexp_matches(r, sup.rrx))) > 0))",
         "best AS (SELECT *, coalesce(TIMESTAMP '2025-06-01 12:00:00' > expires::TIMESTAMP + INTERVAL 86399 SECOND, FALSE) AS expired FROM m WHERE rn = 1)",
     ]
@@ -130,14 +130,14 @@ def sql() -> dict[str, str]:
            "WHEN kind = 'sensitive-file' THEN 'sensitive-files' WHEN kind = 'code' THEN 'code-sast' WHEN kind = 'iac' THEN 'ci-iac' WHEN kind = 'dependency' THEN 'deps' ELSE 'license' END")
     dets = ", ".join(f"({q(d)})" for d in SC.DETECTORS)
     counted = f"NOT ({FIXTURE} AND (kind = 'code' OR (kind = 'secret' AND coalesce(source, 'tree') <> 'history')))"
-    sev = lambda w: f"count(*) FILTER (CASE severity WHEN 'moderate' THEN 'medium' ELSE severity END = '{w}') AS {w}"
+    sev = lambda w: f"count(*) FILTER ({counted} AND CASE severity WHEN 'moderate' THEN 'medium' ELSE severity END = '{w}') AS {w}"
     first = "first_scans AS (SELECT user_id, min(scanned_at) AS fs FROM scans GROUP BY user_id)"
     eco = ", ".join(f"count(*) FILTER (ecosystem = '{n}') AS {n.lower()}" for n in ["npm", "PyPI", "Go", "RubyGems", "Maven", "Packagist", "Container"])
     return {
         "agg_2_finding_scores": with_ctes(FIN, SCORED, select="SELECT ord, round(score, 6) AS score FROM s"),
         "agg_3_repo_scores": with_ctes(FIN, SCORED, BREAK, select="SELECT repo, scan_id, round(critical, 4) AS critical, round(high, 4) AS high, round(medium, 4) AS medium, round(low, 4) AS low, round(fixture, 4) AS fixture, risk_score, "
                                        "CASE WHEN 100 - risk_score >= 90 THEN 'Excellent' WHEN 100 - risk_score >= 70 THEN 'Good' WHEN 100 - risk_score >= 50 THEN 'Needs attention' ELSE 'Critical' END AS label FROM c"),
-        "agg_5_severity_counts": with_ctes(FIN, select=f"SELECT repo, scan_id, {', '.join(map(sev, ['critical', 'high', 'medium', 'low']))}, count(*) AS total FROM f WHERE {counted} GROUP BY repo, scan_id"),
+        "agg_5_severity_counts": with_ctes(FIN, select=f"SELECT repo, scan_id, {', '.join(map(sev, ['critical', 'high', 'medium', 'low']))}, count(*) FILTER ({counted}) AS total FROM f GROUP BY repo, scan_id"),
         "agg_7_category_rollup": with_ctes(FIN, f"r AS (SELECT *, {SEV_RANK} AS rk, CASE severity WHEN 'moderate' THEN 'medium' ELSE severity END AS s2 FROM f)",
                                            select="SELECT repo, scan_id, category, count(*) AS n, min(rk)::INTEGER AS worst_rank FROM r GROUP BY ALL"),
         "agg_15_detector_counts": with_ctes(FIN, f"d AS (SELECT repo, scan_id, {det} AS detector FROM f)", f"names(detector) AS (VALUES {dets})", "scan AS (SELECT DISTINCT repo, scan_id FROM f)",
@@ -147,14 +147,14 @@ def sql() -> dict[str, str]:
         "diff_1_fingerprints": with_ctes(FIN, FPS, select="SELECT ord, fp FROM p"),
         "diff_2_snapshot_diff": with_ctes(FIN, FPS, "a AS (SELECT * FROM p WHERE scan_id = 's0')", "b AS (SELECT * FROM p WHERE scan_id = 's1')",
                                           select="SELECT repo, ord, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.repo = b.repo AND a.fp = b.fp) THEN 'carried' ELSE 'new' END AS change FROM b UNION ALL SELECT repo, ord, 'resolved' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.repo = b.repo AND a.fp = b.fp)"),
-        "diff_2_score_delta": with_ctes(FIN, SCORED, BREAK, select="SELECT x.repo, y.risk_score - x.risk_score AS score_delta FROM c x JOIN c y ON x.repo = y.repo AND x.scan_id = 's0' AND y.scan_id = 's1'"),
+        "diff_2_score_delta": with_ctes(FIN, SCORED, BREAK, select="SELECT x.repo, x.scan_id AS from_scan, y.scan_id AS to_scan, y.risk_score - x.risk_score AS score_delta FROM c x JOIN c y ON x.repo = y.repo AND x.scan_id = 's0' AND y.scan_id = 's1'"),
         "diff_3_fleet_diff": with_ctes(FIN, FPS, "t AS (SELECT *, substr(scan_id, 2)::INTEGER AS n FROM p)", "k AS (SELECT DISTINCT repo, n, fp FROM t)", "ex AS (SELECT DISTINCT repo, n FROM t)",
                                        "r AS (SELECT repo, n, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.repo = t.repo AND k.n = t.n - 1 AND k.fp = t.fp) THEN 'carried' ELSE 'new' END AS change FROM t WHERE n > 0 UNION ALL "
                                        "SELECT t.repo, t.n + 1, 'resolved' FROM t JOIN ex ON ex.repo = t.repo AND ex.n = t.n + 1 WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.repo = t.repo AND k.n = t.n + 1 AND k.fp = t.fp))",
                                        select="SELECT repo, 's' || n AS scan_id, change, count(*) AS n FROM r GROUP BY repo, r.n, change"),
         "sup_1_ignore_files": ignore_files(),
         "sup_2_applied": with_ctes(*applied(), select="SELECT ord, expired, source_line FROM best"),
-        "sup_2_summary": with_ctes(*applied(), select="SELECT f.repo, f.scan_id, count(*) FILTER (best.ord IS NULL) AS kept, count(*) FILTER (best.ord IS NOT NULL) AS suppressed, count(DISTINCT source_line) FILTER (expired) AS expired_suppressions FROM f LEFT JOIN best ON best.ord = f.ord GROUP BY ALL"),
+        "sup_2_summary": with_ctes(*applied(), select="SELECT f.repo, f.scan_id, count(*) FILTER (best.rid IS NULL) AS kept, count(*) FILTER (best.rid IS NOT NULL) AS suppressed, count(DISTINCT source_line) FILTER (expired) AS expired_suppressions FROM f LEFT JOIN best ON best.rid = f.rid GROUP BY ALL"),
         "att_3_nodes": with_ctes(*creds(), "n AS (SELECT repo, scan_id, cid AS node_id, 'credential' AS node_kind, rule_name AS label, sv AS severity, ord FROM cr UNION ALL SELECT repo, scan_id, 'asset:' || bl.d, 'asset', bl.c, sv, ord FROM cr)",
                                  "r AS (SELECT *, row_number() OVER (PARTITION BY repo, scan_id, node_id ORDER BY ord) AS rn FROM n)", select="SELECT repo, scan_id, node_id, node_kind, label, severity FROM r WHERE rn = 1"),
         "att_3_edges": with_ctes(*creds(), select="SELECT repo, scan_id, cid AS from_id, 'asset:' || bl.d AS to_id, bl.c AS reason FROM cr"),
@@ -176,5 +176,5 @@ def sql() -> dict[str, str]:
         "sql_6_top_repos": with_ctes(SCANS, select=f"SELECT owner || '/' || repo AS repository, count(*) AS scans, count(DISTINCT user_id) AS distinct_users FROM scans WHERE scanned_at >= {now} - INTERVAL 30 DAY GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
         "sql_7_multi_repo_users": with_ctes(SCANS, select="SELECT count(*) AS pull_users_2plus_repos FROM (SELECT user_id FROM scans GROUP BY 1 HAVING count(DISTINCT owner || '/' || repo) >= 2)"),
         "sql_8_user_breakdown": with_ctes(SCANS, select="SELECT user_id, count(DISTINCT owner || '/' || repo) AS distinct_repos, count(*) AS total_scans, min(scanned_at) AS first_scan, max(scanned_at) AS last_scan FROM scans GROUP BY 1"),
-        "sql_9_stable_ids": with_ctes(SCANS, select="SELECT CASE WHEN m.c_custkey IS NOT NULL THEN 'stable-' || m.c_custkey ELSE s.user_id END AS user_id, count(*) AS n FROM scans s LEFT JOIN customer m ON s.user_id = 'u' || m.c_custkey AND s.user_id < 'u5' GROUP BY 1"),
+        "sql_9_stable_ids": with_ctes(SCANS, select="SELECT CASE WHEN m.c_custkey IS NOT NULL THEN 'stable-' || m.c_custkey ELSE s.user_id END AS user_id, count(*) AS n FROM scans s LEFT JOIN customer m ON s.user_id = 'u' || m.c_custkey GROUP BY 1"),
     }

@@ -28,7 +28,7 @@ def presence() -> str:
     flags = ", ".join(f"bool_or({is_in('path', ps)}) AS {k}" for k, ps in PO.PRESENCE.items())
     flow = "regexp_matches(path, '(?i)^\\.github/workflows/[^/]+\\.ya?ml$')"
     return with_ctes(a, b, "u AS (SELECT repo || '-' || (length(content) % 97) AS repo, regexp_replace(path, '^\\d+', '') AS path, content FROM (SELECT * FROM a UNION ALL SELECT * FROM b))",
-                     select=f"SELECT repo, {flags}, CASE WHEN count(*) FILTER ({flow}) = 0 THEN 'unknown' WHEN bool_or({flow} AND {rx('content', PO.PROVENANCE)}) THEN 'present' ELSE 'absent' END AS release_provenance "
+                     select=f"SELECT repo, 's1' AS scan_id, {flags}, CASE WHEN count(*) FILTER ({flow}) = 0 THEN 'unknown' WHEN bool_or({flow} AND {rx('content', PO.PROVENANCE)}) THEN 'present' ELSE 'absent' END AS release_provenance "
                      f"FROM u WHERE {is_in('path', wanted)} OR {flow} GROUP BY repo")
 
 

@@ -31,8 +31,8 @@ def history() -> str:
     hits = " UNION ALL ".join(f"SELECT a.*, {q(r.id)} AS rule_id, regexp_extract(line, {q(r.pattern)}) AS m FROM a WHERE {rx('line', r.pattern)}" for r in rules)
     k = "o_orderkey"
     return with_ctes(
-        *_commits(), "top AS (SELECT sha FROM (SELECT sha, row_number() OVER (PARTITION BY repo ORDER BY o_orderdate DESC, sha) AS rn FROM c) WHERE rn <= 30)", f"x AS ({hits})",
-        f"y AS (SELECT repo, path AS file_path, line_no, rule_id, trim(replace(line, m, {mask('m')})) AS line_content, sha AS commit_sha FROM x WHERE sha IN (SELECT sha FROM top) AND NOT {self_reference('line', 'strpos(line, m)')})",
+        *_commits(), f"x AS ({hits})",
+        f"y AS (SELECT repo, path AS file_path, line_no, rule_id, trim(replace(line, m, {mask('m')})) AS line_content, sha AS commit_sha FROM x WHERE NOT {self_reference('line', 'strpos(line, m)')})",
         f"t0 AS (SELECT {repo_of(k)} AS repo, 'src/f' || ({k} % 6) || '.ts' AS file_path, 'ghp_' || substr(md5(({k} % 40)::VARCHAR) || md5(({k} % 40 + 1)::VARCHAR), 1, 36) AS m FROM orders WHERE {k} % 4 = 0)",
         f"t AS (SELECT DISTINCT repo, file_path, 'const a = ''' || {mask('m')} || '''' AS line_content FROM t0)",
         select="SELECT * FROM y WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.repo = y.repo AND t.file_path = y.file_path AND y.rule_id = 'github-pat' AND t.line_content = y.line_content)")
@@ -52,7 +52,7 @@ def sql() -> dict[str, str]:
         "sec_4_added_lines": with_ctes(*_commits(), select="SELECT sha, path, line_no, line FROM a"),
         "sec_5_history_secrets": history(),
         "pos_4_signed_ratio": with_ctes(*_commits()[:1], "r AS (SELECT repo, verified, row_number() OVER (PARTITION BY repo ORDER BY o_orderdate DESC, sha) AS rn FROM c)",
-                                        select="SELECT repo, round(avg(verified::INTEGER), 6) AS ratio FROM r WHERE rn <= 30 GROUP BY repo"),
+                                        select="SELECT repo, 's1' AS scan_id, round(avg(verified::INTEGER), 6) AS ratio FROM r WHERE rn <= 30 GROUP BY repo"),
         "str_1_quota": quota(),
         "str_4_event_counters": "SELECT date_trunc('hour', ts) AS window_start, count(*) AS scans, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'view') AS degraded, round(avg(value), 4) AS mean_ms FROM events GROUP BY 1",
     }

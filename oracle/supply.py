@@ -244,14 +244,16 @@ def patches() -> str:
 
 def dep_bumps() -> str:
     hit = lambda n: f"regexp_matches(trim(line), '(?i)^{n}\\s*==')"
-    new = lambda n, keep: f"list_transform(string_split(content, chr(10)), lambda l: CASE WHEN regexp_matches(trim(l), '(?i)^{n}\\s*(==|>=)') THEN '{keep}==9.9.1' ELSE l END)"
+    new = lambda n, keep: f"list_transform(string_split(content, chr(10)), lambda l: CASE WHEN regexp_matches(trim(l), '(?i)^{n}\\s*(==|>=|<=|!=|~=|<|>)') THEN '{keep}==9.9.1' ELSE l END)"
     part = lambda n, keep: (f"SELECT DISTINCT f.scan_id, '{n}' AS ord, 'Bump {n} to 9.9.1' AS summary, md5(array_to_string({new(n, keep)}, chr(10))) AS patched FROM files f JOIN lines l ON l.scan_id = f.scan_id AND {hit(n)}")
-    return with_ctes(M.REQUIREMENTS.sql(), LINES, select=f"{part('django', 'Django')} UNION ALL {part('pandas', 'pandas')}")
+    # The pinned packages of the derived requirements files, as they are spelled there.
+    pinned = ["Django", "requests", "numpy", "pandas", "PyYAML"]
+    return with_ctes(M.REQUIREMENTS.sql(), LINES, select=" UNION ALL ".join(part(n.lower(), n) for n in pinned))
 
 
 def sql() -> dict[str, str]:
     sup = with_ctes(HOOK_ROWS, SIGNALS, "a AS (SELECT scan_id, severity FROM h UNION ALL SELECT scan_id, severity FROM sg)",
-                    "sc AS (SELECT scan_id, greatest(0, 100 - sum(CASE severity WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 ELSE 3 END))::INTEGER AS score, count(*) AS n FROM a GROUP BY scan_id)",
+                    "sc AS (SELECT o.scan_id, greatest(0, 100 - coalesce(sum(CASE severity WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 WHEN 'LOW' THEN 3 END), 0))::INTEGER AS score, count(severity) AS n FROM (SELECT 'm' || o_orderkey AS scan_id FROM orders) o LEFT JOIN a ON a.scan_id = o.scan_id GROUP BY o.scan_id)",
                     select="SELECT scan_id, score, n, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'needs-attention' ELSE 'critical' END AS level FROM sc")
     return {
         "dep_1_package_json": package_json(),
@@ -273,11 +275,11 @@ def sql() -> dict[str, str]:
         "pos_8_breakdown": with_ctes(SET, _signals(), select="SELECT repo, category, sum(points_earned)::BIGINT AS points_earned, sum(points_max)::BIGINT AS points_max FROM sig GROUP BY ALL"),
         "iam_7_breakdown": with_ctes(*_iam_ctes(), "c AS (SELECT scan_id, CASE WHEN rule_id LIKE 'iam-oidc-%' THEN 'oidc' WHEN rule_id IN ('iam-action-resource-wildcard', 'iam-sensitive-service-wildcard', 'iam-principal-wildcard') THEN 'admin' ELSE 'privesc' END AS category, severity FROM rr)",
                                      "n(category) AS (VALUES ('oidc'), ('privesc'), ('admin'))",
-                                     select="SELECT s.scan_id, n.category, count(c.severity) AS n, CASE WHEN bool_or(c.severity = 'critical') THEN 'critical' WHEN bool_or(c.severity = 'high') THEN 'high' END AS worst FROM (SELECT DISTINCT scan_id FROM c) s CROSS JOIN n LEFT JOIN c ON c.scan_id = s.scan_id AND c.category = n.category GROUP BY s.scan_id, n.category"),
+                                     select="SELECT s.scan_id, n.category, count(c.severity) AS n, CASE WHEN bool_or(c.severity = 'critical') THEN 'critical' WHEN bool_or(c.severity = 'high') THEN 'high' END AS worst FROM (SELECT 'm' || o_orderkey AS scan_id FROM orders) s CROSS JOIN n LEFT JOIN c ON c.scan_id = s.scan_id AND c.category = n.category GROUP BY s.scan_id, n.category"),
         "supc_10_breakdown": with_ctes(HOOK_ROWS, SIGNALS, "a AS (SELECT scan_id, 'postinstall' AS category, severity FROM h UNION ALL SELECT scan_id, category, severity FROM sg)",
                                        "n(category) AS (VALUES " + ", ".join(f"({q(c)})" for c in SU.CATEGORIES) + ")",
                                        select="SELECT s.scan_id, n.category, greatest(0, 100 - coalesce(sum(CASE a.severity WHEN 'HIGH' THEN 25 WHEN 'MEDIUM' THEN 10 WHEN 'LOW' THEN 3 END), 0))::INTEGER AS score, count(a.severity) AS n, count(*) FILTER (a.severity = 'HIGH') AS high, count(*) FILTER (a.severity = 'MEDIUM') AS medium, count(*) FILTER (a.severity = 'LOW') AS low "
-                                       "FROM (SELECT DISTINCT scan_id FROM a) s CROSS JOIN n LEFT JOIN a ON a.scan_id = s.scan_id AND a.category = n.category GROUP BY s.scan_id, n.category"),
+                                       "FROM (SELECT 'm' || o_orderkey AS scan_id FROM orders) s CROSS JOIN n LEFT JOIN a ON a.scan_id = s.scan_id AND a.category = n.category GROUP BY s.scan_id, n.category"),
         "pos_9_quick_wins": quick_wins(),
         "pos_6_rulesets": with_ctes(RULESETS, select="SELECT repo, bool_or(type = 'pull_request') AS pr_required, bool_or(type = 'required_status_checks' AND n_checks > 0) AS status_checks_required, bool_or(type = 'required_signatures') AS signed_commits_required, bool_and(cnt = 0) FILTER (vis) AS no_bypass_actors FROM rs GROUP BY repo"),
         "pos_6_bypass": with_ctes(RULESETS, select="SELECT repo, 'Rule ''' || type || ''' in ruleset ''' || name || ''' (branch ''main'') can be bypassed by ' || cnt || ' actor(s): ' || who || '.' AS description, count(*) AS n FROM rs WHERE vis AND cnt > 0 GROUP BY ALL"),

@@ -10,10 +10,11 @@ FILES = "repo string, scan_id string, path string, size bigint, content string"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
          .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

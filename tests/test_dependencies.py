@@ -108,6 +108,46 @@ def test_identity_statements(files):
     yml = "Resources:\n  P:\n    Statement:\n      - Effect: Allow\n        Action: [iam:PassRole, \"ec2:RunInstances\"]\n        Resource: '*'\n      - Effect: Deny\n        Action: \"*\"\n        Resource: \"*\"\n"
     doc = 'x = jsonencode({"Statement": {"Effect": "Allow", "Action": "*", "Resource": "*"}})\n'
     st = {(r.path, r.stmt_no): r for r in iam.iam_statements(files(("a.tf", hcl), ("role.yaml", yml), ("b.tf", doc), ("other.json", "{}"), ("iam.json", "[broken"))).collect()}
-    assert st[("a.tf", 0)].actions == ["!s3:*"] and st[("a.tf", 0)].principal == '{"hcl": ["AWS:*"]}'
+    assert st[("a.tf", 0)].actions == ["!s3:*"] and st[("a.tf", 0)].principal == '{"AWS": ["*"]}'
     assert st[("role.yaml", 0)].actions == ["iam:PassRole", "ec2:RunInstances"] and st[("role.yaml", 1)].effect == "Deny"
     assert st[("b.tf", 0)].actions == ["*"] and len(st) == 4
+
+
+def test_identity_statements_of_nested_blocks_and_lists():
+    hcl = """data "aws_iam_policy_document" "d" {
+  statement {
+    principals {
+      type = "AWS"
+      identifiers = ["*"]
+    }
+    # a brace } in a comment
+    actions = ["s3:Get*", "iam:PassRole"] // x
+    resources = [
+      "*", # all
+      "arn:${var.x}",
+    ]
+    condition {
+      test = "StringLike"
+      variable = "token.actions.githubusercontent.com:sub"
+      values = ["repo:o/*:*"]
+    }
+  }
+}
+resource "p" "q" {
+  policy = jsonencode({ Statement = [{ Action = "ec2:*", Effect = "Allow", Resource = "*" }, { Effect = "Deny", Action = ["a:b"], Resource = aws_s3.b.arn }] })
+}
+"""
+    got = iam.statements_of("a.tf", hcl)
+    assert [(s["effect"], s["actions"], s["resources"], s["source_line"]) for s in got] == [("Allow", ["s3:Get*", "iam:PassRole"], ["*", "arn:${var.x}"], 2), ("Allow", ["ec2:*"], ["*"], 21), ("Deny", ["a:b"], ["aws_s3.b.arn"], 21)]
+    assert got[0]["principal"] == '{"AWS": ["*"]}' and got[0]["conditions"] == '{"StringLike": {"token.actions.githubusercontent.com:sub": ["repo:o/*:*"]}}'
+    yml = "S:\n  Statement:\n  - Action:\n      - iam:PassRole\n    Effect: Allow\n    Principal:\n      Service: [x.com]\n  - Effect: Deny\n    NotAction: '*'\n    Resource:\n    - a\n    - b\n  Other: 1\n"
+    got = iam.statements_of("role.yml", yml)
+    assert [(s["effect"], s["actions"], s["resources"], s["principal"]) for s in got] == [("Allow", ["iam:PassRole"], [], '{"Service": ["x.com"]}'), ("Deny", ["!*"], ["a", "b"], None)]
+
+
+def test_identity_statements_of_a_long_file_take_linear_time():
+    import time
+    start = time.perf_counter()
+    assert len(iam.statements_of("p.json", '{"Statement":[' + ",".join(['{"Effect":"Allow","Action":"s3:Get","Resource":"*"}'] * 20_000) + "]}")) == 20_000
+    iam.statements_of("p.tf", "x = [{" * 200_000)
+    assert time.perf_counter() - start < 10

@@ -24,4 +24,5 @@ def test_every_sql_has_a_query():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["repo", "findings", "high", "medium", "risk_score", "label"]
+    out = entry.entry(spark)
+    assert out.columns == ["repo", "findings", "high", "medium", "risk_score", "label"] and out.count() > 0

@@ -129,3 +129,22 @@ def test_tabs_are_white_space(files):
     f = files(("a.ts", "\t// eval(x)\n\teval(x)\t\r"), ("b.conf", "\tAPI_KEY = aB3$kL9zQ1wE7rT5yU2iO8pX4cV6bN0m\t"))
     assert [(r.line_no, r.line_content) for r in sast.code_vulns(f).collect()] == [(2, "eval(x)")]
     assert secrets.entropy_secrets(f).count() == 1
+
+
+def test_call_sites_see_type_arguments_and_regex_literals():
+    from fleetrisk.operators.calls import sites_of
+    calls = lambda text: [(s["callee"], [a["text"] for a in s["args"]]) for s in sites_of(text) if s["kind"] == "call"]
+    assert calls("db.query<User>(req.body.id)") == [("db.query", ["req.body.id"])]
+    assert calls("m.get<Map<string, X>>(1)") == [("m.get", ["1"])]
+    assert calls("x = /`/.test(s); db.query(req.query.q)\ny = `t`; foo(2)") == [("db.query", ["req.query.q"]), ("foo", ["2"])]
+    assert calls("z = a / b; q(1); w = c / d") == [("q", ["1"])]
+    assert calls("db\n  .query(\n    'SELECT ' +\n    req.body.a,\n    [1, 2])") == [("db.query", ["'SELECT ' +\n    req.body.a", "[1, 2]"])]
+
+
+def test_open_calls_take_linear_time():
+    import time
+
+    from fleetrisk.operators.calls import sites_of
+    start = time.perf_counter()
+    sites_of("f(" * 500_000)
+    assert time.perf_counter() - start < 8

@@ -150,3 +150,44 @@ def test_alerts_only_for_unknown_findings(spark, tmp_path):
     known = lambda: rows.where("file_path = 'a.ts'").drop("seen_at")
     incremental.alerts(stream, known, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [r.file_path for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["b.ts"]
+
+
+def test_checkouts_with_pictures_and_other_encodings(spark, tmp_path):
+    from fleetrisk.sources import tables
+    root = tmp_path / "co" / "o" / "r"
+    root.mkdir(parents=True)
+    (root / "a.ts").write_text("const x = 1")
+    (root / "logo.png").write_bytes(b"\x89PNG\r\n\x1a\n\xff\xfe\x00")
+    (root / "latin.py").write_bytes("x = 'é'".encode("latin-1"))
+    files, rejected = tables.text_files(tables.raw_checkouts(spark, str(tmp_path / "co")))
+    got = {r.path: r.content for r in files.collect()}
+    assert got["a.ts"] == "const x = 1" and got["logo.png"] is None and got["latin.py"].startswith("x = '") and [r.path for r in rejected.collect()] == ["latin.py"]
+    assert tables.checkouts(spark, str(tmp_path / "co")).count() == 3
+
+
+def test_nothing_is_capped_by_default(spark, files):
+    from pyspark.sql import functions as F
+
+    from fleetrisk.operators import gates, secrets
+    big = "x = 1\n" * 400_000 + "key = sk_live_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6"[:32]
+    assert secrets.token_secrets(gates.scannable_files(files(("big.ts", big)))).count() == 1
+    patch = "@@ -1 +1 @@\n" + "+plain line\n" * 30_000 + "+key = sk_live_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6"[:32]
+    rows = spark.range(40).select(F.lit("o/r").alias("repo"), F.lit("s").alias("scan_id"), F.concat(F.lit("c"), "id").alias("sha"), F.lit("d").alias("author_name"), F.timestamp_seconds(F.col("id")).alias("author_date"),
+                                  F.lit(None).cast("string").alias("committer_name"), F.lit(None).cast("timestamp").alias("committer_date"), F.lit(True).alias("verified"),
+                                  F.array(F.struct(F.concat(F.lit("f"), "id", F.lit(".ts")).alias("filename"), F.lit("modified").alias("status"), F.when(F.col("id") == 0, F.lit(patch)).otherwise("@@ -1 +1 @@\n+x = 1").alias("patch"))).alias("files"))
+    tree = secrets.token_secrets(files(("a.ts", "x = 1")))
+    assert [r.commit_sha for r in secrets.history_secrets(rows, tree).collect()] == ["c0"]
+
+
+def test_scans_without_findings_keep_their_rows(spark, files):
+    from fleetrisk.operators import iam, score, secrets, supply
+    scans = files(("a.ts", "x = 1"))
+    none = secrets.token_secrets(scans)
+    flat = score.flatten({"x": none})
+    assert [(r.risk_score, r.findings) for r in score.breakdown(flat, scans).collect()] == [(0, 0)]
+    assert [(r.critical, r.total) for r in score.severity_counts(flat, scans).collect()] == [(0, 0)]
+    assert {r.n for r in score.detector_counts(flat, scans).collect()} == {0} and score.detector_counts(flat, scans).count() == len(score.DETECTORS)
+    hooks = supply.npm_hooks(scans)
+    assert [(r.score, r.n, r.level) for r in supply.supply_scores(hooks, scans).collect()] == [(100, 0, "excellent")]
+    assert {(r.score, r.n) for r in supply.supply_breakdown(hooks, scans).collect()} == {(100, 0)}
+    assert {(r.n, r.worst) for r in iam.iam_breakdown(iam.iam_findings(iam.iam_statements(scans)), scans).collect()} == {(0, None)}
