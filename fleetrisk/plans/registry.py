@@ -113,6 +113,32 @@ def detector_queries() -> dict[str, Query]:
     }
 
 
+# Whole texts of the given tables as source files: (key, text, extension).
+REAL_TEXTS = {"pages": (["page_id"], "html", "src/page_", ".js"), "conversations": (["conv_id", "turn"], "text", "src/conv_", ".py"), "documents": (["doc_id"], "text", "src/doc_", ".py")}
+
+
+def real_files(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    keys, text, head, tail = REAL_TEXTS[name]
+    path = F.concat(F.lit(head), F.concat_ws("_", *[F.col(k).cast("string") for k in keys]), F.lit(tail))
+    content = F.coalesce(text, F.lit(""))
+    return D.table(spark, sf, name).select(F.lit(f"web/{name}").alias("repo"), F.lit("s1").alias("scan_id"), path.alias("path"), F.length(content).cast("bigint").alias("size"), content.alias("content"))
+
+
+def _real_tokens(name: str) -> Query:
+    return lambda spark, sf: secrets.token_secrets(real_files(spark, sf, name)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _real_code(name: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        f = real_files(spark, sf, name)
+        return sast.code_vulns(f).unionByName(sast.scaffold_tells(f)).select("file_path", "line_no", "rule_id", "severity")
+    return run
+
+
+def real_text_queries() -> dict[str, Query]:
+    return {**{f"sec_1_real_{n}": _real_tokens(n) for n in REAL_TEXTS}, **{f"sast_1_real_{n}": _real_code(n) for n in REAL_TEXTS}}
+
+
 def findings(spark: SparkSession, sf: str) -> DataFrame:
     return conform(V.view(spark, sf, V.FINDINGS_SQL), FINDINGS)
 
@@ -469,4 +495,4 @@ def misc_queries() -> dict[str, Query]:
 
 def all_queries() -> dict[str, Query]:
     return {"fleet_scan_scores": document_scores, "fleet_scan_all_detectors": _fleet, **detector_queries(), **finding_queries(),
-            **dependency_queries(), **stream_queries(), **misc_queries()}
+            **dependency_queries(), **stream_queries(), **misc_queries(), **real_text_queries()}

@@ -130,16 +130,14 @@ def kubernetes() -> str:
     block, inline = rx("line", I.K8S_ADD_BLOCK), f"regexp_extract(line, {q(I.K8S_ADD_INLINE)}, 1)"
     item = "regexp_matches(line, '^\\s*-\\s+\\S')"
     live = "NOT contains(line, '{{')"
-    # A listed item counts when the latest block above it has not been closed by an outdented line.
-    listed = (f"SELECT {_rule(I.K8S_CAPS)} FROM k d JOIN (SELECT repo, path, line_no AS bn, ind AS bi FROM k WHERE blk) b "
-              f"ON b.repo = d.repo AND b.path = d.path AND b.bn = d.blk_before WHERE d.item AND d.inl = '' AND d.ind > b.bi AND {rx('d.line', I.K8S_CAPS.pattern)} "
-              "AND NOT EXISTS (SELECT 1 FROM k e WHERE e.path = d.path AND e.line_no > b.bn AND e.line_no < d.line_no AND NOT e.item AND NOT e.blk AND e.inl = '' AND trim(e.line) <> '' AND e.ind <= b.bi)")
-    listed = listed.replace("repo, path AS file_path, line_no", "d.repo, d.path AS file_path, d.line_no")
+    # A listed item counts when the latest block above it has not been closed by an outdented line since.
+    listed = f"SELECT {_rule(I.K8S_CAPS)} FROM k WHERE item AND inl = '' AND ind > bi AND coalesce(closed, 0) <= bn AND {rx('line', I.K8S_CAPS.pattern)}"
     inl = f"SELECT {_rule(I.K8S_CAPS)} FROM k WHERE inl <> '' AND {rx('inl', I.K8S_CAPS.pattern)}"
     sql = _iac(S.KUBERNETES, R.K8S_PATHS, I.KUBERNETES_LINE_RULES, b=10, sp=9, files_where=where, skip="contains(line, '{{')",
                union=f" UNION ALL {listed} UNION ALL {inl}")
-    k = (f"k AS (SELECT *, max(CASE WHEN blk THEN line_no END) {BEFORE} AS blk_before FROM (SELECT *, {ind} AS ind, {block} AS blk, {inline} AS inl, {item} AS item "
-         f"FROM lines WHERE {live}))")
+    k = (f"k0 AS (SELECT *, {ind} AS ind, {block} AS blk, {inline} AS inl, {item} AS item FROM lines WHERE {live}), "
+         f"k1 AS (SELECT *, max(CASE WHEN blk THEN line_no END) {BEFORE} AS bn, last_value(CASE WHEN blk THEN ind END IGNORE NULLS) {BEFORE} AS bi FROM k0), "
+         f"k AS (SELECT *, max(CASE WHEN NOT item AND NOT blk AND inl = '' AND trim(line) <> '' AND ind <= bi THEN line_no END) {BEFORE} AS closed FROM k1)")
     return sql.replace("hits AS (", k + ", hits AS (", 1)
 
 
@@ -251,6 +249,25 @@ def priority() -> str:
                      select=f"SELECT repo, path AS file_path, ({tier()})::INTEGER AS tier FROM f WHERE {scannable()}")
 
 
+REAL_TEXTS = {
+    "pages": "files AS (SELECT 'web/pages' AS repo, 's1' AS scan_id, 'src/page_' || page_id || '.js' AS path, coalesce(html, '') AS content FROM pages)",
+    "conversations": "files AS (SELECT 'web/conversations' AS repo, 's1' AS scan_id, 'src/conv_' || conv_id || '_' || turn || '.py' AS path, coalesce(text, '') AS content FROM conversations)",
+    "documents": "files AS (SELECT 'web/documents' AS repo, 's1' AS scan_id, 'src/doc_' || doc_id || '.py' AS path, coalesce(text, '') AS content FROM documents)",
+}
+
+
+def real_tokens(name: str) -> str:
+    parts = [f"SELECT repo, path, line_no, line, {q(r.id)} AS rule_id, {q(r.severity)} AS severity, unnest(regexp_extract_all(line, {q(r.pattern)})) AS m FROM lines WHERE {rx('line', r.pattern)}" for r in X.SECRET_RULES]
+    return with_ctes(REAL_TEXTS[name], LINES, f"hits AS ({' UNION ALL '.join(parts)})", "pos AS (SELECT *, strpos(line, m) AS pos FROM hits)",
+                     select=f"SELECT rule_id, severity, count(*) AS n FROM pos WHERE {REAL} GROUP BY ALL")
+
+
+def real_code(name: str) -> str:
+    hits = f"hits AS ({rule_hits(C.SAST_RULES, code_gate, skip=COMMENT)} UNION ALL {rule_hits(C.AI_RULES, code_gate)})"
+    ai = ", ".join(q(r.id) for r in C.AI_RULES)
+    return with_ctes(REAL_TEXTS[name], LINES, hits, select=f"SELECT path AS file_path, line_no, rule_id, severity FROM hits WHERE {REAL} AND (rule_id NOT IN ({ai}) OR NOT {prose('line', 'pos')})")
+
+
 def sql() -> dict[str, str]:
     js_py = S.JS + S.PY
     ai_shown = f"NOT {prose('line', 'pos')}"
@@ -263,5 +280,6 @@ def sql() -> dict[str, str]:
         "fw_3_framework_rules": framework_rules(),
         "iac_d_dockerfile": dockerfile(), "iac_e_base_images": base_images(), "iac_g_github_actions": github_actions(),
         "iac_t_terraform": terraform(), "iac_c_cloudformation": cloudformation(), "iac_k_kubernetes": kubernetes(),
+        **{f"sec_1_real_{n}": real_tokens(n) for n in REAL_TEXTS}, **{f"sast_1_real_{n}": real_code(n) for n in REAL_TEXTS},
         "iac_h_helm_values": _iac(S.HELM, R.HELM_PATHS, I.HELM_RULES), "iac_p_iam_policies": iam_policies(),
     }
