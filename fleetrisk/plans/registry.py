@@ -184,12 +184,18 @@ def applied(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sarif_totals(f: DataFrame) -> DataFrame:
-    """Results and rules counted back out of the written documents."""
-    d = sarif.documents(f, max_results=500).withColumn("j", F.from_json(
-        "document", "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<struct<ruleId:string>>>>"))
-    return d.groupBy("repo", "scan_id").agg(
-        F.sum(F.size(F.col("j.runs")[0]["results"])).alias("results"),
-        F.max("parts").cast("bigint").alias("parts"))
+    """Results, rules, levels and locations counted back out of the written documents."""
+    d = sarif.documents(f, parts=16).withColumn("j", F.from_json(
+        "document", "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string,name:string>>>>,results:array<struct<ruleId:string,level:string,"
+        "message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>>>>"))
+    run = d.select("repo", "scan_id", F.col("j.runs")[0].alias("run"))
+    results = run.select("repo", "scan_id", F.explode("run.results").alias("r"), F.transform("run.tool.driver.rules", lambda x: x["id"]).alias("ids"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return results.groupBy("repo", "scan_id").agg(
+        F.count(F.lit(1)).alias("results"), F.count_distinct("r.ruleId").alias("rules"), F.count_if(F.array_contains("ids", F.col("r.ruleId"))).alias("defined"),
+        F.count_if(F.col("r.level") == "error").alias("errors"), F.count_if(F.col("r.level") == "note").alias("notes"),
+        F.count(place["region"]["startLine"]).alias("lines"), F.sum(place["region"]["startLine"]).alias("line_sum"), F.count_distinct(place["artifactLocation"]["uri"]).alias("uris"),
+        F.sum(F.length("r.message.text")).alias("message_chars"))
 
 
 IGNORE_LINES = ["src/** [rule=code/*]", "tests/*", "# a comment", "", "package.json [rule=dependency/lodash] [reason=\"not reachable\"] [expires=2026-01-31]",
@@ -402,6 +408,21 @@ def _fleet(spark: SparkSession, sf: str) -> DataFrame:
     return fleet_scan.findings(files, snap, F.lit(AS_OF).cast("date")).groupBy("kind", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _fleet_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Identity and supply-chain scores of a mixed fleet through the whole scan."""
+    files = M.IAM_POLICY.files(spark, sf).unionByName(M.PACKAGE_JSON.files(spark, sf))
+    r = fleet_scan.reports(files, fleet_scan.Snapshots(registry_meta=registry_snapshot(spark, sf)), F.lit(AS_OF).cast("date"))
+    i, s = r["identity_scores"].drop("findings"), r["supply_scores"].withColumnsRenamed({"score": "supply_score", "level": "supply_level"}).drop("n")
+    return i.join(s, ["repo", "scan_id"]).drop("repo")
+
+
+def _fleet_health(spark: SparkSession, sf: str) -> DataFrame:
+    """Dependencies of a mixed fleet for which there is no advisory snapshot."""
+    files = M.REQUIREMENTS.files(spark, sf).unionByName(M.PACKAGE_LOCK.files(spark, sf))
+    small = fleet_scan.small_files(files)
+    return fleet_scan.health(small, fleet_scan.Snapshots(npm_advisories=npm_snapshot(spark, sf))).groupBy("detector", "reason", "ord").agg(F.count(F.lit(1)).alias("n"))
+
+
 PATCH_LINES = ["@@ -1,4 +10,6 @@ def", "+const a = 'ghp_{36}'", " context", "-const b = 'ghp_{36}'", "+++ b/x", "--- a/x", "+key = sk_live_{32}",
                "@@ -40 +70,2 @@", "\\ No newline at end of file", "+plain", "+url: postgres://admin:{12}@db:5432/app", ""]
 
@@ -479,8 +500,8 @@ def misc_queries() -> dict[str, Query]:
 
     def self_refs(spark, sf):
         f = D.snippet_files(spark, sf, S.JS, [("src/f", ".ts")])
-        l = explode_lines(f).withColumn("pos", F.instr("line", "e")).where("pos > 0")
-        return l.select("repo", "path", "line_no", text.self_reference(F.col("line"), F.col("pos")).alias("self_reference"))
+        l = explode_lines(f).withColumn("pos", F.explode(F.expr("filter(sequence(1, length(line)), p -> length(line) > 0 and substring(line, p, 1) = 'e')")))
+        return l.select("repo", "path", "line_no", "pos", text.self_reference(F.col("line"), F.col("pos")).alias("self_reference"))
 
     return {
         "flt_3_binary": binary, "flt_10_self_reference": self_refs, "flt_12_identifiers": identifiers, "sf_7_repo_urls": urls,
@@ -494,5 +515,5 @@ def misc_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return {"fleet_scan_scores": document_scores, "fleet_scan_all_detectors": _fleet, **detector_queries(), **finding_queries(),
+    return {"fleet_scan_scores": document_scores, "fleet_scan_all_detectors": _fleet, "fleet_scan_reports": _fleet_reports, "fleet_scan_health": _fleet_health, **detector_queries(), **finding_queries(),
             **dependency_queries(), **stream_queries(), **misc_queries(), **real_text_queries()}

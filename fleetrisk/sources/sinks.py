@@ -16,6 +16,8 @@ def append_scans(scans: DataFrame, path: str) -> None:
 def write_findings(findings: DataFrame, path: str) -> None:
     """Findings bucketed by a hash of repository and path, so one large repository spreads over folders."""
     b = findings.withColumn("bucket", F.pmod(F.xxhash64("repo", F.coalesce("file_path", "package")), F.lit(64)).cast("int"))
+    # Eight tasks a folder at most, instead of every task writing into every folder.
+    b = b.repartition("bucket", F.pmod(F.xxhash64("repo", "file_path", "line_no", "rule_id", "package"), F.lit(8)))
     b.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetrisk.operators import diff, onepass, sast, secrets
+from fleetrisk.operators import calls, diff, iac, onepass, sast, score, secrets
 from fleetrisk.operators.gates import scannable_files
 from fleetrisk.schemas import FILES
 
@@ -24,6 +24,23 @@ def stream_findings(files: DataFrame) -> DataFrame:
     return onepass.to_findings(sast.real_tells(onepass.scan_files(scannable_files(files), FAMILIES)), FAMILIES)
 
 
+def scan_batch(files: DataFrame, as_of: Column) -> DataFrame:
+    """Every content detector on one batch of files: all rule families, framework rules by the manifests in the batch, key/value
+    entropy and call sites."""
+    readable = scannable_files(files)
+    families = [*FAMILIES, sast.FRAMEWORK, *iac.families(as_of)]
+    hits = sast.in_framework(sast.real_tells(onepass.scan_files(readable, families)), sast.detect_frameworks(files))
+    return score.flatten({"rules": onepass.to_findings(hits, families), "entropy": secrets.entropy_secrets(readable), "calls": calls.call_rules(calls.call_sites(readable))})
+
+
+def append_scan(files: DataFrame, path: str, checkpoint: str, as_of: Column) -> StreamingQuery:
+    """The findings of each micro-batch of files, all detectors; a replayed batch overwrites its own folder only."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scan_batch(batch, as_of).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_findings(findings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append each micro-batch to a findings table; a replayed batch overwrites its own folder only."""
     def write(batch: DataFrame, batch_id: int) -> None:

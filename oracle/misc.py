@@ -39,7 +39,7 @@ def sql() -> dict[str, str]:
     seg = "string_split(regexp_replace(regexp_replace(u, '^https?://', ''), '[?#].*$', ''), '/')"
     return {
         "flt_3_binary": "SELECT doc_id, (length(s) - length(regexp_replace(s, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'))) > length(s) * 0.1 AS is_binary FROM (SELECT doc_id, substr(CASE WHEN doc_id % 2 = 0 THEN replace(text, ' ', chr(1)) ELSE text END, 1, 1000) AS s FROM documents)",
-        "flt_10_self_reference": with_ctes(snippet_files(S.JS, [("src/f", ".ts")]), LINES, "l AS (SELECT *, strpos(line, 'e') AS pos FROM lines)", select=f"SELECT repo, path, line_no, {self_reference('line', 'pos')} AS self_reference FROM l WHERE pos > 0"),
+        "flt_10_self_reference": with_ctes(snippet_files(S.JS, [("src/f", ".ts")]), LINES, "l AS (SELECT *, unnest(list_filter(range(1, length(line) + 1), lambda p: substr(line, p, 1) = 'e'))::INTEGER AS pos FROM lines)", select=f"SELECT repo, path, line_no, pos, {self_reference('line', 'pos')} AS self_reference FROM l"),
         "flt_12_identifiers": f"SELECT page_id, length(p) BETWEEN 1 AND 1024 AND p NOT IN ('.', './') AND NOT starts_with(p, '/') AND NOT contains(p, '://') AND NOT contains(p, chr(92)) AND len(list_filter(string_split(p, '/'), lambda s: s = '..')) = 0 AND trim(p) = p AS path_ok, "
                               "regexp_matches(r, '^[A-Za-z0-9._/-]+$') AND length(r) <= 255 AND NOT starts_with(r, '/') AND NOT suffix(r, '/') AND NOT starts_with(r, '-') AND NOT contains(r, '//') AND NOT contains(r, '..') AS ref_ok, "
                               f"regexp_matches(o, '^[A-Za-z0-9._-]+$') AND length(o) <= 100 AND NOT regexp_matches(o, '^\\.+$') AS owner_ok FROM (SELECT page_id, {p} AS p, {ref} AS r, split_part({ref}, '/', 1) AS o FROM pages)",

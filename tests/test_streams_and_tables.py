@@ -191,3 +191,14 @@ def test_scans_without_findings_keep_their_rows(spark, files):
     assert [(r.score, r.n, r.level) for r in supply.supply_scores(hooks, scans).collect()] == [(100, 0, "excellent")]
     assert {(r.score, r.n) for r in supply.supply_breakdown(hooks, scans).collect()} == {(100, 0)}
     assert {(r.n, r.worst) for r in iam.iam_breakdown(iam.iam_findings(iam.iam_statements(scans)), scans).collect()} == {(0, None)}
+
+
+def test_a_stream_of_files_meets_every_family(spark, files, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fleetrisk.streaming import incremental
+    rows = files(("Dockerfile", "FROM node:14\nUSER root"), ("src/a.ts", "eval(userInput)"), ("app.env", "api_key=q8Zk3LmN7pRt5VxW2yAbC9dE"), ("infra/m.tf", 'acl = "public-read"'))
+    rows.write.parquet(str(tmp_path / "in"))
+    incremental.append_scan(incremental.read_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), F.lit("2025-06-01").cast("date")).awaitTermination()
+    kinds = {(r.kind, r.rule_id.split("-")[0]) for r in spark.read.parquet(str(tmp_path / "out")).select("kind", "rule_id").collect()}
+    assert {k for k, _ in kinds} == {"secret", "code", "iac"} and ("secret", "entropy") in kinds
