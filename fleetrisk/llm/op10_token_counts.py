@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetrisk.llm.common import flat, texts
+from fleetrisk.llm.common import cut, flat, texts
 from fleetrisk.llm.tokens import encoder, vocabulary
 
 SPAN = 1024
@@ -34,7 +34,8 @@ def histogram(counted: DataFrame) -> DataFrame:
     """One row for each distinct n_tokens, as a context limit: n_docs of that length; docs_over and tokens_over of longer documents;
     docs_to (of that length or less) and share_to of all documents; tokens_whole in documents that fit; tokens_cut if all are cut at it;
     tokens_all."""
-    sizes = counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
+    # Small, and read twice below: written once, so that no text is encoded twice.
+    sizes = cut(counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
     sizes = sizes.withColumn("n", F.col("n_tokens") * F.col("n_docs"))
     # One row a span; how many there are is bounded by the longest text, not by the corpus.
     spans = sizes.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum("n").alias("t"))
