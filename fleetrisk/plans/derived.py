@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Keys dealt by their hash before text is built on them: the few bytes of a key move, not the text, and the work on it is as wide as
+    the session's shuffles, however the table is stored."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def repo_of(key: Column) -> Column:
     """A third of all keys belong to one repository."""
     return F.when(key % 3 == 0, F.lit("acme/mono")).otherwise(
@@ -44,7 +50,7 @@ def snippet_files(spark: SparkSession, sf_dir: str, items: list[str], paths: lis
     """One file per row of ``source``; content and path follow the key."""
     k = F.col(key)
     text = snippet_text(items, k, base, spread)
-    return table(spark, sf_dir, source).select(key).select(
+    return dealt(table(spark, sf_dir, source).select(key), key).select(
         repo_of(k).alias("repo"), F.lit("s1").alias("scan_id"), path_of(paths, k).alias("path"),
         F.length(text).cast("bigint").alias("size"), text.alias("content"),
     )
@@ -66,7 +72,7 @@ def token_files(spark: SparkSession, sf_dir: str, paths: list[tuple[str, str]])
     text = snippet_text(TOKEN_LINES, k)
     for n in (12, 20, 24, 32, 36):
         text = F.replace(text, F.lit("{%d}" % n), F.substring(hexed, 1, n))
-    return table(spark, sf_dir, "orders").select("o_orderkey").select(
+    return dealt(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(
         repo_of(k).alias("repo"), F.lit("s1").alias("scan_id"), path_of(paths, k).alias("path"),
         F.length(text).cast("bigint").alias("size"), text.alias("content"),
     )

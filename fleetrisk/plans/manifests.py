@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.plans.derived import table
+from fleetrisk.plans.derived import dealt, table
 from fleetrisk.plans.views import case_of, repo
 
 
@@ -49,7 +49,7 @@ class Manifest:
 
     def files(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         cols = [self.key] + [c for c in ("p_name", "p_size") if self.source == "part"]
-        return table(spark, sf_dir, self.source).select(*cols).selectExpr(*self.columns(True))
+        return dealt(table(spark, sf_dir, self.source).select(*cols), cols[0]).selectExpr(*self.columns(True))
 
     def sql(self) -> str:
         return f"files AS (SELECT {', '.join(self.columns(False))} FROM {self.source})"

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.plans.derived import TABLES, table
+from fleetrisk.plans.derived import TABLES, dealt, table
 
 
 def case_of(expr: str, items: list[str | None]) -> str:
@@ -143,9 +143,14 @@ FROM {part} GROUP BY p_partkey % 60
 """
 
 
+#: Keys that the large tables are dealt by.
+KEYS = {"lineitem": "l_orderkey", "events": "event_id", "customer": "c_custkey", "part": "p_partkey"}
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the texts above on the tables of ``sf_dir``."""
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    used = {t: dealt(df, KEYS[t]) if t in KEYS else df for t, df in used.items()}
     return spark.sql(sql, **used)
 
 

@@ -161,8 +161,8 @@ def sql() -> dict[str, str]:
         "att_4_paths": paths(),
         "exp_1_sarif_shapes": with_ctes(FIN, SHAPES, select="SELECT ord, sarif_rule, level, message, uri, start_line FROM sh"),
         "agg_11_sarif_rules": with_ctes(FIN, SHAPES, "r AS (SELECT *, row_number() OVER (PARTITION BY repo, scan_id, sarif_rule ORDER BY ord) AS rn FROM sh)", select="SELECT repo, scan_id, sarif_rule, name, level FROM r WHERE rn = 1"),
-        "snk_2_sarif_documents": with_ctes(FIN, SHAPES, select="SELECT repo, scan_id, count(*) AS results, count(DISTINCT sarif_rule) AS rules, count(*) AS defined, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'note') AS notes, "
-                                           "count(start_line) AS lines, sum(start_line)::BIGINT AS line_sum, count(DISTINCT uri) AS uris, sum(length(message))::BIGINT AS message_chars FROM sh GROUP BY ALL"),
+        "snk_2_sarif_documents": with_ctes(FIN, SHAPES, select="SELECT repo, scan_id, count(*) AS results, count(DISTINCT sarif_rule) AS rules, 0::BIGINT AS undefined, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'note') AS notes, "
+                                           "count(start_line) AS lines, coalesce(sum(start_line), 0)::BIGINT AS line_sum, count(DISTINCT uri) AS uris, sum(length(message))::BIGINT AS message_chars FROM sh GROUP BY ALL"),
         "cat_2_resolved_rules": resolved(), "fix_0_fix_kinds": fix_kinds(),
         "dep_19_vuln_counts": with_ctes(FIN, select=f"SELECT repo, scan_id, {eco}, count(*) AS deps_count FROM f WHERE kind = 'dependency' GROUP BY repo, scan_id"),
         "win_1_latest_scans": with_ctes(SCANS, "r AS (SELECT *, row_number() OVER (PARTITION BY user_id, owner, repo ORDER BY scanned_at DESC, id DESC) AS rn FROM scans)", select="SELECT user_id, owner, repo, id, scanned_at FROM r WHERE rn = 1"),
