@@ -173,6 +173,28 @@ def test_simhash(table, request):
     assert stay.columns == df.columns
 
 
+def test_simhash_keeps_one_row_of_each_group(spark, awkward):
+    far = ["alpha beta gamma delta", "one two three four five", "red green blue black white"]
+    more = [(None, far[0]), (None, far[1]), (None, far[2]), (20, far[0].upper()), (21, "left right up down"), (21, "north south east west"), (None, far[1].title())]
+    rows = awkward.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in more], SCHEMA))
+    for df in (rows, rows.withColumn("doc_id", F.lit(None).cast("bigint"))):
+        have = {(i, t) for i, t in rows_of(df)}
+        roots = brute_components([(f, f) for f in sorted({brute_simhash(t) for _, t in have})])
+        best = {}
+        signed = lambda f: f - 2**64 if f >= 2**63 else f
+        for i, t in have:
+            f = brute_simhash(t)
+            rank = (i is None, i or 0, signed(f), hashlib.sha256(t.encode()).hexdigest())
+            best[roots[f]] = min(best.get(roots[f], (rank, i, t)), (rank, i, t), key=lambda x: x[0])
+        assert sorted(map(str, rows_of(op3_simhash.keep(df)))) == sorted(str((i, t)) for _, i, t in best.values())
+        least = {}
+        for i, t in have:
+            root = roots[brute_simhash(t)]
+            least[root] = min(least.get(root, 2**63), 2**63 if i is None else i)
+        want = sorted((str(i), signed(brute_simhash(t)), least[roots[brute_simhash(t)]]) for i, t in rows_of(df))
+        assert sorted((str(r.doc_id), r.fp, 2**63 if r.component_id is None else r.component_id) for r in op3_simhash.near_duplicates(df).collect()) == want
+
+
 def test_simhash_links_lose_nothing(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)
