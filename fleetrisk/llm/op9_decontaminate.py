@@ -7,12 +7,12 @@ such document at least once. The search loses nothing; candidates are verified b
 
 Documents are never shuffled. A bit table of fixed size marks the hashes of all items' shingles; each document's shingles are looked up in
 it where the text is read, and only those that hit go on, as text with their document. Items found in very many documents: hits are
-distinct per document, and their join with the items is salted by document.
+distinct per row, and their join with the items is salted by row.
 
 Words are runs without ASCII white space, A-Z in lower case; shingles are `width` words. An item of fewer words is matched by its
 whole sequence, in any place. Null or empty items have no shingles and match nothing; null or empty documents neither. Items that
-repeat an item_id are one item with all their shingles; rows that repeat a doc_id are one document, as are all rows without an id. Items
-without an id are left out, as a find could not name them.
+repeat an item_id are one item with all their shingles. Each row is searched by itself, named by doc_id and a digest of its text, also where
+rows share an id or have none. Items without an id are left out, as a find could not name them.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetrisk.llm.common import LOWER, U64, cut, flat, grams, texts, word_blocks
+from fleetrisk.llm.common import LOWER, U64, cut, flat, grams, word_blocks
+from fleetrisk.llm.op2_exact import row_key
 
 #: Bits of the table of hashes: 512 KB, for any number of items.
 TABLE_BITS = 22
-SALTS, NONE = 16, 2**63 - 1
+SALTS = 16
 BASE = 0x9E3779B97F4A7C15
 SHINGLES = "id {kind}, shingle string, h bigint"
 
@@ -81,8 +82,13 @@ def signatures(items: DataFrame, width: int, share: float) -> DataFrame:
     return have.withColumn("signed", rank <= most_missing(largest, share) + 1)
 
 
-def find(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
-    """doc_id, item_id, shared, n_shingles, containment: all pairs where the document holds at least `share` of the item's shingles."""
+def key_of() -> Column:
+    """Names a row of docs: rows that agree in it have one id and one text."""
+    return row_key(F.col("doc_id").cast("bigint"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key_")
+
+
+def met(docs: DataFrame, items: DataFrame, width: int, share: float) -> DataFrame:
+    """key_, item_id, shared, n_shingles: all pairs where the row's text holds at least `share` of the item's shingles."""
     spark = docs.sparkSession
     have = cut(signatures(items, width, share))
     # At most `width` different lengths, and at most 2^22 places of the table: both bounded, whatever the tables hold.
@@ -91,17 +97,25 @@ def find(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8)
     marked = np.zeros(1 << TABLE_BITS, bool)
     marked[places.to_numpy(np.int64)] = True
     table = spark.sparkContext.broadcast(np.packbits(marked).tobytes())
-    rows = texts(docs).select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)).alias("id"), "text")
-    hits = shingles(rows, widths, table=table).distinct().withColumnRenamed("id", "doc_id").drop("h")
-    hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    rows = docs.select(key_of().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    hits = shingles(rows, widths, table=table).distinct().withColumnRenamed("id", "key_").drop("h")
+    hits = hits.withColumn("salt", F.pmod(F.xxhash64("key_"), F.lit(SALTS)))
     spread = have.drop("h").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    met = hits.join(spread, ["shingle", "salt"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.max("n_shingles").alias("n_shingles"), F.max("signed").alias("candidate"))
-    out = met.where("candidate").where(F.col("shared") >= F.col("n_shingles") - most_missing(F.col("n_shingles"), share))
-    return out.select(F.when(F.col("doc_id") != NONE, F.col("doc_id")).alias("doc_id"), "item_id", "shared", "n_shingles", (F.col("shared") / F.col("n_shingles")).alias("containment"))
+    pairs = hits.join(spread, ["shingle", "salt"]).groupBy("key_", "item_id").agg(F.count("*").alias("shared"), F.max("n_shingles").alias("n_shingles"), F.max("signed").alias("candidate"))
+    return pairs.where("candidate").where(F.col("shared") >= F.col("n_shingles") - most_missing(F.col("n_shingles"), share)).drop("candidate")
+
+
+def find(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
+    """doc_id, item_id, shared, n_shingles, containment: all pairs where a row of that id holds at least `share` of the item's shingles.
+
+    Of rows that share an id, and of those without one, the row that holds most of the item is reported.
+    """
+    doc_id = F.nullif(F.substring_index("key_", ":", -1), F.lit("none")).cast("bigint").alias("doc_id")
+    out = met(docs, items, width, share).groupBy(doc_id, "item_id").agg(F.max("shared").alias("shared"), F.max("n_shingles").alias("n_shingles"))
+    return out.select("doc_id", "item_id", "shared", "n_shingles", (F.col("shared") / F.col("n_shingles")).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
     """Rows of docs, with all their columns, in which no item is found."""
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("key_")
-    dirty = find(docs, items, width, share).select(name("doc_id")).distinct()
-    return docs.select(F.struct(*docs.columns).alias("row_"), name("doc_id")).join(dirty, "key_", "left_anti").select("row_.*")
+    dirty = met(docs, items, width, share).select("key_").distinct()
+    return docs.select(F.struct(*docs.columns).alias("row_"), key_of()).join(dirty, "key_", "left_anti").select("row_.*")

@@ -402,6 +402,16 @@ def test_decontamination(spark):
     assert clean.columns == rows.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4]
 
 
+def test_decontamination_takes_each_row_by_itself(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    half, rest = " ".join(passage.split()[:9]), " ".join(passage.split()[5:])
+    docs = spark.createDataFrame([(None, passage), (None, "a clean text"), (None, half), (None, rest), (7, half), (7, rest), (8, f"x {passage}"), (8, "clean as well"), (9, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    assert sorted((str(r.doc_id), r.item_id, r.shared) for r in op9_decontaminate.find(docs, items).collect()) == [("8", 1, 10), ("None", 1, 10)]
+    want = [(None, "a clean text"), (None, half), (None, rest), (7, half), (7, rest), (8, "clean as well"), (9, "")]
+    assert sorted(map(str, rows_of(op9_decontaminate.clean(docs, items)))) == sorted(map(str, want))
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
     for out in (op1_suffix.remove(empty), op2_exact.duplicates(empty), op2_exact.keep(empty), op3_simhash.near_duplicates(empty), op3_simhash.keep(empty), op7_substring.remove(empty), op8_packing.pack(empty),
