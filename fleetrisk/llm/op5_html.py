@@ -5,7 +5,8 @@ capacities; neighbours on the page and in the DOM are tied by smoothness edges.
 paths) separates content from boilerplate at the least total cost. Each page is a graph of its own, solved where the page is read; nothing is
 shuffled.
 
-Scripts, styles, heads, comments in markup and form controls are never blocks. Character references are decoded, white space within a block
+Scripts, styles, titles, comments in markup and form controls are never blocks. A head needs no end tag, as all else in it has no text;
+text and elements of the body that come in it belong to the body, as in browsers. Character references are decoded, white space within a block
 becomes one space, blocks are joined by line feeds. Broken markup is read as far as it goes: tags may stay open, a tag cut off by the end
 is dropped. Null and empty pages give empty texts. Repeated rows are pages of their own.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 HINT = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
-UNREAD = frozenset("script style noscript template title textarea select option svg math iframe object canvas audio video head".split())
+UNREAD = frozenset("script style noscript template title textarea select option svg iframe object canvas audio video".split())
 #: Of these, everything up to the closing tag is text, not markup.
 RAW = frozenset("script style title textarea noscript iframe template".split())
 BOXES = frozenset("body div section article main aside nav header footer form ul ol dl table tbody figure blockquote details dialog fieldset center menu button label".split())
@@ -67,6 +68,7 @@ def blocks_of(html: str) -> list[Block]:
     boxes: list[tuple[str, float, int]] = []
     pieces: list[str] = []
     linked, in_link, skip, made, leaf, leaf_odds = 0, 0, "", 0, "", 0.0
+    inside_option: list[str] = []
 
     def flush() -> None:
         nonlocal linked
@@ -102,21 +104,34 @@ def blocks_of(html: str) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag in RAW and not closing and not attributes.endswith("/"):
+            end = re.compile(f"</{tag}", re.I).search(html, at)
+            at = end.start() if end else len(html)
+            if not end:
+                break
+            close = html.find(">", at)
+            at = close + 1 if close >= 0 else len(html)
+            continue
+        if skip == "option" and tag != "option":
+            # An option may lack its end tag: the end of an element around it, or a group, ends it too.
+            if closing and tag in inside_option:
+                while inside_option.pop() != tag:
+                    pass
+                continue
+            if not closing and tag != "optgroup":
+                inside_option.append(tag)
+                continue
+            skip = ""
         if skip:
+            if tag == "option":
+                inside_option.clear()
             if closing and tag == skip:
                 skip = ""
             continue
         if tag in UNREAD:
             if not closing and not attributes.endswith("/"):
-                if tag in RAW:
-                    end = re.compile(f"</{tag}", re.I).search(html, at)
-                    at = end.start() if end else len(html)
-                    if not end:
-                        break
-                    close = html.find(">", at)
-                    at = close + 1 if close >= 0 else len(html)
-                else:
-                    skip = tag
+                skip = tag
+                inside_option.clear()
         elif tag in BOXES:
             flush()
             leaf, leaf_odds = "", 0.0

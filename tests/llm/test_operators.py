@@ -295,6 +295,21 @@ def test_html(spark):
     assert op5_html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><title>t</title><meta charset=utf-8><body><p>The text stays.</p></body>", "The text stays."),
+    ("<head><title>t</title><link rel=x><p>No body tag.</p>", "No body tag."),
+    ("<body><p>Before it.</p><datalist id=d><option value=a><option value=b>B</datalist><p>After it.</p></body>", "Before it.\nAfter it."),
+    ("<div><p>One.</p><datalist><option>a <b>b</b> c<option>d</datalist><p>Two.</p></div><p>Three.</p>", "One.\nTwo.\nThree."),
+    ("<p>One.</p><select><option>a<option>b</select><p>Two.</p>", "One.\nTwo."),
+    ("<p>One.</p><datalist><option>a</option><optgroup label=x><option>b</optgroup></datalist><p>Two.</p>", "One.\nTwo."),
+    ("<html><head><script>if(i<n /2) x(); // don't</script></head><body><p>It's all here.</p></body>", "It's all here."),
+    ("<svg><style>a<b 'c</style></svg><p>It's here.</p>", "It's here."),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>", "So x=1 holds."),
+])
+def test_html_loses_no_text_after_open_tags(html, want):
+    assert op5_html.main_text(html) == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.floats(-5, 5), min_size=1, max_size=8), st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7), st.floats(0, 3)), max_size=12))
 def test_minimum_cut(odds, edges):
