@@ -10,7 +10,9 @@ least. Equal strings have equal anchors, so that only suffixes that begin at an
    either side are the classes of equal strings; a string goes if its class has a smaller id.
 4. The chunk marks the strings found and cuts them out.
 
-Equal surroundings count once a chunk, so a passage that a third of all documents share is no hot group. Matches never cross documents.
+Equal surroundings count once a chunk, so inside a passage that a third of all documents share no anchor is a hot group. Near its ends the
+surroundings hold each document's own text, and all rows of such an anchor meet in one bucket: that is a hot group. Matches never cross
+documents.
 Null texts are empty. A null doc_id counts as larger than all others; equal ids never remove each other's bytes.
 """
 
