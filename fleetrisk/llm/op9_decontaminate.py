@@ -3,7 +3,8 @@
 Similarity of sets is of no use between 30 shingles and 3000, so containment is searched. Items are partitioned by size, and each has a
 signature of its smallest shingle hashes (bottom-k MinHash) as long as its size class needs: an item of n shingles that lies in a document
 to a share of t or more misses at most n - ceil(t n) of them, so a signature of one more hash than the class can miss meets every
-such document at least once. The search loses nothing; candidates are verified by exact shingle containment.
+such document at least once. The registered job joins with all shingles of the items, signed or not, which is the exact containment already;
+the signatures only filter its result and, as they lose nothing, never change it.
 
 Documents are never shuffled. A bit table of fixed size marks the hashes of all items' shingles; each document's shingles are looked up in
 it where the text is read, and only those that hit go on, as text with their document. Items found in very many documents: hits are
