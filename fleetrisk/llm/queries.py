@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetrisk.llm import op1_suffix, op2_exact, op3_simhash, op4_toxicity, op5_html, op6_quality, op7_substring, op8_packing, op9_decontaminate, op10_token_counts
+from fleetrisk.llm import (checks, op1_suffix, op2_exact, op3_simhash, op4_toxicity, op5_html, op6_quality, op7_substring, op8_packing, op9_decontaminate,
+                           op10_token_counts, op11_urls, op12_resample, op13_search)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,18 @@ def op10_token_length_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least=20, seed="2024", buckets=10_000, longest=1)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10, a=100, b=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -68,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_decontamination": op9_decontamination,
     "op10_token_length_counts": op10_token_length_counts,
+    "op11_url_filter": op11_url_filter,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
@@ -83,4 +99,7 @@ SQL: dict[str, str] = {
              n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
         SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared, any_value(n.n) AS n_shingles, count(*) / any_value(n.n) AS containment
         FROM d JOIN b ON d.s = b.s JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING count(*) >= ceil(0.8 * any_value(n.n) - 1e-9)""",
+    "op11_url_filter": checks.urls(),
+    "op12_importance_resampling": checks.resample(),
+    "op13_ranked_search": checks.search(),
 }
