@@ -10,9 +10,9 @@ sums of those. A URL is scored once, however many pages have it. Runs that make
 broadcast) are added up where the URLs are read; only rarer ones are shuffled to the model. Differences are whole millionths, so
 that sums do not depend on their order.
 
-Null URLs are empty ones. Without "://" host and path are empty, and no rule fits; the models judge the whole URL all the same. Characters
-outside the basic plane count as one. Without accepted or without rejected URLs, the threshold is 0 and a score at it is accepted. Repeated
-rows are judged alike; empty tables give no rows; other columns are ignored.
+Null URLs are empty ones. Without "://" host and path are empty, and no rule fits; the models judge the whole URL all the same. Without
+accepted or without rejected URLs, the threshold is 0 and a score at it is accepted. Very long URLs are read in time that follows their
+length. Repeated rows are judged alike; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from fleetrisk.llm.common import cut, join_hot
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 ORDER, FOLDS, HOT = 4, 5, 2000
-#: Marks before the first and after the last character, and stands for characters outside the basic plane.
-START, END, OTHER = "\u0002", "\u0003", "�"
+#: Marks before the first and after the last character.
+START, END = "\u0002", "\u0003"
 #: A character not seen before is one of so many.
 ALPHABET = 65536
 #: Scores are counted in steps of 0.01 from -5 to 5.
@@ -50,10 +50,14 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def runs(url: Column, order: int) -> Column:
-    """For each character of a URL and its end: it and the `order` characters before it."""
-    plain = F.regexp_replace(url, "[^\u0000-￿]", OTHER)
-    return F.regexp_extract_all(F.concat(F.lit(START * order), plain, F.lit(END)), F.lit(f"(?s)(?=(.{{{order + 1}}}))"), F.lit(1))
+def runs(urls: DataFrame, order: int) -> DataFrame:
+    """urls with a row and its run for each character of a URL and for its end: it and the `order` characters before it."""
+    chars = urls.withColumn("chars_", F.split(F.concat(F.lit(START * order), "url", F.lit(END)), ""))
+    shifted = lambda j: F.slice("chars_", j + 1, F.size("chars_") - order)
+    run = shifted(0)
+    for j in range(1, order + 1):
+        run = F.zip_with(run, shifted(j), lambda x, y: F.concat(x, y))
+    return chars.select(*urls.columns, F.explode(run).alias("run"))
 
 
 def differences(counted: DataFrame, order: int) -> DataFrame:
@@ -79,13 +83,12 @@ def differences(counted: DataFrame, order: int) -> DataFrame:
 
 def model_scores(urls: DataFrame, order: int) -> DataFrame:
     """The columns of urls and score, in millionths for each character. urls: url, n, verdict (null if no rule fits), learned."""
-    each = urls.select("url", "n", "verdict", "learned", F.explode(runs(F.col("url"), order)).alias("run"))
     has = lambda verdict: F.sum(F.when(F.col("learned") & (F.col("verdict") == verdict), F.col("n")).otherwise(0))
-    counted = cut(each.groupBy("run").agg(F.count("*").alias("places"), has("allow").alias("yes"), has("block").alias("no")))
+    counted = cut(runs(urls, order).groupBy("run").agg(F.count("*").alias("places"), has("allow").alias("yes"), has("block").alias("no")))
     model = cut(differences(counted.select("run", "yes", "no"), order).join(counted.select("run", "places"), "run"))
     every = model.agg(F.sum("places").alias("every"))
     hot = model.join(F.broadcast(every), F.col("places") * HOT > F.col("every")).select("run", "diff")
-    met = urls.select("url", F.explode(runs(F.col("url"), order)).alias("run")).join(F.broadcast(hot), "run", "left")
+    met = runs(urls.select("url"), order).join(F.broadcast(hot), "run", "left")
     near = met.groupBy("url").agg(F.coalesce(F.sum("diff"), F.lit(0)).alias("diff"), F.count("*").alias("length"))
     far = met.where("diff IS NULL").select("url", "run").join(model.select("run", F.col("diff").alias("rare")), "run").groupBy("url").agg(F.sum("rare").alias("diff"), F.lit(0).cast("bigint").alias("length"))
     total = near.unionByName(far).groupBy("url").agg((F.sum("diff") / F.sum("length")).alias("mean"))

@@ -24,17 +24,18 @@ from pyspark.sql import functions as F
 
 from fleetrisk.llm.common import cut, join_hot, partitions, texts
 
-#: Runs of a-z, digits and all that is not ASCII, after A-Z are put in lower case.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words: all of ASCII but digits and a-z, after A-Z are put in lower case.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    # Cut at the gaps: reading matches one by one copies the whole text for each. Only the first and the last piece can be empty.
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), GAP), "")
 
 
 def place(feature: Column, buckets: int) -> Column:
-    return (F.crc32(F.encode(feature, "UTF-8")) % buckets).cast("int")
+    return (F.crc32(feature.cast("binary")) % buckets).cast("int")
 
 
 def runs(of: str, k: int) -> Column:
