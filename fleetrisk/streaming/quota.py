@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from fleetrisk.plans.materialise import materialise
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -21,6 +23,9 @@ class Policy:
     window_ms: int = 3_600_000
 
 
+#: Distinct times of a key that one row may hold.
+SMALL = 10_000
+
 # Anonymous quotas per address and per repository.
 PER_ADDRESS, PER_REPO = Policy(10), Policy(5)
 OUT = "id string, key string, ts timestamp, allowed boolean, remaining int, retry_after_s bigint"
@@ -37,27 +42,85 @@ def decide(state: tuple[int, int] | None, now_ms: int, policy: Policy) -> tuple[
     return (count + 1, start), True, policy.limit - count - 1, 0
 
 
-def quota(events: DataFrame, policy: Policy) -> DataFrame:
+def quota(events: DataFrame, policy: Policy, small: int = SMALL) -> DataFrame:
     """Decisions for a finished table ``events(key, ts)``, with its ``id`` when it has one.
 
-    Rows are hash-partitioned by key, sorted inside the partition by Spark (spilling as needed) and
-    streamed through two values of state; no group is ever gathered, so a key with a third of all
-    events costs time in order of its events and constant memory.
+    Time is cut into buckets as long as the window, so a bucket holds at most one window start, and an event's window started in its own
+    bucket or the one before: events meet their start by two equi-joins on (key, bucket), and are counted inside (key, start). No task
+    holds more than a bucket of a key. Events without a time are left out; events of one key and millisecond count in order of time and id.
+    """
+    e = events.select(_id(events).alias("id"), "key", "ts", F.floor(F.unix_micros("ts") / 1000).alias("ms")).where("ms IS NOT NULL")
+    e = e.withColumn("bucket", _bucket(F.col("ms"), policy)).withColumn("k", _named(F.col("key")))
+    starts = window_starts(e, policy, small).withColumn("bucket", _bucket(F.col("start"), policy))
+    # One row a start for its own bucket and for the next: both starts an event may have, in one join.
+    near = starts.select("k", "bucket", F.col("start").alias("own"), F.lit(None).cast("bigint").alias("before")).unionByName(
+        starts.select("k", (F.col("bucket") + 1).alias("bucket"), F.lit(None).cast("bigint").alias("own"), F.col("start").alias("before")))
+    near = near.groupBy("k", "bucket").agg(F.max("own").alias("own"), F.max("before").alias("before"))
+    e = e.join(near, ["k", "bucket"]).withColumn("start", F.when(F.col("own") <= F.col("ms"), F.col("own")).otherwise(F.col("before")))
+    n = F.row_number().over(Window.partitionBy("k", "bucket", "start").orderBy("ts", "id"))
+    # A window that runs over into the next bucket goes on from the number of its events in its own.
+    own = e.where("start = own").groupBy("k", "start").agg(F.count("*").alias("earlier"))
+    e = e.withColumn("n", n).join(own, ["k", "start"], "left")
+    n = F.col("n") + F.when(F.col("start") == F.col("own"), 0).otherwise(F.coalesce("earlier", F.lit(0)))
+    ok, wait = n <= policy.limit, F.ceil((F.col("start") + policy.window_ms - F.col("ms")) / 1000)
+    return e.select("id", "key", "ts", ok.alias("allowed"), F.when(ok, policy.limit - n).otherwise(0).cast("int").alias("remaining"),
+                    F.when(ok, 0).otherwise(F.greatest(F.lit(1), wait)).cast("bigint").alias("retry_after_s"))
+
+
+def _bucket(ms: Column, policy: Policy) -> Column:
+    return F.floor(ms / policy.window_ms)
+
+
+def _named(key: Column) -> Column:
+    """A key that joins also where it is null."""
+    return F.struct(key.isNull().alias("none"), F.coalesce(key.cast("string"), F.lit("")).alias("name"))
+
+
+def window_starts(events: DataFrame, policy: Policy, small: int = SMALL) -> DataFrame:
+    """(k, start): the first event of every window of every key. ``events(k, ms, bucket)``.
+
+    Keys with up to ``small`` distinct times are folded in one row each. Of longer ones, no task takes the whole: each time finds the window
+    start that would follow it, in its neighbour bucket or from one row per bucket; then the starts that the key's first event leads to are
+    followed by pointer doubling: jumps of 1, 2, 4, ... windows, as many as the longest key has, and from the first event along all of them.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in batches:
-            rows = []
-            for i, k, ts in zip(pdf["id"], pdf["key"], pdf["ts"]):
-                if k != key:
-                    key, state = k, None
-                state, ok, left, wait = decide(state, ts.value // 1_000_000, policy)
-                rows.append((i, k, ts, ok, left, wait))
-            if rows:
-                yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    e = events.select(_id(events).alias("id"), "key", "ts")
-    return e.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, OUT)
+    times = events.select("k", "bucket", "ms").distinct()
+    buckets = times.groupBy("k", "bucket").agg(F.min("ms").alias("first"), F.count("*").alias("n"))
+    sizes = buckets.groupBy("k").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    few = sizes.where(F.col("n") <= small).select("k")
+    # Only keys that are small in all are gathered; the join is by bucket, so that a long key is many small groups of it.
+    gathered = times.join(buckets.join(few, "k", "left_semi").select("k", "bucket"), ["k", "bucket"], "left_semi").groupBy("k").agg(F.sort_array(F.collect_list("ms")).alias("ms"))
+    fold = F.aggregate("ms", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.element_at(acc, -1) + policy.window_ms), F.concat(acc, F.array(x))).otherwise(acc))
+    out = gathered.select("k", F.explode(fold).alias("start"))
+    many = materialise(sizes.where(F.col("n") > small).select("k", "first"))
+    if many.isEmpty():
+        return out
+    return out.unionByName(_followed(times, buckets, many, policy))
+
+
+def _followed(times: DataFrame, buckets: DataFrame, many: DataFrame, policy: Policy) -> DataFrame:
+    """(k, start) of the keys in ``many(k, first)``."""
+    buckets = buckets.join(many.select("k"), "k", "left_semi")
+    by_bucket = Window.partitionBy("k").orderBy("bucket")  # one row a bucket
+    one, two = (F.lead(F.struct("bucket", "first"), i).over(by_bucket) for i in (1, 2))
+    beyond = F.when(one["bucket"] == F.col("bucket") + 1, two["first"]).otherwise(one["first"])
+    buckets = buckets.select("k", "bucket", beyond.alias("beyond"))
+    own = times.join(buckets, ["k", "bucket"])
+    # A time asks in the next bucket for the first time that is no nearer than a window.
+    probes = own.select("k", (F.col("bucket") + 1).alias("bucket"), (F.col("ms") + policy.window_ms).alias("at"), F.col("ms").alias("asks"), "beyond")
+    stand = own.select("k", "bucket", F.col("ms").alias("at"), F.lit(None).cast("bigint").alias("asks"), F.lit(None).cast("bigint").alias("beyond"))
+    later = Window.partitionBy("k", "bucket").orderBy(F.desc("at"), F.asc_nulls_first("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(F.when(F.col("asks").isNull(), F.col("at")), ignorenulls=True).over(later)
+    jumps = probes.unionByName(stand).withColumn("found", found).where("asks IS NOT NULL")
+    jumps = materialise(jumps.select("k", F.col("asks").alias("ms"), F.coalesce("found", "beyond").alias("to")).where("to IS NOT NULL"))
+    levels = [jumps]
+    # Twice as far each time, until no time has so many windows after it.
+    while not levels[-1].isEmpty():
+        further = levels[-1].select("k", F.col("ms").alias("to"), F.col("to").alias("next"))
+        levels.append(materialise(levels[-1].join(further, ["k", "to"]).select("k", "ms", F.col("next").alias("to"))))
+    starts = many.select("k", F.col("first").alias("start"))
+    for level in reversed(levels[:-1]):
+        starts = materialise(starts.unionByName(starts.join(level.withColumnRenamed("ms", "start"), ["k", "start"]).select("k", F.col("to").alias("start"))))
+    return starts
 
 
 def _id(events: DataFrame) -> Column:

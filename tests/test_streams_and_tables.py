@@ -39,6 +39,43 @@ def test_quota_equals_brute_force(spark):
     assert all((r.retry_after_s > 0) != r.allowed for r in got)
 
 
+def decisions(rows, policy):
+    """decide() applied event by event."""
+    state, out = {}, []
+    for i, key, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        ms = (ts - datetime.datetime(1970, 1, 1)) // datetime.timedelta(milliseconds=1)
+        state[key], *rest = quota.decide(state.get(key), ms, policy)
+        out.append((i, key, *rest))
+    return sorted(out, key=str)
+
+
+def test_quota_by_jumps_equals_decide(spark):
+    """Long keys by pointer doubling, short ones in a row, the same decisions: gaps, bursts, regular times, equal times, null keys."""
+    rnd, start = random.Random(5), datetime.datetime(2024, 3, 1, 0, 0, 0, 500)
+    rows = []
+    for key, step in (("regular", lambda: 24 * 60_000), ("burst", lambda: rnd.choice([0, 0, 1, 1000, 7_200_000])), ("random", lambda: rnd.randint(0, 4_000_000)), (None, lambda: rnd.randint(0, 600_000)),
+                      ("edge", lambda: rnd.choice([3_599_999, 3_600_000, 3_600_001, 1])), ("rare", lambda: 10_000_000_000)):
+        t = start
+        for n in range(150):
+            t += datetime.timedelta(milliseconds=step())
+            rows.append((f"{key}-{n:04}", key, t))
+    rows.append(("before-1970", "old", datetime.datetime(1969, 12, 31, 22, 30)))
+    rows.append(("before-1970-2", "old", datetime.datetime(1969, 12, 31, 23, 29)))
+    df = spark.createDataFrame(rows, "id string, key string, ts timestamp")
+    for policy in (quota.Policy(3), quota.Policy(1, 60_000)):
+        want = decisions(rows, policy)
+        for small in (0, 100, 10_000):
+            got = quota.quota(df, policy, small).collect()
+            assert sorted([(r.id, r.key, r.allowed, r.remaining, r.retry_after_s) for r in got], key=str) == want
+    assert quota.quota(df.limit(0), quota.Policy(3), 0).count() == 0
+
+
+def test_quota_runs_without_python(spark):
+    df = spark.createDataFrame(events(), "id string, key string, ts timestamp")
+    plan = quota.quota(df, quota.Policy(3), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+
+
 def test_two_stages(spark):
     rows = [(i, k, "o/r", t) for i, k, t in events(120)]
     got = {r.id: r.allowed for r in quota.two_stage(spark.createDataFrame(rows, "id string, address string, repo string, ts timestamp"), quota.Policy(2), quota.Policy(3)).collect()}
