@@ -23,8 +23,8 @@ class Policy:
     window_ms: int = 3_600_000
 
 
-#: Distinct times of a key that one row may hold.
-SMALL = 10_000
+#: Events of a key that one row may hold, and times that are folded in one piece.
+SMALL, PIECE = 100_000, 300
 
 # Anonymous quotas per address and per repository.
 PER_ADDRESS, PER_REPO = Policy(10), Policy(5)
@@ -49,24 +49,31 @@ def quota(events: DataFrame, policy: Policy, small: int = SMALL) -> DataFrame:
     bucket or the one before: events meet their start by two equi-joins on (key, bucket), and are counted inside (key, start). No task
     holds more than a bucket of a key. Events without a time are left out; events of one key and millisecond count in order of time and id.
     """
-    e = events.select(_id(events).alias("id"), "key", "ts", F.floor(F.unix_micros("ts") / 1000).alias("ms")).where("ms IS NOT NULL")
+    e = events.select(_id(events).alias("id"), "key", "ts", _ms(events).alias("ms")).where("ms IS NOT NULL")
     e = e.withColumn("bucket", _bucket(F.col("ms"), policy)).withColumn("k", _named(F.col("key")))
     starts = window_starts(e, policy, small).withColumn("bucket", _bucket(F.col("start"), policy))
     # One row a start for its own bucket and for the next: both starts an event may have, in one join.
-    near = starts.select("k", "bucket", F.col("start").alias("own"), F.lit(None).cast("bigint").alias("before")).unionByName(
-        starts.select("k", (F.col("bucket") + 1).alias("bucket"), F.lit(None).cast("bigint").alias("own"), F.col("start").alias("before")))
+    both = F.explode(F.array(F.struct("bucket", F.col("start").alias("own"), F.lit(None).cast("bigint").alias("before")), F.struct((F.col("bucket") + 1).alias("bucket"), F.lit(None).cast("bigint").alias("own"), F.col("start").alias("before"))))
+    near = starts.select("k", both.alias("x")).select("k", "x.*")
     near = near.groupBy("k", "bucket").agg(F.max("own").alias("own"), F.max("before").alias("before"))
     e = e.join(near, ["k", "bucket"]).withColumn("start", F.when(F.col("own") <= F.col("ms"), F.col("own")).otherwise(F.col("before")))
-    n = F.row_number().over(Window.partitionBy("k", "bucket", "start").orderBy("ts", "id"))
-    # A window that runs over into the next bucket goes on from the number of its events in its own.
-    own = e.where("start = own").groupBy("k", "start").agg(F.count("*").alias("earlier"))
-    e = e.withColumn("n", n).join(own, ["k", "start"], "left")
-    n = F.col("n") + F.when(F.col("start") == F.col("own"), 0).otherwise(F.coalesce("earlier", F.lit(0)))
+    # The events of one window, which is as long as a bucket.
+    e = e.withColumn("n", F.row_number().over(Window.partitionBy("k", "start").orderBy("ts", "id")))
+    n = F.col("n")
     ok, wait = n <= policy.limit, F.ceil((F.col("start") + policy.window_ms - F.col("ms")) / 1000)
     return e.select("id", "key", "ts", ok.alias("allowed"), F.when(ok, policy.limit - n).otherwise(0).cast("int").alias("remaining"),
                     F.when(ok, 0).otherwise(F.greatest(F.lit(1), wait)).cast("bigint").alias("retry_after_s"))
 
 
+def _ms(events: DataFrame) -> Column:
+    """Milliseconds since 1970; times without a zone count as they are written, whatever the session's zone."""
+    if events.schema["ts"].dataType != T.TimestampNTZType():
+        return F.floor(F.unix_micros("ts") / 1000)
+    span = F.expr("ts - timestamp_ntz'1970-01-01 00:00:00'")
+    part = lambda unit: F.extract(F.lit(unit), span)
+    return F.floor(((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")).cast("bigint") * 60_000 + part("SECOND") * 1000).cast("bigint")
+
+
 def _bucket(ms: Column, policy: Policy) -> Column:
     return F.floor(ms / policy.window_ms)
 
@@ -79,22 +86,34 @@ def _named(key: Column) -> Column:
 def window_starts(events: DataFrame, policy: Policy, small: int = SMALL) -> DataFrame:
     """(k, start): the first event of every window of every key. ``events(k, ms, bucket)``.
 
-    Keys with up to ``small`` distinct times are folded in one row each. Of longer ones, no task takes the whole: each time finds the window
+    Keys with up to ``small`` events are folded in one row each. Of longer ones, no task takes the whole: each time finds the window
     start that would follow it, in its neighbour bucket or from one row per bucket; then the starts that the key's first event leads to are
     followed by pointer doubling: jumps of 1, 2, 4, ... windows, as many as the longest key has, and from the first event along all of them.
     """
-    times = events.select("k", "bucket", "ms").distinct()
-    buckets = times.groupBy("k", "bucket").agg(F.min("ms").alias("first"), F.count("*").alias("n"))
-    sizes = buckets.groupBy("k").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    few = sizes.where(F.col("n") <= small).select("k")
-    # Only keys that are small in all are gathered; the join is by bucket, so that a long key is many small groups of it.
-    gathered = times.join(buckets.join(few, "k", "left_semi").select("k", "bucket"), ["k", "bucket"], "left_semi").groupBy("k").agg(F.sort_array(F.collect_list("ms")).alias("ms"))
-    fold = F.aggregate("ms", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.element_at(acc, -1) + policy.window_ms), F.concat(acc, F.array(x))).otherwise(acc))
-    out = gathered.select("k", F.explode(fold).alias("start"))
-    many = materialise(sizes.where(F.col("n") > small).select("k", "first"))
+    many = materialise(events.groupBy("k").agg(F.count("*").alias("n"), F.min("ms").alias("first")).where(F.col("n") > small).select("k", "first"))
     if many.isEmpty():
-        return out
-    return out.unionByName(_followed(times, buckets, many, policy))
+        return _folded(events, policy)
+    times = events.select("k", "bucket", "ms").distinct()
+    buckets = times.groupBy("k", "bucket").agg(F.min("ms").alias("first"))
+    # The keys meet one row a bucket, and times meet those: a long key is many small groups.
+    few = buckets.join(many.select("k"), "k", "left_anti").select("k", "bucket")
+    return _folded(times.join(few, ["k", "bucket"], "left_semi"), policy).unionByName(_followed(times, buckets, many, policy))
+
+
+def _folded(times: DataFrame, policy: Policy) -> DataFrame:
+    """(k, start) of short keys: a fold over a key's times in order, in pieces, so that no long array is copied for every window."""
+    pieces = F.transform(F.sequence(F.lit(1), F.size("ms"), F.lit(PIECE)), lambda i: F.slice(F.col("ms"), i, PIECE))
+    state = lambda last, rest: F.struct(last.cast("bigint").alias("last"), rest.alias("starts"))
+    one = lambda acc, x: F.when(acc["last"].isNull() | (x >= acc["last"] + policy.window_ms), state(x, F.concat(acc["starts"], F.array(x)))).otherwise(acc)
+    none = F.array().cast("array<bigint>")
+
+    def piece(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, state(acc["last"], none), one)
+        return F.transform(F.array(done), lambda d: state(d["last"], F.concat(acc["starts"], F.array(d["starts"]))))[0]
+
+    found = F.aggregate(pieces, state(F.lit(None), F.array().cast("array<array<bigint>>")), piece)["starts"]
+    gathered = times.groupBy("k").agg(F.sort_array(F.collect_set("ms")).alias("ms"))
+    return gathered.select("k", F.explode(F.flatten(found)).alias("start"))
 
 
 def _followed(times: DataFrame, buckets: DataFrame, many: DataFrame, policy: Policy) -> DataFrame:
