@@ -38,10 +38,17 @@ def place(feature: Column, buckets: int) -> Column:
     return (F.crc32(feature.cast("binary")) % buckets).cast("int")
 
 
+def shifted(of: str, by: int, k: int) -> Column:
+    """The elements of an array column from number `by` on, as many as there are runs of k neighbours."""
+    return F.slice(of, by + 1, F.greatest(F.lit(0), F.size(of) - (k - 1)))
+
+
 def runs(of: str, k: int) -> Column:
-    """All runs of k neighbours of an array column."""
-    starts = F.when(F.size(of) >= k, F.sequence(F.lit(1), F.size(of) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(F.col(of), i, k))
+    """All runs of k neighbours of an array of words. Arrays that are shifted by one are joined element by element: no array is cut anew for each run."""
+    run = shifted(of, 0, k)
+    for by in range(1, k):
+        run = F.zip_with(run, shifted(of, by, k), lambda x, y: F.concat(x, F.lit(" "), y))
+    return run
 
 
 def digest(text: Column) -> Column:
@@ -60,8 +67,7 @@ def segments(rows: DataFrame, buckets: int, longest: int) -> DataFrame:
     """line_key, times, n_words, places: each distinct line once, with the places of the features within it."""
     distinct = rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).groupBy("line").agg(F.count("*").alias("times"))
     found = distinct.select(digest(F.col("line")).alias("line_key"), "times", words(F.col("line")).alias("w"))
-    kinds = [F.col("w"), *[F.transform(runs("w", k), lambda run: F.array_join(run, " ")) for k in range(2, longest + 1)]]
-    features = F.concat(*kinds) if longest > 1 else F.col("w")
+    features = F.concat(*[runs("w", k) for k in range(1, longest + 1)]) if longest > 1 else F.col("w")
     return found.select("line_key", "times", F.size("w").alias("n_words"), F.transform(features, lambda x: place(x, buckets)).alias("places"))
 
 
@@ -79,8 +85,15 @@ def crossing(rows: DataFrame, buckets: int, longest: int) -> DataFrame:
 
     per_line = rows.withColumn("ends", F.transform(F.split("text", "\n", -1), words))
     tagged = per_line.withColumn("ends", F.flatten(F.transform("ends", ends)))
-    whole = lambda run: ~F.exists(run, lambda x: x.isNull()) & (run[0]["line"] != F.element_at(run, -1)["line"])
-    kinds = [F.transform(F.filter(runs("ends", k), whole), lambda run: place(F.array_join(F.transform(run, lambda x: x["word"]), " "), buckets)) for k in range(2, longest + 1)]
+
+    def across(k: int) -> Column:
+        """The runs of k words without a gap whose ends are in different lines."""
+        run = F.transform(shifted("ends", 0, k), lambda x: F.struct(x["word"].alias("run"), x["line"].alias("first"), x["line"].alias("last")))
+        for by in range(1, k):
+            run = F.zip_with(run, shifted("ends", by, k), lambda x, y: F.struct(F.concat(x["run"], F.lit(" "), y["word"]).alias("run"), x["first"].alias("first"), y["line"].alias("last")))
+        return F.transform(F.filter(run, lambda x: x["run"].isNotNull() & (x["first"] != x["last"])), lambda x: place(x["run"], buckets))
+
+    kinds = [across(k) for k in range(2, longest + 1)]
     return tagged.select("doc_id", "text", F.concat(*kinds).alias("crossed"))
 
 
