@@ -1,13 +1,18 @@
 """Exact dedup against an index of known texts: a minimal perfect hash over their distinct SHA-256 digests.
 
 The index (build) is a table, one row per bucket of the digest space: seeds of the minimal perfect hash, and slots that hold each full
-digest with its winner (the largest doc_id of that text) and how many rows have it. A lookup hashes a digest to its one slot and compares
-all 32 bytes; equal bytes make it a repeat, anything else is a nonmember. Nonmembers are grouped among themselves in the same task.
-Only digests and ids are shuffled, never texts. Bucket size is fixed, their number follows the rows, so an index of any size is spread.
-
-A text that holds more than a thousandth of all rows (fewer than 1000 texts at any size) is looked up in copies of one small extra bucket,
-over which its rows are spread. A null text is empty. A null doc_id loses against any other; of several rows with the winning id (or of
-rows with null ids only) exactly one is kept.
+digest with its winner (the largest doc_id of that text, and which row that is) and how many rows have it. New texts are grouped by digest first,
+so that a text however frequent is one row; a lookup hashes a digest to its one slot and compares all 32 bytes: equal bytes make it a repeat,
+anything else is a nonmember, which is a group of its own. Only digests and ids are shuffled, never texts. Bucket size is fixed, their number
+follows the rows, so an index of any size is spread.
+
+dedup() looks new documents up in an index of earlier ones, whose winners stay. duplicates() has one table only: about half of it, chosen by a
+hash of the ids, is the history that the index is built from; the other half is looked up; where a repeat has a larger id than the winner, the
+slot takes it over, and nonmembers add their own winners.
+
+Rows meet the winner of their text again by digest; texts with over a thousandth of all rows (fewer than 1000 at any size) by a broadcast.
+A null text is empty. A null doc_id loses against any other; of several rows with the winning id (or of rows with null ids only) exactly
+one is kept. Empty tables give no rows. Very long texts are only hashed. Other columns are ignored, and kept by keep().
 """
 
 from __future__ import annotations
@@ -17,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetrisk.llm.common import U64, cut, mixed, texts
+from fleetrisk.llm.common import U64, cut, join_hot, mixed, texts
 
-#: Digests in a bucket, about; keys per seed of the perfect hash; copies of the bucket of frequent texts.
-BUCKET, LOAD, COPIES = 4_000, 2, 64
-INDEX = "bucket bigint, n bigint, seeds binary, digests binary, winners binary, sizes binary"
+#: Digests in a bucket, about; keys per seed of the perfect hash.
+BUCKET, LOAD = 4_000, 2
+INDEX = "bucket bigint, n bigint, seeds binary, digests binary, winners binary, places binary, sizes binary"
+SLOTS = {"seeds": np.uint32, "digests": np.uint64, "winners": np.int64, "places": np.int64, "sizes": np.int64}
 NONE = -(2**63)
 
 
@@ -76,85 +82,99 @@ def halves(digests: pa.ChunkedArray) -> np.ndarray:
 
 
 def digested(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (32 bytes) of the text in UTF-8."""
-    return texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    """doc_id, id (a null one as the least number), digest (32 bytes) of the text in UTF-8, row (a number of its own). Written, as the numbers
+    must not change."""
+    doc_id = F.col("doc_id").cast("bigint")
+    return cut(texts(docs).select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NONE)).alias("id"), F.unhex(F.sha2("text", 256)).alias("digest"), F.monotonically_increasing_id().alias("row")))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """digest, winner, place, size of each distinct text: partial aggregates, so that no text is a hot key."""
+    best = rows.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("size"))
+    return best.select("digest", F.col("best.id").alias("winner"), F.col("best.row").alias("place"), "size")
 
 
 def bucket_of(n: int) -> Column:
     return F.pmod(F.xxhash64("digest"), F.lit(n))
 
 
-def build(docs: DataFrame, rows: int | None = None) -> DataFrame:
-    """The index over the distinct texts of docs. rows: how many rows docs has, counted if not given."""
-    n = max(1, -(-(docs.count() if rows is None else rows) // BUCKET))
-    known = digested(docs).groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("size"))
-    known = known.withColumn("all_rows", F.lit(docs.count() if rows is None else rows))
-    known = known.withColumn("bucket", F.when(F.col("size") * 1000 > F.col("all_rows"), F.lit(-1)).otherwise(bucket_of(n)))
+def buckets(rows: int) -> int:
+    return max(1, -(-rows // BUCKET))
 
+
+def build(rows: DataFrame, n: int) -> DataFrame:
+    """The index over the distinct texts of rows (of digested()), in n buckets."""
     def index(group: pa.Table) -> pa.Table:
         keys = halves(group["digest"])
         seeds = perfect_hash(keys)
         at = slot(keys, seeds, len(keys))
-        digests, winners, sizes = np.empty_like(keys), np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-        digests[at] = keys
-        winners[at] = group["winner"].combine_chunks().fill_null(NONE).to_numpy(zero_copy_only=False)
-        sizes[at] = group["size"].to_numpy()
-        return pa.table({"bucket": group["bucket"][:1], "n": pa.array([len(keys)], pa.int64()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in (("seeds", seeds), ("digests", digests), ("winners", winners), ("sizes", sizes))}})
+        held = {"seeds": seeds, "digests": np.empty_like(keys), **{k: np.empty(len(keys), np.int64) for k in ("winners", "places", "sizes")}}
+        held["digests"][at] = keys
+        for name, column in (("winners", "winner"), ("places", "place"), ("sizes", "size")):
+            held[name][at] = group[column].to_numpy()
+        return pa.table({"bucket": group["bucket"][:1], "n": pa.array([len(keys)], pa.int64()), **{k: pa.array([held[k].tobytes()], pa.binary()) for k in SLOTS}})
 
-    return known.select("bucket", "digest", "winner", "size").groupBy("bucket").applyInArrow(index, INDEX)
+    return grouped(rows).withColumn("bucket", bucket_of(n)).groupBy("bucket").applyInArrow(index, INDEX)
 
 
-def dedup(docs: DataFrame, index: DataFrame, rows: int | None = None, index_rows: int | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, known (its text is in the index), text_sha256 of every row of docs.
+def looked_up(new: DataFrame, index: DataFrame, n: int, merge: bool) -> DataFrame:
+    """digest, winner, place, size, known, times (rows of the new table) of each distinct new text, after a lookup in the index.
 
-    Repeats of a known text get the index's winner and size, if docs holds that winner or not: where docs are the rows that the index was built
-    from, that is the whole answer. Nonmembers are grouped among themselves: largest id, number of rows.
-    rows, index_rows: rows of docs, and of the table that the index was built from.
-    """
-    rows = docs.count() if rows is None else rows
-    n = max(1, -(-(rows if index_rows is None else index_rows) // BUCKET))
-    rows_of = digested(docs)
-    frequent = index.where("bucket = -1")
-    # Digests of the extra bucket: fewer than 1000, so they may be broadcast.
-    hot = frequent.select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), "digests").select(F.substring("digests", (F.col("i") * 32 + 1).cast("int"), F.lit(32)).alias("digest"), F.lit(True).alias("hot"))
-    spread = -1 - F.pmod(F.xxhash64("doc_id"), F.lit(COPIES))
-    dealt = rows_of.join(F.broadcast(hot), "digest", "left").withColumn("bucket", F.when(F.col("hot"), spread).otherwise(bucket_of(n))).drop("hot")
-    copies = index.withColumn("bucket", F.explode(F.when(F.col("bucket") == -1, F.sequence(F.lit(-COPIES).cast("bigint"), F.lit(-1).cast("bigint"))).otherwise(F.array("bucket"))))
-
-    def look_up(group: pa.Table, known: pa.Table) -> pa.Table:
+    Not merge: a known text has the index's winner and size. merge: sizes are added and the larger winner stays, and the texts that only the
+    index has are returned too."""
+    def run(group: pa.Table, known: pa.Table) -> pa.Table:
         keys = halves(group["digest"])
-        ids = group["doc_id"].combine_chunks().fill_null(NONE).to_numpy(zero_copy_only=False)
-        winner, size, member = np.full(len(keys), NONE), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        if len(known) and len(keys):
-            held = {k: np.frombuffer(known[k][0].as_py(), t) for k, t in (("seeds", np.uint32), ("digests", np.uint64), ("winners", np.int64), ("sizes", np.int64))}
-            at = slot(keys, held["seeds"], known["n"][0].as_py())
-            member = (held["digests"].reshape(-1, 4)[at] == keys).all(axis=1)
-            winner[member], size[member] = held["winners"][at[member]], held["sizes"][at[member]]
-        if len(keys):
-            order = np.lexsort((ids, *keys.T))
-            new = np.ones(len(order), bool)
-            new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
-            first = np.flatnonzero(new)
-            many = np.diff(np.append(first, len(order)))
-            last, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-            last[order], count[order] = np.repeat(ids[order[first + many - 1]], many), np.repeat(many, many)
-            winner, size = np.where(member, winner, last), np.where(member, size, count)
-            # one of the rows with the winning id
-            kept = np.zeros(len(order), bool)
-            ends = order[first + many - 1]
-            kept[ends] = ids[ends] == winner[ends]
-        else:
-            kept = np.zeros(0, bool)
-        return pa.table({"doc_id": group["doc_id"], "keep_id": pa.array(winner, mask=winner == NONE), "group_size": size, "kept": kept, "known": member,
-                         "text_sha256": pa.array([x.hex() for x in group["digest"].to_pylist()], pa.string())})
-
-    return dealt.groupBy("bucket").cogroup(copies.groupBy("bucket")).applyInArrow(look_up, "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, known boolean, text_sha256 string")
+        own = {c: group[c].to_numpy().copy() for c in ("winner", "place", "size")}
+        times, member = own["size"].copy(), np.zeros(len(keys), bool)
+        left = np.zeros((0, 4), np.uint64), {c: np.zeros(0, np.int64) for c in own}
+        if len(known):
+            held = {k: np.frombuffer(known[k][0].as_py(), t) for k, t in SLOTS.items()}
+            digests = held["digests"].reshape(-1, 4)
+            if len(keys):
+                at = slot(keys, held["seeds"], known["n"][0].as_py())
+                member = (digests[at] == keys).all(axis=1)
+                hit = at[member]
+                old, mine = (held["winners"][hit], held["places"][hit]), (own["winner"][member], own["place"][member])
+                larger = merge & ((mine[0] > old[0]) | ((mine[0] == old[0]) & (mine[1] > old[1])))
+                own["winner"][member], own["place"][member] = np.where(larger, mine[0], old[0]), np.where(larger, mine[1], old[1])
+                own["size"][member] = held["sizes"][hit] + (times[member] if merge else 0)
+                times[member] += held["sizes"][hit] if merge else 0
+            if merge:
+                rest = np.ones(len(digests), bool)
+                rest[at[member] if len(keys) else []] = False
+                left = digests[rest], {"winner": held["winners"][rest], "place": held["places"][rest], "size": held["sizes"][rest]}
+        data = np.concatenate((keys, left[0]))
+        raw = data.tobytes()
+        out = {c: np.concatenate((own[c], left[1][c])) for c in own}
+        return pa.table({"digest": pa.array([raw[32 * i : 32 * i + 32] for i in range(len(data))], pa.binary()), **out,
+                         "known": np.concatenate((member, np.ones(len(left[0]), bool))), "times": np.concatenate((times, left[1]["size"]))})
+
+    return new.withColumn("bucket", bucket_of(n)).groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(run, "digest binary, winner bigint, place bigint, size bigint, known boolean, times bigint")
+
+
+def answered(rows: DataFrame, found: DataFrame, kept: Column) -> DataFrame:
+    out = join_hot(rows, cut(found), "digest", "times", F.col("row"))
+    return out.select("doc_id", F.nullif("winner", F.lit(NONE)).alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), "known", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def dedup(docs: DataFrame, earlier: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, known (an earlier document has its text), text_sha256 of every row of docs.
+
+    Repeats of a known text go: keep_id and group_size are those of the earlier documents. Nonmembers are grouped among themselves: of each
+    group the row with the largest id stays."""
+    rows, old = digested(docs), digested(earlier)
+    n = buckets(old.count())
+    return answered(rows, looked_up(grouped(rows), build(old, n), n, merge=False), ~F.col("known") & (F.col("row") == F.col("place")))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """dedup() of docs against the index of their own texts: every row of the table, with the row of its text that stays."""
-    rows = docs.count()
-    return dedup(docs, cut(build(docs, rows)), rows)
+    """doc_id, keep_id, group_size, kept, known (its text is in the history), text_sha256 of every row of docs: of equal texts, the row with the
+    largest id stays."""
+    rows = digested(docs)
+    n = buckets(rows.count())
+    past = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(2)) == 0
+    found = looked_up(grouped(rows.where(~past)), build(rows.where(past), n), n, merge=True)
+    return answered(rows, found, F.col("row") == F.col("place"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
