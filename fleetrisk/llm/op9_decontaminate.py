@@ -3,15 +3,16 @@
 Similarity of sets is of no use between 30 shingles and 3000, so containment is searched. Items are partitioned by size, and each has a
 signature of its smallest shingle hashes (bottom-k MinHash) as long as its size class needs: an item of n shingles that lies in a document
 to a share of t or more misses at most n - ceil(t n) of them, so a signature of one more hash than the class can miss meets every
-such document at least once. The registered job joins with all shingles of the items, signed or not, which is the exact containment already;
-the signatures only filter its result and, as they lose nothing, never change it.
+such document at least once, and no pair is lost.
 
-Documents are never shuffled. A bit table of fixed size marks the hashes of all items' shingles; each document's shingles are looked up in
-it where the text is read, and only those that hit go on, as text with their document. Items found in very many documents: hits are
-distinct per row, and their join with the items is salted by row.
+Documents are never shuffled. Two bit tables, sized by the items' shingles up to 2^MOST_BITS bits, mark the hashes of the signatures and of all
+shingles. Where a text is read, its shingles are looked up in the first; a text that meets no signature sends nothing, any other sends the
+shingles that the second lets through. Those that meet signatures make the candidates (row, item); only candidates are verified, by counting
+the item's shingles that the row holds. Items found in very many documents: what a row sends is distinct, and the join with the signatures
+is salted by row.
 
-Words are runs without ASCII white space, A-Z in lower case; shingles are `width` words. An item of fewer words is matched by its
-whole sequence, in any place. Null or empty items have no shingles and match nothing; null or empty documents neither. Items that
+Words are runs without ASCII white space, A-Z in lower case; shingles are `width` words. Items and documents of fewer words have no shingles:
+such items are left out (short_items names them), as a word or two would be found in clean documents; null and empty ones too. Items that
 repeat an item_id are one item with all their shingles. Each row is searched by itself, named by doc_id and a digest of its text, also where
 rows share an id or have none. Items without an id are left out, as a find could not name them.
 """
@@ -23,47 +24,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetrisk.llm.common import LOWER, U64, cut, flat, grams, word_blocks
+from fleetrisk.llm.common import LOWER, U64, cut, flat, grams, partitions, word_blocks
 from fleetrisk.llm.op2_exact import row_key
 
-#: Bits of the table of hashes: 512 KB, for any number of items.
-TABLE_BITS = 22
-SALTS = 16
+#: Bits of the tables of hashes: 64 for each shingle of the items, but never over 32 MB.
+LEAST_BITS, MOST_BITS = 16, 28
 BASE = 0x9E3779B97F4A7C15
-SHINGLES = "id {kind}, shingle string, h bigint"
+SHINGLES = "id {kind}, shingle string, h bigint, probe boolean"
 
 
-def shingles(rows: DataFrame, widths: list[int], whole_below: int = 0, table=None) -> DataFrame:
-    """id, shingle, h: the distinct shingles of each text in all the widths; with whole_below, shorter texts as one shingle. table: only
-    shingles whose hash is marked."""
+def places(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U64(64 - bits)).astype(np.int64)
+
+
+def shingles(rows: DataFrame, width: int, bits: int = 0, tables=None) -> DataFrame:
+    """id, shingle, h, probe: the distinct shingles of each text. tables: bits of the hashes of signatures and of all shingles; then only of texts
+    with a hash among the first (a probe), those with a hash among the second."""
     def run(batches):
-        marked = np.unpackbits(np.frombuffer(table.value, np.uint8)).view(bool) if table is not None else None
+        signed, every = (np.unpackbits(np.frombuffer(t, np.uint8)).view(bool) for t in tables.value) if tables is not None else (None, None)
         for batch in batches:
             raw, at = flat(pa.Table.from_batches([batch])["text"])
             raw = LOWER[raw]
-            row, text, hashes = [], [], []
+            row, text, hashes, probes = [], [], [], []
             for i, _, words, first, last, counts in word_blocks(raw, at):
-                begin = np.cumsum(counts) - counts
-                found = []
-                for w in widths:
-                    h, many = grams(words, counts, w, BASE)
-                    h = h ^ U64(w)
-                    of = np.repeat(np.arange(len(counts)), many)
-                    start = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(len(h))
-                    hit = np.arange(len(h)) if marked is None else np.flatnonzero(marked[(h >> U64(64 - TABLE_BITS)).astype(np.int64)])
-                    found.append((of[hit], start[hit], start[hit] + w, h[hit]))
-                for w in range(1, whole_below):
-                    short = np.flatnonzero(counts == w)
-                    h = grams(words, counts, w, BASE)
-                    at_short = (np.cumsum(h[1]) - h[1])[short]
-                    found.append((short, begin[short], begin[short] + w, h[0][at_short] ^ U64(w)))
-                of, start, end, h = (np.concatenate(x) for x in zip(*found))
+                h, many = grams(words, counts, width, BASE)
+                of = np.repeat(np.arange(len(counts)), many)
+                start = np.repeat(np.cumsum(counts) - counts - (np.cumsum(many) - many), many) + np.arange(len(h))
+                probe = np.zeros(len(h), bool)
+                if every is not None:
+                    where = places(h, bits)
+                    probe = signed[where]
+                    met = np.bincount(of[probe], minlength=len(counts)) > 0
+                    hit = np.flatnonzero(every[where] & met[of])
+                    of, start, h, probe = of[hit], start[hit], h[hit], probe[hit]
                 _, one = np.unique(np.stack((of.astype(np.uint64), h)), axis=1, return_index=True)
                 for k in one:
                     row.append(i + int(of[k]))
-                    text.append(b" ".join(raw[first[x] : last[x]].tobytes() for x in range(start[k], end[k])))
+                    text.append(b" ".join(raw[first[x] : last[x]].tobytes() for x in range(start[k], start[k] + width)))
                     hashes.append(int(h[k].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array([t.decode("utf-8", "replace") for t in text], pa.string()), pa.array(hashes, pa.int64())], ["id", "shingle", "h"])
+                    probes.append(bool(probe[k]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array([t.decode("utf-8", "replace") for t in text], pa.string()), pa.array(hashes, pa.int64()), pa.array(probes, pa.bool_())], ["id", "shingle", "h", "probe"])
 
     return rows.select("id", "text").mapInArrow(run, SHINGLES.format(kind=rows.schema["id"].dataType.simpleString()))
 
@@ -75,14 +75,20 @@ def most_missing(n: Column, share: float) -> Column:
 
 def signatures(items: DataFrame, width: int, share: float) -> DataFrame:
     """item_id, shingle, h, n_shingles, signed: all shingles of the items; signed are those in the item's signature."""
-    have = shingles(items.where("item_id IS NOT NULL").select(F.col("item_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), [width], whole_below=width)
-    have = have.distinct().withColumnRenamed("id", "item_id").withColumn("n_shingles", F.count("*").over(Window.partitionBy("item_id")))
+    have = shingles(items.where("item_id IS NOT NULL").select(F.col("item_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), width)
+    have = have.select(F.col("id").alias("item_id"), "shingle", "h").distinct().withColumn("n_shingles", F.count("*").over(Window.partitionBy("item_id")))
     # Size classes double; the signature of a class is as long as its largest item needs.
     largest = F.pow(F.lit(2.0), F.floor(F.log2("n_shingles")) + 1) - 1
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("h", "shingle"))
     return have.withColumn("signed", rank <= most_missing(largest, share) + 1)
 
 
+def short_items(items: DataFrame, width: int = 5) -> DataFrame:
+    """Rows of items that cannot be searched: fewer than `width` words, or no id."""
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
+    return items.where((words < width) | F.col("item_id").isNull())
+
+
 def key_of() -> Column:
     """Names a row of docs: rows that agree in it have one id and one text."""
     return row_key(F.col("doc_id").cast("bigint"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key_")
@@ -92,18 +98,27 @@ def met(docs: DataFrame, items: DataFrame, width: int, share: float) -> DataFram
     """key_, item_id, shared, n_shingles: all pairs where the row's text holds at least `share` of the item's shingles."""
     spark = docs.sparkSession
     have = cut(signatures(items, width, share))
-    # At most `width` different lengths, and at most 2^22 places of the table: both bounded, whatever the tables hold.
-    widths = sorted({width, *(r.n for r in have.select(F.size(F.split("shingle", " ")).alias("n")).distinct().collect())})
-    places = have.select(F.shiftrightunsigned("h", 64 - TABLE_BITS).cast("int").alias("p")).distinct().toPandas()["p"]
-    marked = np.zeros(1 << TABLE_BITS, bool)
-    marked[places.to_numpy(np.int64)] = True
-    table = spark.sparkContext.broadcast(np.packbits(marked).tobytes())
+    total = have.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * total).bit_length()))
+
+    def marked(rows: DataFrame) -> bytes:
+        """At most 2^bits places, whatever the tables hold."""
+        table = np.zeros(1 << bits, bool)
+        for batch in rows.select(F.shiftrightunsigned("h", 64 - bits).alias("p")).distinct().toArrow().to_batches():
+            table[batch.column(0).to_numpy()] = True
+        return np.packbits(table).tobytes()
+
+    tables = spark.sparkContext.broadcast((marked(have.where("signed")), marked(have)))
     rows = docs.select(key_of().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    hits = shingles(rows, widths, table=table).distinct().withColumnRenamed("id", "key_").drop("h")
-    hits = hits.withColumn("salt", F.pmod(F.xxhash64("key_"), F.lit(SALTS)))
-    spread = have.drop("h").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    pairs = hits.join(spread, ["shingle", "salt"]).groupBy("key_", "item_id").agg(F.count("*").alias("shared"), F.max("n_shingles").alias("n_shingles"), F.max("signed").alias("candidate"))
-    return pairs.where("candidate").where(F.col("shared") >= F.col("n_shingles") - most_missing(F.col("n_shingles"), share)).drop("candidate")
+    sent = cut(shingles(rows, width, bits, tables).select(F.col("id").alias("key_"), "shingle", "probe").distinct())
+    salts = partitions(spark)
+    salt = F.pmod(F.xxhash64("key_"), F.lit(salts))
+    signed = have.where("signed").select("item_id", "shingle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+    candidates = sent.where("probe").withColumn("salt", salt).join(signed, ["shingle", "salt"]).select("key_", "item_id").distinct()
+    # The candidates' items with all their shingles, counted where the row holds them.
+    wanted = candidates.join(have.select("item_id", "shingle", "n_shingles"), "item_id")
+    pairs = wanted.join(sent.select("key_", "shingle"), ["key_", "shingle"]).groupBy("key_", "item_id").agg(F.count("*").alias("shared"), F.max("n_shingles").alias("n_shingles"))
+    return pairs.where(F.col("shared") >= F.col("n_shingles") - most_missing(F.col("n_shingles"), share))
 
 
 def find(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
