@@ -6,9 +6,10 @@ counts for what it is, not for its share of the text.
 
 A passage is described by shares of kinds of bytes, by its words' lengths, ends and repetitions, and by how far its words repeat those of the
 passage before. The network is small (numpy, Adam) and is trained in one task on a bounded sample (learning.sample: at most `rows` labelled
-documents, of each at most `bag` passages spread evenly over the text); it scores all passages of all texts where they are read.
+documents, of which it holds the features of all passages, 72 bytes for 64 words); it scores all passages of all texts where they are read.
 
-Null and empty texts are one passage without words, told by a feature of its own. Without labels every score is 0.5.
+Null and empty texts are one passage without words, told by a feature of its own. Without labels every score is 0.5, and as a filter rejects
+nothing.
 """
 
 from __future__ import annotations
@@ -129,13 +130,12 @@ class Network:
                     self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(q[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = 20_000, bag: int = 64, epochs: int = 12) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = 20_000, epochs: int = 12) -> Network | None:
     def extract(batches):
         for batch in batches:
             features: list[bytes] = []
             for _, _, x, many in passages(*flat(pa.Table.from_batches([batch])["text"])):
-                for own in np.split(x, np.cumsum(many)[:-1]):
-                    features.append(own[np.unique(np.linspace(0, len(own) - 1, min(bag, len(own))).astype(int))].tobytes())
+                features += [own.tobytes() for own in np.split(x, np.cumsum(many)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features, pa.binary())], ["doc_id", "label", "features"])
 
     def fit(batches):
@@ -190,8 +190,13 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
 
 
 def keep(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
-    """Rows of docs, with all their columns, that score threshold or more; learned from the texts in learn_from. Nothing is shuffled."""
-    of = scorer(docs, train(learn_from, labels, "quality", folds, held_out))
+    """Rows of docs, with all their columns, that score threshold or more; learned from the texts in learn_from. Nothing is shuffled.
+
+    Without any label to learn from, all rows stay."""
+    network = train(learn_from, labels, "quality", folds, held_out)
+    if network is None:
+        return docs
+    of = scorer(docs, network)
 
     def run(batches):
         for batch in batches:
