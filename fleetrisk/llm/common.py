@@ -92,7 +92,32 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
+class PrimePowers:
+    """Powers of a base and of its inverse modulo a prime below 2^31, as far as asked for."""
+
+    def __init__(self, prime: int, base: int):
+        self.prime, self.base, self.back = prime, base, pow(base, -1, prime)
+        self.up = self.down = np.ones(1, np.int64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate((self.up, self.up * pow(self.base, k, self.prime) % self.prime))
+            self.down = np.concatenate((self.down, self.down * pow(self.back, k, self.prime) % self.prime))
+        return self.up[:n], self.down[:n]
+
+    def hashes(self, part: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Polynomial hash modulo the prime of each piece of the bytes in part."""
+        up, down = self.upto(len(part) + 1)
+        # Each summand is below 2^31, so that the sums of up to 2^32 bytes do not overflow.
+        sums = np.zeros(len(part) + 1, np.int64)
+        np.cumsum((part.astype(np.int64) + 1) * up[:-1] % self.prime, out=sums[1:])
+        return ((sums[last] - sums[first]) % self.prime * down[first] % self.prime).astype(np.uint64)
+
+
 POWERS = Powers(0x9E3779B97F4A7C15)
+#: Polynomials modulo 2^64 take some pairs of long words for one (those that follow the Thue-Morse sequence); a prime modulus does not.
+PRIMES = [PrimePowers(2147483647, 1_103_515_245), PrimePowers(2147483629, 69_069), PrimePowers(2147483587, 742_938_285)]
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 #: Bytes of text that are hashed at once, so that the arrays stay small; a longer document is one block.
@@ -109,11 +134,13 @@ def blocks(at: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def word_blocks(raw: np.ndarray, at: np.ndarray, pairs: tuple = ()):
+def word_blocks(raw: np.ndarray, at: np.ndarray, pairs: tuple = (), second: bool = False):
     """Of texts that lie one behind the other, block by block: rows from i to j; 64-bit hash, begin and end of every word (a run without
-    ASCII white space); how many words each row has. Polynomial prefix sums over the bytes give each word's hash by one subtraction.
+    ASCII white space); how many words each row has. Polynomial prefix sums over the bytes give each word's hash by one subtraction, modulo
+    2^64 and modulo a prime, mixed into one number.
 
-    pairs: two kinds of bytes each (arrays of 256 booleans); words are cut between a byte of the first and one of the second."""
+    pairs: two kinds of bytes each (arrays of 256 booleans); words are cut between a byte of the first and one of the second.
+    second: another hash instead, of two other primes, which shares nothing with the first."""
     for i, j in blocks(at):
         part, ends_at = raw[at[i] : at[j]], at[i + 1 : j + 1] - at[i]
         gap = SPACE[part]
@@ -129,16 +156,19 @@ def word_blocks(raw: np.ndarray, at: np.ndarray, pairs: tuple = ()):
         begin[edge] = inside[edge]
         stop[edge - 1] = inside[edge - 1]
         first, last = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        up, down = POWERS.upto(len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + U64(1)) * up[:-1], out=sums[1:])
-        hashes = mixed((sums[last] - sums[first]) * down[first])
+        if second:
+            hashes = mixed((PRIMES[1].hashes(part, first, last) << U64(31)) | PRIMES[2].hashes(part, first, last))
+        else:
+            up, down = POWERS.upto(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + U64(1)) * up[:-1], out=sums[1:])
+            hashes = mixed((sums[last] - sums[first]) * down[first] + mixed(PRIMES[0].hashes(part, first, last)))
         yield i, j, hashes, first + at[i], last + at[i], np.diff(np.searchsorted(first, np.concatenate(([0], ends_at))))
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, at: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of all texts, and how many words each text has."""
-    parts = list(word_blocks(raw, at))
+    parts = list(word_blocks(raw, at, second=second))
     join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
     return join(2, np.uint64), join(5, np.int64)
 

@@ -2,8 +2,8 @@
 
 Rabin-Karp hashes of all fixed-length word windows are counted across the corpus; covered words merge into maximal removal intervals.
 The count has two rounds. First each chunk of documents asks which of its window hashes other chunks have (exchange.py: 32 bits a window);
-a window that no other place has is out. The rest ask again with 64 bits of a second, independent hash. A window goes if both say yes,
-so that about 100 bits must agree by chance before a unique word is lost.
+a window that no other place has is out. The rest ask again with 64 bits of a second hash, made anew from the bytes of the words with other
+moduli (two primes). A window goes if both say yes, so that about 90 bits of unrelated hashes must agree before a unique word is lost.
 
 Null texts have no words. Fewer words than a window: nothing is removed. All occurrences of a repeated window go, in one document as well.
 Rows that repeat a doc_id are documents of their own. A null doc_id is dealt like any other value.
@@ -16,16 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fleetrisk.llm import exchange
-from fleetrisk.llm.common import U64, flat, grams, mixed, word_hashes
+from fleetrisk.llm.common import flat, grams, word_hashes
 
 BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-def windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of every window of every document, and how many windows each has."""
-    words, counts = word_hashes(*flat(table["text"]))
-    first, many = grams(words, counts, width, BASES[0])
-    return first, grams(mixed(words ^ U64(BASES[1])), counts, width, BASES[1])[0], many
+def windows(table: pa.Table, width: int, second: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The first or second hash of every window of every document, and how many windows each has."""
+    words, counts = word_hashes(*flat(table["text"]), second)
+    return grams(words, counts, width, BASES[second])
 
 
 def remove(docs: DataFrame, width: int = 35) -> DataFrame:
@@ -34,12 +33,12 @@ def remove(docs: DataFrame, width: int = 35) -> DataFrame:
     dealt = exchange.chunked(docs)
 
     def send_first(table: pa.Table) -> pa.Table:
-        first, _, _ = windows(table, width)
+        first, _ = windows(table, width, False)
         both, starts, _ = exchange.in_order(first, n)
         return exchange.sent(table["chunk"][0].as_py(), both, starts)
 
     def send_second(table: pa.Table, answers: pa.Table) -> pa.Table:
-        first, second, _ = windows(table, width)
+        (first, _), (second, _) = windows(table, width, False), windows(table, width, True)
         left = np.unique(second[exchange.repeated(first, n, answers)])
         bucket = exchange.dealt(left, n)[0]
         order = np.argsort(bucket, kind="stable")
@@ -57,7 +56,7 @@ def remove(docs: DataFrame, width: int = 35) -> DataFrame:
         return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "payload": pa.array(found, pa.binary())})
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        _, second, many = windows(table, width)
+        second, many = windows(table, width, True)
         raw, at = flat(table["text"])
         data = raw.tobytes()
         words = [data[at[i] : at[i + 1]].split() for i in range(len(many))]
