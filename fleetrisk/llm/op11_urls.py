@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetrisk.llm.common import cut, join_hot
+from fleetrisk.llm.common import cut, join_hot, partitions
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -120,7 +120,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, order: in
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
     urls = rows.groupBy("url").agg(F.count("*").alias("n"))
     urls = urls.select("url", "n", fitting(*parts(F.col("url")), rules)[1].alias("verdict"), (F.crc32("url") % FOLDS != 0).alias("learned"))
-    scored = cut(model_scores(cut(urls), order))
+    # Many rows are made of each URL, so that few small partitions would be long tasks.
+    scored = cut(model_scores(cut(urls.repartition(partitions(pages.sparkSession), "url")), order))
     scored = scored.withColumn("model", F.when(step(F.col("score")) >= threshold(scored), "allow").otherwise("block"))
     host, path = parts(F.col("url"))
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
