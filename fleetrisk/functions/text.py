@@ -72,16 +72,24 @@ def redact_tokens(line: Column) -> Column:
     return F.regexp_replace(line, TOKEN_SHAPES, REDACTED)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it: a lambda over an array of one."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shannon_entropy(s: Column) -> Column:
-    """Bits per character. Codegen-friendly parts only; no grouping, no Python."""
-    n = F.length(s).cast("double")
+    """Bits per character. The characters are sorted once; equal ones are then runs, and only the runs' ends are added up."""
+    def of(a: Column) -> Column:
+        n = F.size(a)
+        inner = F.when(n > 1, F.filter(F.sequence(F.lit(1), n - 1), lambda i: a[i] != a[i - 1])).otherwise(F.array().cast("array<int>"))
+
+        def add(acc: Column, end: Column) -> Column:
+            p = (end - acc["at"]) / n
+            return F.struct(end.alias("at"), (acc["bits"] - p * F.log2(p)).alias("bits"))
 
-    def add(acc: Column, ch: Column) -> Column:
-        p = (F.length(s) - F.length(F.replace(s, ch, F.lit("")))) / n
-        return acc - p * F.log2(p)
+        return F.when(n > 0, F.aggregate(F.concat(inner, F.array(n)), F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("bits")), add)["bits"]).otherwise(F.lit(0.0))
 
-    chars = F.array_distinct(F.filter(F.split(s, ""), lambda c: c != ""))
-    return F.when(n > 0, F.aggregate(chars, F.lit(0.0), add)).otherwise(F.lit(0.0))
+    return F.when(F.length(s) > 0, bound(F.sort_array(F.split(s, "")), of)).otherwise(F.lit(0.0))
 
 
 def self_reference(line: Column, pos: Column) -> Column:
