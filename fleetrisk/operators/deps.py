@@ -7,12 +7,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetrisk.functions.text import strip
 from fleetrisk.functions import severity as sev
 from fleetrisk.functions.versions import in_interval, in_range, interval_text, intervals, keyed, parse_range, version_key
 from fleetrisk.operators.lines import explode_lines, fold_hits
+from fleetrisk.plans.materialise import materialise
 from fleetrisk.schemas import DEPENDENCIES, as_findings, conform
 
 KEY = ["repo", "scan_id"]
@@ -22,6 +23,8 @@ ECOSYSTEM = {
     "Pipfile": "PyPI", "go.mod": "Go", "Gemfile.lock": "RubyGems", "pom.xml": "Maven", "build.gradle": "Maven",
     "build.gradle.kts": "Maven", "composer.lock": "Packagist",
 }
+#: Heights of the tree over a package's versions: up to 2^30 of them.
+_HEIGHTS = 30
 _NAME = r"[A-Za-z0-9][A-Za-z0-9._-]*"
 _PINNED = r"==\s*([0-9][A-Za-z0-9._+!-]*)"
 _SEMVER_IN = r"\d+(?:\.\d+){0,2}(?:-[A-Za-z0-9.-]+)?"
@@ -225,7 +228,6 @@ def dedupe(deps: DataFrame, cap: int | None = None) -> DataFrame:
         F.bool_and("is_transitive").alias("is_transitive"), F.bool_and("is_dev").alias("is_dev"),
         F.min("source").alias("source"))
     if cap is not None:
-        from pyspark.sql import Window
         w = Window.partitionBy(*KEY, "ecosystem").orderBy("name", "version")
         d = d.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
     return conform(d, DEPENDENCIES)
@@ -280,11 +282,61 @@ def is_affected() -> Column:
     return listed | F.exists("iv", lambda x: in_interval(F.col("vk"), x))
 
 
+def version_matches(versions: DataFrame, affected: DataFrame) -> DataFrame:
+    """(ecosystem, name, version, adv): each version of a package with each advisory row that affects it, once.
+
+    ``versions(ecosystem, name, version)`` distinct, ``affected`` of ``osv_affected`` with a row number ``adv``. Not each version of a package
+    with each of its advisories: versions are ranked once in the order of their keys, an interval becomes a range of ranks, a range the few
+    nodes of a binary tree over the ranks that make it up, and a version meets the nodes above it by an equi-join. Every row that this join
+    gives is a match; work follows the versions, the intervals and the matches.
+    """
+    pkg = ["ecosystem", "name"]
+    v = versions.withColumn("vk", version_key(F.col("version")))
+    listed = affected.select(*pkg, "adv", F.explode("versions").alias("version")).join(versions, [*pkg, "version"])
+    iv = affected.select(*pkg, "adv", F.posexplode("iv").alias("nth", "x"))
+    # A bound that cannot be read satisfies nothing.
+    iv = iv.where((F.col("x.open_lo") | F.col("x.lo").isNotNull()) & (~F.col("x.has_fixed") | F.col("x.fixed").isNotNull()) & (~F.col("x.has_last") | F.col("x.last").isNotNull()))
+    unbounded = F.col("x.open_lo") & ~F.col("x.has_fixed") & ~F.col("x.has_last")
+    any_version = v.where("vk IS NULL").select(*pkg, "version").join(iv.where(unbounded).select(*pkg, "adv"), pkg)
+
+    # Versions and bounds in one order; a bound's rank is the number of versions before it: below the first and an exclusive end, up to an inclusive one.
+    none = F.lit(None).cast("bigint")
+    bound = lambda side, tie, key: F.when(key.isNotNull(), F.struct(F.lit(side).alias("side"), F.lit(tie).alias("tie"), key.alias("vk")))
+    ends = F.array_compact(F.array(bound("lo", 0, F.when(~F.col("x.open_lo"), F.col("x.lo"))), bound("fixed", 0, F.col("x.fixed")), bound("last", 2, F.col("x.last"))))
+    points = iv.select(*pkg, "adv", "nth", F.explode(ends).alias("e")).select(*pkg, "e.vk", "e.tie", "e.side", "adv", "nth", F.lit(None).cast("string").alias("version"))
+    points = points.unionByName(v.where("vk IS NOT NULL").select(*pkg, "vk", F.lit(1).alias("tie"), F.lit("v").alias("side"), none.alias("adv"), F.lit(None).cast("int").alias("nth"), "version"))
+    is_version = (F.col("tie") == 1).cast("bigint")
+    before = F.sum(is_version).over(Window.partitionBy(*pkg).orderBy("vk", "tie", "version").rowsBetween(Window.unboundedPreceding, 0)) - is_version
+    points = points.withColumn("rank", before)
+    ranked = points.where("tie = 1").select(*pkg, "version", "rank")
+    bounds = points.where("tie <> 1").groupBy(*pkg, "adv", "nth").agg(*[F.max(F.when(F.col("side") == s, F.col("rank"))).alias(s) for s in ("lo", "fixed", "last")])
+    many = ranked.groupBy(*pkg).agg(F.count("*").alias("many"))
+    ranges = iv.select(*pkg, "adv", "nth").join(bounds, [*pkg, "adv", "nth"], "left").join(many, pkg)
+    ranges = ranges.select(*pkg, "adv", F.coalesce("lo", F.lit(0)).alias("a"), F.least("fixed", "last", "many").alias("b")).where("a < b")
+
+    def nodes(i: Column) -> Column:
+        """At height i: the leftmost and the rightmost node that lie in [a, b) and in no higher one."""
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+        l, r = F.floor((F.col("a") + size - 1) / size), F.floor(F.col("b") / size)
+        node = lambda ok, n: F.when((l < r) & ok, F.struct(i.alias("height"), n.alias("node")))
+        return F.array(node(l % 2 == 1, l), node(r % 2 == 1, r - 1))
+
+    made_of = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_HEIGHTS)), nodes)))
+    parts = ranges.select(*pkg, "adv", F.inline(made_of))
+    above = ranked.join(many, pkg).select(*pkg, "version", "rank", F.explode(F.sequence(F.lit(0), F.ceil(F.log2("many")).cast("int"))).alias("height"))
+    above = above.select(*pkg, "version", "height", F.floor(F.col("rank") / F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("height"))).alias("node"))
+    inside = above.join(parts, [*pkg, "height", "node"])
+    cols = [*pkg, "version", "adv"]
+    return inside.select(*cols).unionByName(listed.select(*cols)).unionByName(any_version.select(*cols)).distinct()
+
+
 def osv_findings(deps: DataFrame, osv: DataFrame) -> DataFrame:
-    """OSV advisories per dependency; range join after an equi-join on (ecosystem, name)."""
+    """OSV advisories per dependency: matched on the fleet's distinct versions, then returned to the repositories by equality."""
     d = deps.where(F.col("ecosystem") != "npm")
-    uniq = d.select("ecosystem", "name", "version").distinct().withColumn("vk", version_key(F.col("version")))
-    m = uniq.join(osv_affected(osv), ["ecosystem", "name"]).where(is_affected()).drop("iv", "versions", "vk")
+    # The snapshot's rows are numbered, so they must not be made anew.
+    affected = materialise(osv_affected(osv).withColumn("adv", F.monotonically_increasing_id()))
+    m = version_matches(d.select("ecosystem", "name", "version").distinct(), affected)
+    m = m.join(affected.drop("ecosystem", "name", "iv", "versions"), "adv").drop("adv")
     j = d.join(m, ["ecosystem", "name", "version"])
     return as_findings(j, "dependency", rule_id=F.col("id"), package=F.col("name"))
 

@@ -151,3 +151,32 @@ def test_identity_statements_of_a_long_file_take_linear_time():
     assert len(iam.statements_of("p.json", '{"Statement":[' + ",".join(['{"Effect":"Allow","Action":"s3:Get","Resource":"*"}'] * 20_000) + "]}")) == 20_000
     iam.statements_of("p.tf", "x = [{" * 200_000)
     assert time.perf_counter() - start < 10
+
+
+def test_versions_meet_intervals_as_by_each_with_each(spark):
+    """The tree over ranked versions gives what is_affected() gives for every pair: open, half-open, empty and unreadable bounds, listed versions."""
+    rnd = random.Random(2)
+    version = lambda: rnd.choice(["{}.{}".format(rnd.randint(0, 9), rnd.randint(0, 9)), "{}.0-rc{}".format(rnd.randint(0, 9), rnd.randint(1, 3)), "v{}".format(rnd.randint(0, 9)), "main"])
+    event = lambda: {"introduced": rnd.choice(["0", "0", version(), "odd"]), "fixed": rnd.choice([None, None, version(), "odd"]), "last_affected": rnd.choice([None, None, version()])}
+    osv = [{"id": f"A{i}", "affected": [{"package": {"ecosystem": "PyPI", "name": rnd.choice("ab")}, "ranges": [{"type": "ECOSYSTEM", "events": [event() for _ in range(rnd.randint(0, 2))]}],
+                                         "versions": [version() for _ in range(rnd.randint(0, 2))]}]} for i in range(120)]
+    schema = ("id string, summary string, aliases array<string>, severity array<struct<type:string,score:string>>, database_specific struct<severity:string>, references array<struct<type:string,url:string>>, "
+              "affected array<struct<package:struct<ecosystem:string,name:string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>,versions:array<string>>>")
+    affected = deps.osv_affected(spark.createDataFrame([(o["id"], None, None, None, None, None, o["affected"]) for o in osv], schema)).withColumn("adv", F.substring("id", 2, 9).cast("bigint"))
+    versions = spark.createDataFrame([("PyPI", n, v) for n in "abc" for v in sorted({version() for _ in range(150)})], "ecosystem string, name string, version string")
+    pairs = versions.withColumn("vk", version_key(F.col("version"))).join(affected, ["ecosystem", "name"]).where(deps.is_affected())
+    key = lambda rows: sorted((r.name, r.version, r.adv) for r in rows.collect())
+    want = key(pairs)
+    assert key(deps.version_matches(versions, affected)) == want and len(want) > 500
+    assert deps.version_matches(versions.limit(0), affected).count() == 0
+
+
+def test_a_package_with_many_versions_and_advisories(spark):
+    """10^4 versions and 10^4 narrow advisories of one package: 3 * 10^4 matches, not 10^8 pairs."""
+    n = F.col("id")
+    versions = spark.range(10_000).select(F.lit("PyPI").alias("ecosystem"), F.lit("p").alias("name"), F.concat(F.lit("1."), n).alias("version"))
+    x = F.struct(version_key(F.concat(F.lit("1."), n)).alias("lo"), F.lit(False).alias("open_lo"), version_key(F.concat(F.lit("1."), n + 3)).alias("fixed"), F.lit(True).alias("has_fixed"),
+                 F.lit(None).cast("array<bigint>").alias("last"), F.lit(False).alias("has_last"))
+    affected = spark.range(10_000).select(F.lit("PyPI").alias("ecosystem"), F.lit("p").alias("name"), n.alias("adv"), F.array(x).alias("iv"), F.array().cast("array<string>").alias("versions"))
+    got = deps.version_matches(versions, affected)
+    assert got.count() == 29_997 and got.where("CAST(substring(version, 3) AS INT) - adv NOT BETWEEN 0 AND 2").count() == 0
