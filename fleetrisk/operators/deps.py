@@ -13,6 +13,7 @@ from fleetrisk.functions.text import strip
 from fleetrisk.functions import severity as sev
 from fleetrisk.functions.versions import in_interval, in_range, interval_text, intervals, keyed, parse_range, version_key
 from fleetrisk.operators.lines import explode_lines, fold_hits
+from fleetrisk.operators.score import every_scan
 from fleetrisk.plans.materialise import materialise
 from fleetrisk.schemas import DEPENDENCIES, as_findings, conform
 
@@ -346,12 +347,12 @@ def unparseable_versions(deps: DataFrame) -> DataFrame:
     return deps.where(version_key(F.col("version")).isNull())
 
 
-def vuln_counts(findings: DataFrame) -> DataFrame:
-    """Vulnerabilities per ecosystem and the total, per scan."""
+def vuln_counts(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """Vulnerabilities per ecosystem and the total, per scan: zeros for a scan without any, and for one of ``scans`` without findings."""
     names = ["npm", "PyPI", "Go", "RubyGems", "Maven", "Packagist", "Container"]
-    d = findings.where(F.col("kind") == "dependency")
-    return d.groupBy("repo", "scan_id").agg(
-        *[F.count_if(F.col("ecosystem") == n).alias(n.lower()) for n in names], F.count(F.lit(1)).alias("deps_count"))
+    dep = F.col("kind") == "dependency"
+    return every_scan(scans, findings.groupBy("repo", "scan_id").agg(
+        *[F.count_if(dep & (F.col("ecosystem") == n)).alias(n.lower()) for n in names], F.count_if(dep).alias("deps_count")))
 
 
 def degraded(deps: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -239,6 +239,8 @@ def finding_queries() -> dict[str, Query]:
         "sup_1_ignore_files": _ignore_files,
         "sup_2_applied": lambda spark, sf: applied(spark, sf).where("suppressed").select(
             "ord", "expired", F.col("suppressed_by.source_line").alias("source_line")),
+        "src_10_suppressions_left": lambda spark, sf: suppress.delete_rows(V.view(spark, sf, V.STORED_SUPPRESSIONS_SQL), V.view(spark, sf, V.DELETE_REQUESTS_SQL)).select("id", "user_id", "path_glob"),
+        "sup_3_suppressions_of_a_user": lambda spark, sf: suppress.list_rows(V.view(spark, sf, V.STORED_SUPPRESSIONS_SQL), "u1", "o3", "r").select("id", "owner", "path_glob"),
         "sup_2_summary": lambda spark, sf: suppress.summary(applied(spark, sf)),
         "att_3_nodes": _on_findings(attack.nodes), "att_3_edges": _on_findings(attack.edges),
         "att_4_paths": _on_findings(lambda f: attack.paths(f).select(

@@ -90,6 +90,14 @@ SELECT {repo('c_custkey')} AS repo, {case_of('c_custkey', GLOBS)} AS path_glob,
 FROM {{customer}}
 """
 
+# Suppressions as users stored them, and requests to delete some, a part of them by others than the owner.
+STORED_SUPPRESSIONS_SQL = f"""
+SELECT CAST(c_custkey AS STRING) AS id, 'u' || CAST(c_custkey % 5 AS STRING) AS user_id, 'o' || CAST(c_nationkey AS STRING) AS owner, 'r' AS repo, {case_of('c_custkey', GLOBS)} AS path_glob,
+  TIMESTAMP '2025-01-01 00:00:00' AS created_at
+FROM {{customer}}
+"""
+DELETE_REQUESTS_SQL = "SELECT DISTINCT CAST(o_custkey AS STRING) AS id, 'u' || CAST(o_custkey % 5 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS STRING) AS user_id FROM {orders} WHERE o_orderkey % 40 < 3"
+
 # Dependencies, advisories and licence rows over shared package names.
 DEPENDENCIES_SQL = f"""
 SELECT {repo('l_suppkey')} AS repo, 's1' AS scan_id, {case_of('l_partkey', ['npm', 'PyPI', 'Go', 'RubyGems'])} AS ecosystem,

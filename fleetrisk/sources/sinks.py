@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetrisk.operators.suppress import delete_rows
-
 
 def append_scans(scans: DataFrame, path: str) -> None:
     """Scan rows, partitioned by the day of the scan. One file per day and task after coalescing on write."""
@@ -27,15 +25,6 @@ def write_sarif(documents: DataFrame, path: str) -> None:
     d.select("owner", F.col("document").alias("value")).write.mode("overwrite").partitionBy("owner").text(path)
 
 
-def append_suppressions(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
-
-
-def rewrite_suppressions(rows: DataFrame, deletes: DataFrame, new_path: str) -> None:
-    """The table without the requested rows, written beside the old one; callers switch paths when it is complete."""
-    delete_rows(rows, deletes).write.mode("errorifexists").parquet(new_path)
-
-
 def append_scan_events(scans: DataFrame, path: str) -> None:
     """Structured event log: one JSON line per scan with outcome, duration and counts."""
     ok = F.col("risk_score").isNotNull()

@@ -8,6 +8,7 @@ from fleetrisk.plans import registry as R, views as V
 from oracle.base import LINES, any_rx, is_in, q, rx, snippet_files, with_ctes
 
 FIN = "f AS (" + V.plain(V.FINDINGS_SQL) + ")"
+STORED = "stored AS (" + V.plain(V.STORED_SUPPRESSIONS_SQL) + ")"
 SCANS = "scans AS (" + V.plain(V.SCANS_SQL) + ")"
 FIXTURE = "coalesce(likely_test_fixture, FALSE)"
 BASE = "(CASE severity WHEN 'critical' THEN 40 WHEN 'high' THEN 15 WHEN 'medium' THEN 5 WHEN 'moderate' THEN 5 WHEN 'low' THEN 1 ELSE 0 END)::DOUBLE"
@@ -132,7 +133,7 @@ def sql() -> dict[str, str]:
     counted = f"NOT ({FIXTURE} AND (kind = 'code' OR (kind = 'secret' AND coalesce(source, 'tree') <> 'history')))"
     sev = lambda w: f"count(*) FILTER ({counted} AND CASE severity WHEN 'moderate' THEN 'medium' ELSE severity END = '{w}') AS {w}"
     first = "first_scans AS (SELECT user_id, min(scanned_at) AS fs FROM scans GROUP BY user_id)"
-    eco = ", ".join(f"count(*) FILTER (ecosystem = '{n}') AS {n.lower()}" for n in ["npm", "PyPI", "Go", "RubyGems", "Maven", "Packagist", "Container"])
+    eco = ", ".join(f"count(*) FILTER (kind = 'dependency' AND ecosystem = '{n}') AS {n.lower()}" for n in ["npm", "PyPI", "Go", "RubyGems", "Maven", "Packagist", "Container"])
     return {
         "agg_2_finding_scores": with_ctes(FIN, SCORED, select="SELECT ord, round(score, 6) AS score FROM s"),
         "agg_3_repo_scores": with_ctes(FIN, SCORED, BREAK, select="SELECT repo, scan_id, round(critical, 4) AS critical, round(high, 4) AS high, round(medium, 4) AS medium, round(low, 4) AS low, round(fixture, 4) AS fixture, risk_score, "
@@ -154,6 +155,8 @@ def sql() -> dict[str, str]:
                                        select="SELECT repo, 's' || n AS scan_id, change, count(*) AS n FROM r GROUP BY repo, r.n, change"),
         "sup_1_ignore_files": ignore_files(),
         "sup_2_applied": with_ctes(*applied(), select="SELECT ord, expired, source_line FROM best"),
+        "src_10_suppressions_left": with_ctes(STORED, select=f"SELECT id, user_id, path_glob FROM stored s WHERE NOT EXISTS (SELECT 1 FROM ({V.plain(V.DELETE_REQUESTS_SQL)}) d WHERE d.id = s.id AND d.user_id = s.user_id)"),
+        "sup_3_suppressions_of_a_user": with_ctes(STORED, select="SELECT id, owner, path_glob FROM stored WHERE user_id = 'u1' AND owner = 'o3' AND repo = 'r'"),
         "sup_2_summary": with_ctes(*applied(), select="SELECT f.repo, f.scan_id, count(*) FILTER (best.rid IS NULL) AS kept, count(*) FILTER (best.rid IS NOT NULL) AS suppressed, count(DISTINCT source_line) FILTER (expired) AS expired_suppressions FROM f LEFT JOIN best ON best.rid = f.rid GROUP BY ALL"),
         "att_3_nodes": with_ctes(*creds(), "n AS (SELECT repo, scan_id, cid AS node_id, 'credential' AS node_kind, rule_name AS label, sv AS severity, ord FROM cr UNION ALL SELECT repo, scan_id, 'asset:' || bl.d, 'asset', bl.c, sv, ord FROM cr)",
                                  "r AS (SELECT *, row_number() OVER (PARTITION BY repo, scan_id, node_id ORDER BY ord) AS rn FROM n)", select="SELECT repo, scan_id, node_id, node_kind, label, severity FROM r WHERE rn = 1"),
@@ -164,7 +167,7 @@ def sql() -> dict[str, str]:
         "snk_2_sarif_documents": with_ctes(FIN, SHAPES, select="SELECT repo, scan_id, count(*) AS results, count(DISTINCT sarif_rule) AS rules, 0::BIGINT AS undefined, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'note') AS notes, "
                                            "count(start_line) AS lines, coalesce(sum(start_line), 0)::BIGINT AS line_sum, count(DISTINCT uri) AS uris, sum(length(message))::BIGINT AS message_chars FROM sh GROUP BY ALL"),
         "cat_2_resolved_rules": resolved(), "fix_0_fix_kinds": fix_kinds(),
-        "dep_19_vuln_counts": with_ctes(FIN, select=f"SELECT repo, scan_id, {eco}, count(*) AS deps_count FROM f WHERE kind = 'dependency' GROUP BY repo, scan_id"),
+        "dep_19_vuln_counts": with_ctes(FIN, select=f"SELECT repo, scan_id, {eco}, count(*) FILTER (kind = 'dependency') AS deps_count FROM f GROUP BY repo, scan_id"),
         "win_1_latest_scans": with_ctes(SCANS, "r AS (SELECT *, row_number() OVER (PARTITION BY user_id, owner, repo ORDER BY scanned_at DESC, id DESC) AS rn FROM scans)", select="SELECT user_id, owner, repo, id, scanned_at FROM r WHERE rn = 1"),
         "win_2_previous_scan": with_ctes(SCANS, select="SELECT id, lag(id) OVER w AS prev_id, lag(risk_score) OVER w AS prev_score FROM scans WINDOW w AS (PARTITION BY owner, repo ORDER BY scanned_at, id)"),
         "src_11_scan_history": with_ctes(SCANS, select="SELECT id, scanned_at FROM scans WHERE user_id = 'u1' ORDER BY scanned_at DESC, id LIMIT 50"),

@@ -3,12 +3,14 @@
 import datetime
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
 from fleetrisk.operators import suppress
 from fleetrisk.plans import fleet_scan
-from fleetrisk.sources import sinks, tables
+from fleetrisk.schemas import SUPPRESSION_ROWS
+from fleetrisk.sources import log, sinks, tables
 from fleetrisk.streaming import incremental, quota
 
 
@@ -239,3 +241,46 @@ def test_a_stream_of_files_meets_every_family(spark, files, tmp_path):
     incremental.append_scan(incremental.read_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), F.lit("2025-06-01").cast("date")).awaitTermination()
     kinds = {(r.kind, r.rule_id.split("-")[0]) for r in spark.read.parquet(str(tmp_path / "out")).select("kind", "rule_id").collect()}
     assert {k for k, _ in kinds} == {"secret", "code", "iac"} and ("secret", "entropy") in kinds
+
+
+def stored(spark, *rows):
+    return spark.createDataFrame([(i, u, "o", "r", g, None, None, None, None) for i, u, g in rows], SUPPRESSION_ROWS)
+
+
+def test_suppression_log(spark, tmp_path):
+    """Additions and deletions are merged on read; a deletion writes its own rows only and never touches another user's."""
+    path = str(tmp_path / "log")
+    state = lambda: sorted((r.id, r.user_id, r.path_glob) for r in log.read(spark, path).collect())
+    assert state() == []
+    log.append(stored(spark, ("1", "u1", "a"), ("2", "u2", "b"), ("3", "u1", "c")), path)
+    before = {p: p.read_bytes() for p in tmp_path.rglob("*.parquet")}
+    asked = spark.createDataFrame([("1", "u1"), ("2", "u1"), ("9", "u1")], "id string, user_id string")
+    name = log.delete(asked, path)
+    assert state() == [("2", "u2", "b"), ("3", "u1", "c")] and all(p.read_bytes() == x for p, x in before.items())
+    assert spark.read.parquet(f"{path}/{name}").count() == 3
+    log.append(stored(spark, ("1", "u1", "again"), ("3", "u1", "new")), path)
+    want = [("1", "u1", "again"), ("2", "u2", "b"), ("3", "u1", "new")]
+    assert state() == want
+    # The whole again as plain operators.
+    assert sorted(r.id for r in suppress.delete_rows(log.read(spark, path), asked).collect()) == ["2", "3"]
+    done = log.compact(spark, path)
+    assert state() == want and log.commits(spark, path) == [done]
+    log.delete(spark.createDataFrame([("2", "u2")], "id string, user_id string"), path)
+    assert state() == [("1", "u1", "again"), ("3", "u1", "new")]
+    log.compact(spark, path)
+    assert state() == [("1", "u1", "again"), ("3", "u1", "new")] and len(log.commits(spark, path)) == 1
+    # A commit of an earlier time that finishes only now loses to what was deleted later.
+    log.append(stored(spark, ("2", "u2", "late")), path, seq=1)
+    assert state() == [("1", "u1", "again"), ("3", "u1", "new")]
+
+
+def test_suppression_log_after_a_crash_and_with_two_writers(spark, tmp_path):
+    path = tmp_path / "log"
+    log.append(stored(spark, ("1", "u1", "a")), str(path))
+    # A writer that died between its files has no marker.
+    torn = path / log.append(stored(spark, ("2", "u1", "torn")), str(path))
+    (torn / "_SUCCESS").unlink()
+    assert [r.id for r in log.read(spark, str(path)).collect()] == ["1"]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: log.append(stored(spark, (f"w{k}", "u", "x")), str(path)), range(4)))
+    assert sorted(r.id for r in log.read(spark, str(path)).collect()) == ["1", "w0", "w1", "w2", "w3"]
