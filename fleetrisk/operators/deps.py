@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetrisk.functions.text import strip
@@ -73,25 +70,23 @@ def nested_in_lock(lock_path: Column) -> Column:
     return F.instr(lock_path, "node_modules/") < F.length(lock_path) - F.length(F.substring_index(lock_path, "node_modules/", -1)) - 12
 
 
-def _v1(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of v1 lockfiles, which nest to any depth."""
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            try:
-                doc = json.loads(r.content)
-            except ValueError:
-                continue
-            stack = [(doc.get("dependencies") if isinstance(doc, dict) else None, 0)]
-            while stack:
-                deps, depth = stack.pop()
-                for name, e in (deps.items() if isinstance(deps, dict) else ()):
-                    if isinstance(e, dict):
-                        if e.get("version"):
-                            rows.append((r.repo, r.scan_id, name, str(e["version"]), depth > 0, bool(e.get("dev"))))
-                        stack.append((e.get("dependencies"), depth + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=["repo", "scan_id", "name", "version", "is_transitive", "is_dev"])
+def _v1(old: DataFrame) -> DataFrame:
+    """Entries of v1 lockfiles, which nest to any depth: the ``dependencies`` text of a level's entries is opened as the next level.
+
+    An object is read as a map of texts first, so that an entry that is no object is only left out itself. As many rounds as the deepest file.
+    """
+    def opened(rows: DataFrame, text: Column, depth: int) -> DataFrame:
+        each = rows.select(*KEY, F.explode(F.from_json(text, "map<string,string>")).alias("name", "raw")).where(F.trim("raw").startswith("{"))
+        return each.select(*KEY, "name", F.from_json("raw", "version string, dev string, dependencies string").alias("e"), F.lit(depth > 0).alias("is_transitive"))
+
+    level, found, depth = materialise(opened(old, F.from_json("content", "dependencies string")["dependencies"], 0)), [], 0
+    while True:
+        found.append(level.where(F.col("e.version") != "").select(*KEY, "name", F.col("e.version").alias("version"), "is_transitive", (F.col("e.dev") == "true").alias("is_dev")))
+        below = level.where(F.trim("e.dependencies").startswith("{"))
+        if below.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        depth += 1
+        level = materialise(opened(below, F.col("e.dependencies"), depth))
 
 
 def package_lock(files: DataFrame) -> DataFrame:
@@ -101,8 +96,8 @@ def package_lock(files: DataFrame) -> DataFrame:
                F.coalesce(F.col("e.dev"), F.lit(False)))
     old = _root(files, "package-lock.json").where(
         F.coalesce(F.size(F.from_json("content", LOCK_PACKAGES)["packages"]), F.lit(0)) <= 0)
-    v1 = old.select(*KEY, "content").mapInPandas(_v1, "repo string, scan_id string, name string, version string, is_transitive boolean, is_dev boolean")
-    return v2.unionByName(_deps(v1, "package-lock.json", F.col("name"), F.col("version"), F.col("is_transitive"), F.col("is_dev")))
+    v1 = _v1(old.select(*KEY, "content"))
+    return v2.unionByName(_deps(v1, "package-lock.json", F.col("name"), F.col("version"), F.col("is_transitive"), F.coalesce("is_dev", F.lit(False))))
 
 
 def requirements_txt(files: DataFrame) -> DataFrame:

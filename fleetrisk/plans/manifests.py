@@ -73,6 +73,11 @@ PACKAGE_LOCK = Manifest(
     "package-lock.json", '{"lockfileVersion":3,"packages":{"":{"name":"x"},',
     f'"node_modules/<<{case_of("i + o_orderkey", ["", "a/node_modules/"])}>>pkg<<(o_orderkey + i) % 50>>":{{"version":"<<i>>.<<o_orderkey % 5>>.0","dev":<<{case_of("o_orderkey + i * 2", ["false", "true", "false"])}>>,"license":"<<{case_of("o_orderkey + i", LICENSES)}>>"}}',
     ",", "}}", "(1 + o_orderkey % 4)")
+# The first form of the lockfile: dependencies inside dependencies.
+PACKAGE_LOCK_V1 = Manifest(
+    "package-lock.json", '{"name":"x","lockfileVersion":1,"dependencies":{"odd":"1.0.0",',
+    f'"top<<i>>-<<o_orderkey % 40>>":{{"version":"<<i>>.<<o_orderkey % 5>>.0","dev":<<{case_of("o_orderkey + i", ["false", "true"])}>>,"requires":{{"mid":"^1.0.0"}},"dependencies":{{'
+    f'"mid<<o_orderkey % 30>>":{{"version":"2.<<i>>.0","dependencies":{{"deep":{{"version":"3.0.<<o_orderkey % 3>>","dev":true}}}}}},"@s/leaf":{{"version":"4.<<i>>.1"}}}}}}', ",", "}}", "(1 + o_orderkey % 3)")
 COMPOSER = Manifest("composer.lock", '{"packages":[', f'{{"name":"vendor/p<<i>>","version":"<<{case_of("o_orderkey + i", ["v1.2.", "2.0.", "dev-main", "3@"])}>><<i>>"}}', ",",
                     '],"packages-dev":[{"name":"dev/d","version":"v9.<<o_orderkey % 4>>"}]}', "(1 + o_orderkey % 3)")
 REQUIREMENTS = lines("requirements.txt", ["Django==4.2.1", "flask>=2.0", "requests==2.31.0 ; python_version<'3'", "# note", "numpy == 1.26.4  # pinned",

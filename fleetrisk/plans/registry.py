@@ -361,6 +361,7 @@ def _dep_bumps(spark: SparkSession, sf: str) -> DataFrame:
 def dependency_queries() -> dict[str, Query]:
     return {
         "dep_1_package_json": _manifest(M.PACKAGE_JSON, deps.package_json), "dep_2_package_lock": _manifest(M.PACKAGE_LOCK, deps.package_lock),
+        "dep_2_package_lock_v1": _manifest(M.PACKAGE_LOCK_V1, deps.package_lock),
         "dep_3_requirements": _manifest(M.REQUIREMENTS, deps.requirements_txt), "dep_4_pyproject": _manifest(M.PYPROJECT, deps.pyproject_toml),
         "dep_5_pipfile": _manifest(M.PIPFILE, deps.pipfile), "dep_6_go_mod": _manifest(M.GO_MOD, deps.go_mod),
         "dep_7_gemfile_lock": _manifest(M.GEMFILE_LOCK, deps.gemfile_lock), "dep_8_pom": _manifest(M.POM, deps.pom_xml),

@@ -33,6 +33,11 @@ LOCK = (f"r AS (SELECT 'm' || o_orderkey AS scan_id, 'pkg' || ((o_orderkey + i)
         f"(o_orderkey + i * 2) % 3 = 1 AS is_dev, {case_of('o_orderkey + i', M.LICENSES)} AS license FROM orders, unnest(range(1, 2 + o_orderkey % 4)) AS t(i))")
 
 
+LOCK_V1 = ("n AS (SELECT o_orderkey AS k, i FROM orders, unnest(range(1, 2 + o_orderkey % 3)) AS t(i)), "
+           f"r AS (SELECT 'm' || k AS scan_id, 'top' || i || '-' || (k % 40) AS name, i || '.' || (k % 5) || '.0' AS version, FALSE AS is_transitive, {case_of('k + i', ['false', 'true'])} = 'true' AS is_dev FROM n "
+           "UNION ALL SELECT 'm' || k, 'mid' || (k % 30), '2.' || i || '.0', TRUE, FALSE FROM n UNION ALL SELECT 'm' || k, 'deep', '3.0.' || (k % 3), TRUE, TRUE FROM n UNION ALL SELECT 'm' || k, '@s/leaf', '4.' || i || '.1', TRUE, FALSE FROM n)")
+
+
 def requirements() -> str:
     body = "split_part(split_part(regexp_replace(trim(line), '\\s#.*$', ''), ';', 1), ' --hash=', 1)"
     return _lines(M.REQUIREMENTS, _deps("requirements.txt", f"lower(regexp_extract(b, {q('^(' + _NAME + ')')}, 1))",
@@ -257,6 +262,7 @@ def sql() -> dict[str, str]:
                     select="SELECT scan_id, score, n, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'needs-attention' ELSE 'critical' END AS level FROM sc")
     return {
         "dep_1_package_json": package_json(),
+        "dep_2_package_lock_v1": with_ctes(LOCK_V1, select="SELECT scan_id, name, version, 'package-lock.json' AS source, is_transitive, is_dev FROM r"),
         "dep_2_package_lock": with_ctes(LOCK, select="SELECT scan_id, name, version, 'package-lock.json' AS source, is_transitive, is_dev FROM r"),
         "dep_3_requirements": requirements(), "dep_4_pyproject": pyproject(),
         "dep_5_pipfile": _lines(M.PIPFILE, _deps("Pipfile", "name", "version", "kv"), *_toml(M.PIPFILE, "Pipfile", r"^\[(?:dev-)?packages\]", r"^[\^~>=<!*]+")),
