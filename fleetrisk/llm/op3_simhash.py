@@ -177,7 +177,8 @@ def components(edges: DataFrame) -> DataFrame:
         more = after.groupBy("u").count().where("count > 1").select("u").unionByName(after.join(roots.withColumnRenamed("v", "u"), "u", "left_semi").select("u"))
         now = after
         if more.isEmpty():
-            return now.selectExpr("u node", "v root")
+            # A root hangs below nothing: it is its own row.
+            return now.selectExpr("u node", "v root").unionByName(now.selectExpr("v node", "v root").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:

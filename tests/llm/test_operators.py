@@ -243,6 +243,22 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert all(got.get(i, i) == 1 for i in range(1, 61)) and all(got.get(i, i) == 100 for i in range(100, 160))
 
 
+def test_components_hold_their_roots(spark):
+    got = {r.node: r.root for r in op3_simhash.components(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a bigint, b bigint")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7}
+
+
+def test_simhash_names_the_root_by_the_smallest_id(spark):
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    words_ = [f"w{i}" for i in range(400)]
+    others = (" ".join([*words_[:k], "other", *words_[k + 1 :]]) for k in range(400))
+    near = next(t for t in others if 0 < bin(brute_simhash(" ".join(words_)) ^ brute_simhash(t)).count("1") <= 3)
+    pair = sorted([" ".join(words_), near], key=lambda t: signed(brute_simhash(t)))
+    for ids in ((5, 3), (3, 5)):  # the least fingerprint, which is the component's root, has the larger id, then the smaller one
+        df = spark.createDataFrame(list(zip(ids, pair)), "doc_id bigint, text string")
+        assert {r.doc_id: r.component_id for r in op3_simhash.near_duplicates(df).collect()} == {3: 3, 5: 3}
+
+
 def test_classifiers(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1, 0), (8, 0, 1), (None, 1, 1), (9, None, None), (5, 1, 0), (6, 0, 1)], "doc_id bigint, quality int, toxic int")
     for out in (op4_toxicity.toxicity(awkward, labels), op6_quality.quality(awkward, labels)):
