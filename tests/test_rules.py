@@ -148,3 +148,18 @@ def test_open_calls_take_linear_time():
     start = time.perf_counter()
     sites_of("f(" * 500_000)
     assert time.perf_counter() - start < 8
+
+
+def test_comparisons_are_read_on_their_own_lines():
+    import random
+    import time
+    from fleetrisk.operators.calls import _COMPARE, _compares, sites_of
+    rng = random.Random(7)
+    parts = ["a", "b.c", "1d", "'x'", "\"y\"", "`z`", "'", "==", "===", "!==", " == ", "\n", " ", "(", ",", "\n== q", "r ==\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        assert [m.span() for m in _compares(text)] == [m.span() for m in _COMPARE.finditer(text)], text
+    begin = time.process_time()
+    found = sites_of("x" * 60_000 + "\nif (input.password === 'a') y()")
+    assert time.process_time() - begin < 2  # a long name was read again from each of its characters
+    assert [(s["kind"], s["line_no"]) for s in found if s["kind"] == "compare"] == [("compare", 2)]
