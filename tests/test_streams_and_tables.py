@@ -232,6 +232,16 @@ def test_scans_without_findings_keep_their_rows(spark, files):
     assert {(r.n, r.worst) for r in iam.iam_breakdown(iam.iam_findings(iam.iam_statements(scans)), scans).collect()} == {(0, None)}
 
 
+def test_inventory_is_read_once_by_its_detectors(spark, files):
+    f = files(("requirements.txt", "django==1.2.0\n"), ("a.ts", "x = 1"), ("package-lock.json", '{"lockfileVersion":3,"packages":{"node_modules/p":{"version":"1.0.0"}}}'))
+    licences = spark.createDataFrame([("PyPI", "django", "1.2.0", ["GPL-3.0"])], "ecosystem string, name string, version string, licenses array<string>")
+    found = fleet_scan.detect(f, fleet_scan.kept_small(f), fleet_scan.Snapshots(package_licenses=licences), F.lit("2025-06-01").cast("date"))
+    assert [(r.package, r.license) for r in found["license"].collect()] == [("django", "GPL-3.0")]
+    # What the detector reads is the kept inventory, not ten parsers of the small files.
+    assert "from_json" not in found["license"]._jdf.queryExecution().optimizedPlan().toString()
+    assert fleet_scan.kept_small(f.repartition(40)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_a_stream_of_files_meets_every_family(spark, files, tmp_path):
     from pyspark.sql import functions as F
 
