@@ -10,11 +10,14 @@ from fleetrisk.functions.text import strip
 from fleetrisk.functions.paths import basename
 from fleetrisk.operators.iac import package_scripts
 from fleetrisk.operators.lines import numbered
+from fleetrisk.plans.derived import dealt
 from fleetrisk.schemas import FILE_KEY
 
 CATEGORIES = ["typosquatting", "postinstall", "dependency-confusion", "recently-published", "suspicious-maintainer"]
 PENALTY = {"HIGH": 25, "MEDIUM": 10, "LOW": 3}
 NPM_SECTIONS = ["dependencies", "devDependencies", "optionalDependencies", "peerDependencies"]
+#: Parts that the signals of one scan are spread over.
+SALTS = 16
 OUT = ["repo", "scan_id", "category", "severity", "package", "file", "pattern", "evidence"]
 
 
@@ -205,8 +208,8 @@ def is_registry_spec(spec: Column) -> Column:
 
 def registry_names(files: DataFrame) -> DataFrame:
     """Names resolved from the registry, with the first declaring file per repository."""
-    d = _sections(files).where(is_registry_spec(F.col("spec")))
-    return d.groupBy("repo", "scan_id", "name").agg(F.min("path").alias("file"))
+    d = _sections(files).where(is_registry_spec(F.col("spec"))).select("repo", "scan_id", "name", "path")
+    return dealt(d, "repo", "scan_id", "name").groupBy("repo", "scan_id", "name").agg(F.min("path").alias("file"))
 
 
 def registry_signals(files: DataFrame, meta: DataFrame, as_of: Column) -> DataFrame:
@@ -234,34 +237,47 @@ def level(score: Column) -> Column:
     return F.when(score >= 90, "excellent").when(score >= 70, "good").when(score >= 50, "needs-attention").otherwise("critical")
 
 
-def _cost(cond: Column) -> Column:
-    points = reduce(lambda c, kv: c.when(F.col("severity") == kv[0], kv[1]), PENALTY.items(), F.when(F.lit(False), 0)).otherwise(0)
-    return F.greatest(F.lit(0), 100 - F.sum(F.when(cond, points).otherwise(0))).cast("int")
+def _points(severity: Column) -> Column:
+    return reduce(lambda c, kv: c.when(severity == kv[0], kv[1]), PENALTY.items(), F.when(F.lit(False), 0)).otherwise(0)
 
 
-def _with_scans(findings: DataFrame, scans: DataFrame | None) -> DataFrame:
-    """The columns that scores read; scans without a signal come as a row without severity."""
-    f = findings.select("repo", "scan_id", "category", "severity")
-    if scans is None:
-        return f
-    none = F.lit(None).cast("string")
-    return f.unionByName(scans.select("repo", "scan_id").distinct().select("repo", "scan_id", none.alias("category"), none.alias("severity")))
+def _score(cost: Column) -> Column:
+    return F.greatest(F.lit(0), 100 - cost).cast("int")
+
+
+def _per_scan(findings: DataFrame, scans: DataFrame | None, sums: dict[str, Column]) -> DataFrame:
+    """(repo, scan_id, sums) of the signals of every scan; a scan of ``scans`` without a signal has zeros.
+
+    Scans are as many as the fleet has, so the rows are dealt as wide as the session's shuffles, whatever size adaptive execution would
+    join the parts to: what a task holds is its share of the scans. A scan with very many signals is summed in salted parts first.
+    """
+    salt = F.pmod(F.xxhash64(*[c for c in ("file", "package", "evidence") if c in findings.columns]), F.lit(SALTS))
+    f = dealt(findings.select("repo", "scan_id", "category", "severity", salt.alias("salt")), "repo", "scan_id", "salt")
+    rows = f.groupBy("repo", "scan_id", "salt").agg(*[F.sum(c.cast("bigint")).alias(k) for k, c in sums.items()]).drop("salt")
+    if scans is not None:
+        rows = rows.unionByName(scans.select("repo", "scan_id").distinct().select("repo", "scan_id", *[F.lit(0).cast("bigint").alias(k) for k in sums]))
+    return dealt(rows, "repo", "scan_id").groupBy("repo", "scan_id").agg(*[F.sum(k).alias(k) for k in sums])
 
 
 def supply_scores(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
     """Score, signals and level per scan; with ``scans`` those without a signal score 100."""
-    score = _cost(F.lit(True))
-    return _with_scans(findings, scans).groupBy("repo", "scan_id").agg(score.alias("score"), F.count("severity").alias("n")).withColumn("level", level(F.col("score")))
+    severity = F.col("severity")
+    f = _per_scan(findings, scans, {"cost": _points(severity), "n": F.when(severity.isNotNull(), 1).otherwise(0)})
+    return f.select("repo", "scan_id", _score(F.col("cost")).alias("score"), "n").withColumn("level", level(F.col("score")))
 
 
 def supply_breakdown(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
     """Score and severity counts for each of the five categories; empty ones score 100."""
+    def count(cond: Column) -> Column:
+        return F.when(cond, 1).otherwise(0)
+
+    mine = {f"c{i}": F.col("category") == c for i, c in enumerate(CATEGORIES)}
+    sums = {k: count(m) for k, m in mine.items()} | {f"{k}_{s}": count(m & (F.col("severity") == s)) for k, m in mine.items() for s in PENALTY}
     per = []
-    for c in CATEGORIES:
-        mine = F.col("category") == c
-        per.append(F.struct(F.lit(c).alias("category"), _cost(mine).alias("score"), F.count_if(mine).alias("n"),
-                            *[F.count_if(mine & (F.col("severity") == s)).alias(s.lower()) for s in PENALTY]))
-    return _with_scans(findings, scans).groupBy("repo", "scan_id").agg(F.array(*per).alias("x")).select("repo", "scan_id", F.inline("x"))
+    for k, c in zip(mine, CATEGORIES):
+        cost = reduce(lambda a, b: a + b, [F.col(f"{k}_{s}") * p for s, p in PENALTY.items()])
+        per.append(F.struct(F.lit(c).alias("category"), _score(cost).alias("score"), F.col(k).alias("n"), *[F.col(f"{k}_{s}").alias(s.lower()) for s in PENALTY]))
+    return _per_scan(findings, scans, sums).select("repo", "scan_id", F.inline(F.array(*per)))
 
 
 def manifests_scanned(files: DataFrame) -> DataFrame:

@@ -242,6 +242,28 @@ def test_inventory_is_read_once_by_its_detectors(spark, files):
     assert fleet_scan.kept_small(f.repartition(40)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_supply_sums_are_dealt_as_wide_as_the_session(spark):
+    from fleetrisk.operators import supply
+    cats, sevs = [*supply.CATEGORIES, "other", None], ["HIGH", "MEDIUM", "LOW", "odd", None]
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["hot", "hot", "a", "b", None]), rnd.choice(["s", None]), rnd.choice(cats), rnd.choice(sevs), f"p{rnd.randint(0, 30)}", "package.json", "x", "e") for _ in range(400)]
+    f = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in supply.OUT))
+    scans = spark.createDataFrame([("hot", "s"), ("hot", "s"), ("none", "s"), (None, None)], "repo string, scan_id string")
+    keys = {(r[0], r[1]) for r in rows} | {("hot", "s"), ("none", "s"), (None, None)}
+    points = lambda k, c: sum(supply.PENALTY.get(r[3], 0) for r in rows if (r[0], r[1]) == k and c in (None, r[2]))
+    count = lambda k, c, s=0: sum((r[0], r[1]) == k and r[2] == c and s in (0, r[3]) for r in rows)
+    got, more = supply.supply_scores(f, scans), supply.supply_breakdown(f, scans)
+    assert sorted((str(r.repo), str(r.scan_id), r.score, r.n) for r in got.collect()) == sorted(
+        (str(k[0]), str(k[1]), max(0, 100 - points(k, None)), sum((r[0], r[1]) == k and r[3] is not None for r in rows)) for k in keys)
+    assert sorted(map(str, more.collect())) == sorted(map(str, [
+        type(r)(**r.asDict() | dict(score=max(0, 100 - points((r.repo, r.scan_id), r.category)), n=count((r.repo, r.scan_id), r.category),
+                                    **{s.lower(): count((r.repo, r.scan_id), r.category, s) for s in supply.PENALTY})) for r in more.collect()]))
+    assert more.count() == len(keys) * len(supply.CATEGORIES)
+    # A task's share of the scans does not follow what adaptive execution would join.
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got.rdd.getNumPartitions() == wide and more.rdd.getNumPartitions() == wide
+
+
 def test_a_stream_of_files_meets_every_family(spark, files, tmp_path):
     from pyspark.sql import functions as F
 
