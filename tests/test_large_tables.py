@@ -1,8 +1,12 @@
 """What keeps queries in proportion on large tables."""
 
+import json
+import random
+import time
+
 from pyspark.sql import functions as F
 
-from fleetrisk.operators import iac
+from fleetrisk.operators import iac, iam
 from fleetrisk.plans import derived as D, registry as R
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +20,47 @@ def test_no_stage_runs_a_method_too_long_for_the_jvm_to_compile(spark):
     R.findings(spark, SF)
     assert spark.conf.get(D.LIMIT) == "7000"
     spark.conf.unset(D.LIMIT)
+
+
+def test_stages_of_a_dockerfile_are_parsed_once(files, spark):
+    stages = [f"FROM node:14 AS s{i}" for i in range(300)]
+    f = files(("Dockerfile", "\n".join([*stages, "FROM s7", "FROM --platform=linux/amd64 python:3.7", "FROM unknown:1"])))
+    start = time.perf_counter()
+    got = [(r.line_no, r.severity) for r in iac.eol_base_images(f, F.lit("2025-06-01").cast("date")).orderBy("line_no").collect()]
+    assert got == [*[(i + 1, "high") for i in range(300)], (302, "high")]
+    plan = iac.eol_base_images(f, F.lit("2025-06-01").cast("date"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("--platform") == 1 and time.perf_counter() - start < 60
+
+
+def test_workflow_conditions_test_a_literal_first(files):
+    lines = ["jobs:", "  steps:", "    - USES: someone/tool@main", "    - uses: docker/login@v1", "    - run: |", "        echo ${{ github.head_ref }}", "    - name: x",
+             "        echo ${{ github.head_ref }}", "    - run: echo ${{ github.event.issue.title }}", "  Api_Key: abcdef", "  TOKEN_EXPIRY: 3600", "permissions: write-all"]
+    f = files((".github/workflows/a.yml", "\n".join(lines)))
+    got = {(r.line_no, r.rule_id) for r in iac.github_actions(f).collect()}
+    assert got == {(3, "gha-unpinned-action"), (6, "gha-script-injection"), (9, "gha-script-injection"), (10, "gha-hardcoded-secret-env"), (12, "gha-permissions-write-all")}
+    plan = iac.github_actions(f)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(_lower" in plan and "uses:)" in plan
+
+
+def made(rnd: random.Random, depth: int):
+    kind = rnd.randrange(8 if depth else 5)
+    if kind < 5:
+        return rnd.choice(["*", "s3:Get*", "a b", "Statement: [{}]", "# c", "//", "{", "é'x", "x,]", 1, -2.5, 1e20, True, False, None])
+    if kind == 5:
+        return [made(rnd, depth - 1) for _ in range(rnd.randrange(4))]
+    keys = ["Effect", "Action", "NotAction", "Resource", "Principal", "Condition", "Statement", "a Statement", "Sid", "x", "effect"]
+    return {rnd.choice(keys): made(rnd, depth - 1) for _ in range(rnd.randrange(6))}
+
+
+def test_json_policies_read_by_the_decoder_are_those_of_the_braced_reader():
+    rnd, read = random.Random(5), 0
+    for _ in range(3000):
+        text = json.dumps({"Statement": made(rnd, 4), "other": made(rnd, 3)}, indent=rnd.choice([None, 1]), ensure_ascii=False)
+        if rnd.randrange(3) == 0:
+            text = text.replace('"effect"', '"Effect"').replace('"x"', '"Action"')  # keys that come again
+        got = iam.plain_json(text)
+        read += bool(got)
+        assert got is None or got == iam.braced(text), text
+    assert read > 500
+    assert iam.plain_json('{"Statement": {"Sid": "a\\n"}}') is None and iam.plain_json('{"Statement": {"Sid": ""}}') is None
+    assert iam.plain_json('{"Statement": {"Sid": "a\tb"}}') is None and iam.statements_of("a.json", '{"Statement": [') == []
