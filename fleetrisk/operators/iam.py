@@ -116,11 +116,64 @@ def _statement(entries: dict, line: int | None, evidence: str, effect: str | Non
             "resources": _texts(f.get("resources")), "conditions": None if cond is None else json.dumps(cond), "source_line": line, "raw_snippet": evidence[:EVIDENCE]}
 
 
+#: Where the statements of a policy begin.
+STATEMENTS = re.compile(r"""(?<![\w"])"?Statement"?\s*[:=]\s*(?=[\[{])""")
+
+
+def _word(v):
+    """A JSON value as the braced reader gives it: words stay text."""
+    return "true" if v is True else "false" if v is False else "null" if v is None else [_word(x) for x in v] if type(v) is list else v
+
+
+def _gathered(entries: list[tuple]) -> dict:
+    out: dict = {}
+    for key, v in entries:
+        v = v if type(v) is str else _word(v)
+        out[key] = v if key not in out else (out[key] if isinstance(out[key], list) else [out[key]]) + [v]
+    return out
+
+
+_JSON = json.JSONDecoder(object_pairs_hook=_gathered, parse_int=str, parse_float=str, parse_constant=str)
+
+
+def plain_json(content: str) -> list[dict] | None:
+    """What ``braced`` gives for JSON without escapes, empty strings and control characters in strings, read by the JSON decoder; None for other texts."""
+    if "\\" in content or '""' in content:
+        return None
+    found: dict[int, tuple[dict, int]] = {}
+    try:
+        for m in STATEMENTS.finditer(content):
+            at = m.end()
+            if content.count('"', 0, at) % 2:  # within a string
+                continue
+            if content[at] == "{":
+                found[at] = _JSON.raw_decode(content, at)
+                continue
+            at += 1
+            while True:
+                while content[at] in " \t\r\n,":
+                    at += 1
+                if content[at] == "]":
+                    break
+                v, end = _JSON.raw_decode(content, at)
+                if content[at] == "{":
+                    found[at] = v, end
+                at = end
+    except ValueError:
+        return None
+    out, at, line = [], 0, 1
+    for begin in sorted(found):
+        line, at = line + content.count("\n", at, begin), begin
+        entries, end = found[begin]
+        out.append(_statement(entries, line, content[begin:end]))
+    return out
+
+
 def braced(content: str) -> list[dict]:
     """Statements of JSON and Terraform texts: what stands under a key Statement, and the statement blocks of policy documents."""
     close = pairs(content)
     out, found = [], []
-    for m in re.finditer(r"""(?<![\w"])"?Statement"?\s*[:=]\s*(?=[\[{])""", content):
+    for m in STATEMENTS.finditer(content):
         begin = m.end()
         if begin in close:
             inside = [begin] if content[begin] == "{" else [i for i in _children(content, close, begin) if content[i] == "{"]
@@ -215,7 +268,9 @@ def indented(content: str) -> list[dict]:
 def statements_of(path: str, content: str) -> list[dict]:
     p = path.lower()
     if p.endswith(".json"):
-        return braced(content) if _is_json(content) else []
+        if not _is_json(content):
+            return []
+        return braced(content) if (plain := plain_json(content)) is None else plain
     if p.endswith(".tf"):
         return braced(content)
     return indented(content) if p.endswith((".yml", ".yaml")) else []
