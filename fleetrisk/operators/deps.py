@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fleetrisk.functions.text import strip
+from fleetrisk.functions.text import bound, strip
 from fleetrisk.functions import severity as sev
 from fleetrisk.functions.versions import in_interval, in_range, interval_text, intervals, keyed, parse_range, version_key
 from fleetrisk.operators.lines import explode_lines, fold_hits
@@ -103,12 +103,17 @@ def package_lock(files: DataFrame) -> DataFrame:
 def requirements_txt(files: DataFrame) -> DataFrame:
     """Only ``==`` pins; comments, options, markers and hashes are dropped."""
     lines = explode_lines(_root(files, "requirements.txt"))
-    t = strip(F.regexp_replace("line", r"\r", ""))
-    lines = lines.where((t != "") & ~t.startswith("#") & ~t.startswith("-"))
+    t = strip(F.replace("line", F.lit("\r"), F.lit("")))
+    lines = lines.where(t.contains("==") & (t != "") & ~t.startswith("#") & ~t.startswith("-"))
     body = F.substring_index(F.substring_index(F.regexp_replace(t, r"\s#.*$", ""), ";", 1), " --hash=", 1)
-    name = F.regexp_extract(body, f"^({_NAME})", 1)
-    rest = F.substr(body, F.length(name) + 1)
-    return _deps(lines, "requirements.txt", F.lower(name), F.regexp_extract(rest, _PINNED, 1))
+
+    def pin(body: Column) -> Column:
+        return bound(F.regexp_extract(body, f"^({_NAME})", 1), lambda name: F.struct(
+            F.lower(name).alias("name"), F.regexp_extract(F.substr(body, F.length(name) + 1), _PINNED, 1).alias("version")))
+
+    # A generator of one row: the filter on the columns stays above it, so that no line is taken apart a second time for it.
+    lines = lines.select(*KEY, F.inline(F.array(bound(body, pin))))
+    return _deps(lines, "requirements.txt", F.col("name"), F.col("version"))
 
 
 def _table_entries(files: DataFrame, source: str, header: str, version) -> DataFrame:

@@ -120,7 +120,8 @@ def patches(findings: DataFrame, files: DataFrame) -> DataFrame:
 
     def req(l: Column) -> Column:
         name = F.regexp_extract(strip(l), r"^([A-Za-z0-9_.\-]+)\s*(?:[=<>!~]=|>|<)\s*.+$", 1)
-        return bound(name, lambda x: F.when((x != "") & (F.lower(x) == F.lower(pkg)), F.concat(x, F.lit("=="), safe)).otherwise(l))
+        bumped = bound(name, lambda x: F.when((x != "") & (F.lower(x) == F.lower(pkg)), F.concat(x, F.lit("=="), safe)).otherwise(l))
+        return F.when(F.contains(F.lower(l), F.lower(pkg)), bumped).otherwise(l)  # only lines that hold the name are taken apart
 
     pip = F.array_join(F.transform("lines", req), "\n")
     dep = F.when(F.col("path").endswith("package.json"), npm).otherwise(pip)
