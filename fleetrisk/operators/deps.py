@@ -292,8 +292,9 @@ def version_matches(versions: DataFrame, affected: DataFrame) -> DataFrame:
     gives is a match; work follows the versions, the intervals and the matches.
     """
     pkg = ["ecosystem", "name"]
-    v = versions.withColumn("vk", version_key(F.col("version")))
-    listed = affected.select(*pkg, "adv", F.explode("versions").alias("version")).join(versions, [*pkg, "version"])
+    # Kept: a filter on the keys would be pushed below the distinct and make a key for each row of the inventory, in each of the readings below.
+    v = materialise(versions.withColumn("vk", version_key(F.col("version"))))
+    listed = affected.select(*pkg, "adv", F.explode("versions").alias("version")).join(v.select(*pkg, "version"), [*pkg, "version"])
     iv = affected.select(*pkg, "adv", F.posexplode("iv").alias("nth", "x"))
     # A bound that cannot be read satisfies nothing.
     iv = iv.where((F.col("x.open_lo") | F.col("x.lo").isNotNull()) & (~F.col("x.has_fixed") | F.col("x.fixed").isNotNull()) & (~F.col("x.has_last") | F.col("x.last").isNotNull()))
@@ -333,12 +334,14 @@ def version_matches(versions: DataFrame, affected: DataFrame) -> DataFrame:
 
 def osv_findings(deps: DataFrame, osv: DataFrame) -> DataFrame:
     """OSV advisories per dependency: matched on the fleet's distinct versions, then returned to the repositories by equality."""
-    d = deps.where(F.col("ecosystem") != "npm")
+    # Read twice, for its distinct versions and for its repositories.
+    d = materialise(deps.where(F.col("ecosystem") != "npm"))
     # The snapshot's rows are numbered, so they must not be made anew.
     affected = materialise(osv_affected(osv).withColumn("adv", F.monotonically_increasing_id()))
     m = version_matches(d.select("ecosystem", "name", "version").distinct(), affected)
     m = m.join(affected.drop("ecosystem", "name", "iv", "versions"), "adv").drop("adv")
-    j = d.join(m, ["ecosystem", "name", "version"])
+    # A merge join holds a key's rows of the right side: the narrow ones, not the advisories' texts.
+    j = m.join(d, ["ecosystem", "name", "version"])
     return as_findings(j, "dependency", rule_id=F.col("id"), package=F.col("name"))
 
 

@@ -180,3 +180,17 @@ def test_a_package_with_many_versions_and_advisories(spark):
     affected = spark.range(10_000).select(F.lit("PyPI").alias("ecosystem"), F.lit("p").alias("name"), n.alias("adv"), F.array(x).alias("iv"), F.array().cast("array<string>").alias("versions"))
     got = deps.version_matches(versions, affected)
     assert got.count() == 29_997 and got.where("CAST(substring(version, 3) AS INT) - adv NOT BETWEEN 0 AND 2").count() == 0
+
+
+def test_osv_keys_are_made_once_for_each_version(spark):
+    """The inventory and the versions' keys are kept: no later reading of them tests or makes a key for each row of the inventory."""
+    end = "introduced string, fixed string, last_affected string"
+    osv = spark.createDataFrame([("X-1", None, None, None, None, None, [(("p", "PyPI"), [("ECOSYSTEM", [("0", None, None), (None, "2.0", None)])], ["odd"])])],
+                                "id string, summary string, aliases array<string>, severity array<struct<type:string,score:string>>, database_specific struct<severity:string>, references array<struct<type:string,url:string>>, "
+                                f"affected array<struct<package:struct<name:string,ecosystem:string>,ranges:array<struct<type:string,events:array<struct<{end}>>>>,versions:array<string>>>")
+    rows = [(r, "s", "PyPI", "p", v, "requirements.txt", False, False) for r in ("a", "b", "b") for v in ("1.0", "2.0", "odd")]
+    rows += [("a", "s", "npm", "p", "1.0", "package.json", False, False)]
+    d = spark.createDataFrame(rows, "repo string, scan_id string, ecosystem string, name string, version string, source string, is_transitive boolean, is_dev boolean")
+    got = deps.osv_findings(d, osv)
+    assert r"\d+!" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.repo, r.version) for r in got.collect()) == [(r, v) for r in ("a", "b") for v in ("1.0", "odd") for _ in range(1 if r == "a" else 2)]
