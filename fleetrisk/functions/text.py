@@ -97,14 +97,15 @@ def self_reference(line: Column, pos: Column) -> Column:
 
     Either the match sits between two unescaped slashes of a regex literal, or a
     ``pattern:``-like marker stands before it. Escaped slashes are blanked first, so
-    "nearest unescaped slash" becomes a plain end-anchored test.
+    "nearest unescaped slash" becomes a plain end-anchored test. Text before the match without
+    a slash or a colon reaches no regex.
     """
-    blank = F.lit("  ")
-    head = F.replace(F.substr(line, F.lit(1), pos - 1), F.lit("\\/"), blank)
+    blank, before = F.lit("  "), F.substr(line, F.lit(1), pos - 1)
+    head = F.replace(before, F.lit("\\/"), blank)
     at = F.substr(line, pos, F.lit(1))
     tail = F.substr(F.replace(F.substr(line, pos), F.lit("\\/"), blank), F.lit(2))
     opened = head.rlike(r"/(?:[^/*][^/]*)?$") & ~(head.endswith("/") & at.isin("/", "*"))
-    return (opened & tail.contains("/")) | F.substr(line, F.lit(1), pos - 1).rlike(DETECTOR_MARKER)
+    return (before.contains("/") & opened & tail.contains("/")) | (before.contains(":") & before.rlike(DETECTOR_MARKER))
 
 
 def after_prose_marker(line: Column, pos: Column) -> Column:

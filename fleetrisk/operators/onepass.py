@@ -65,7 +65,8 @@ def _gates(fam: Family) -> dict[str, Column]:
 def _line_hits(fam: Family) -> list[Column]:
     """Hits of one family on a line as text, ``id:offset,`` each; empty without a hit.
 
-    A miss costs a literal test and allocates nothing; offsets are computed on hits only.
+    A miss costs a literal test and allocates nothing; offsets are computed on hits only, and not here (0) where every match is wanted:
+    those are placed one by one later.
     """
     live = f"`_v_{fam.name}`"
     found = []
@@ -73,7 +74,8 @@ def _line_hits(fam: Family) -> list[Column]:
         p = sql_str(r.pattern)
         gate = f"_g_{fam.name}_{'_'.join(r.gate)}"
         tests = [f"`{gate}`", may_match("_lower", r.pattern), f"line RLIKE {p}", f"NOT line RLIKE {sql_str(r.suppress)}" if r.suppress else ""]
-        found.append(f"CASE WHEN {' AND '.join(t for t in tests if t)} THEN concat({sql_str(r.id + ':')}, CAST(regexp_instr(line, {p}) AS STRING), ',') END")
+        hit = sql_str(r.id + ":0,") if fam.matches else f"concat({sql_str(r.id + ':')}, CAST(regexp_instr(line, {p}) AS STRING), ',')"
+        found.append(f"CASE WHEN {' AND '.join(t for t in tests if t)} THEN {hit} END")
     out = [F.expr(f"CASE WHEN {live} THEN concat_ws('', {', '.join(found)}) END")] if found else []
     return out + [F.when(F.col(f"_v_{fam.name}") & cond(), F.lit(f"{r.id}:1,")) for r, cond in fam.conditions]
 
@@ -123,13 +125,20 @@ def _hits_of(f: DataFrame, families: list[Family], keep: list[str], whole: bool)
                      line=none, severity=none, description=none)
 
     # The explode is the only filter: a where() on the hits would be pushed below and run every rule twice.
-    hits = F.when((F.col("_hits") != "") & F.col("_read"), F.transform(F.filter(F.split("_hits", ","), lambda t: t != ""), parse))
+    some = (F.col("_hits") != "") & F.col("_read")
+    packs = {i: fam.name for fam in families for i in dict.fromkeys(r.id for r in fam.all_rules())}
+    pack = F.lit(families[0].name) if len(families) == 1 else F.element_at(sql_map(list(packs.items())), F.col("h.rule_id"))
+    keep = [*keep, F.col("line").alias("_line")]
     if whole:
+        hits = F.when(some, F.transform(F.filter(F.split("_hits", ","), lambda t: t != ""), parse))
         own = F.when((F.col("_p") == 0) & (F.size("_fh") > 0), F.col("_fh"))
         hits = F.when(own.isNull(), hits).otherwise(F.concat(F.coalesce(hits, _empty()), own))
-    packs = sql_map([(i, fam.name) for fam in families for i in dict.fromkeys(r.id for r in fam.all_rules())])
-    h = f.select(*keep, F.col("line").alias("_line"), F.explode(hits).alias("h"))
-    return h.withColumn("pack", F.element_at(packs, F.col("h.rule_id")))
+        h = f.select(*keep, F.explode(hits).alias("h"))
+    else:
+        # Hits leave as texts and are read in their own rows, so that no lambda is interpreted for them.
+        h = f.select(*keep, F.explode(F.when(some, F.split(F.expr("substr(_hits, 1, length(_hits) - 1)"), ","))).alias("_t"))
+        h = h.withColumn("h", parse(F.col("_t"))).drop("_t")
+    return h.withColumn("pack", pack)
 
 
 def _every_match(hits: DataFrame, families: list[Family]) -> DataFrame:
@@ -137,21 +146,38 @@ def _every_match(hits: DataFrame, families: list[Family]) -> DataFrame:
     many = [fam for fam in families if fam.matches]
     if not many:
         return hits.withColumn("match", F.lit(None).cast("string"))
-    patterns = sql_map([(r.id, r.pattern) for fam in many for r in fam.rules])
-    found = F.regexp_extract_all(F.col("line"), F.element_at(patterns, F.col("rule_id")), F.lit(0))
     start = named(out=F.array().cast("array<struct<m:string,at:int>>"), next=F.lit(1))
 
+    def placed(m: Column, start: Column) -> Column:
+        return F.call_function("locate", m, F.col("line"), start)
+
     def step(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, F.col("line"), acc["next"])
+        at = placed(m, acc["next"])
         return named(out=F.concat(acc["out"], F.array(named(m=m, at=at))), next=at + F.length(m))
 
-    pairs = F.when(F.col("pack").isin([fam.name for fam in many]), F.aggregate(found, start, step)["out"]).otherwise(
-        F.array(named(m=F.lit(None).cast("string"), at=F.col("pos"))))
-    cols = [c for c in hits.columns if c != "pos"]
+    # Each pattern is a literal, compiled once in a task; one looked up for each row is compiled anew whenever the rule changes.
+    wanted = F.col("pack").isin([fam.name for fam in many])
+    found = _by_rule(many, lambda r: F.regexp_extract_all(F.col("line"), F.lit(r.pattern), F.lit(0)))
+    hits = hits.withColumn("_found", F.when(wanted, found))
+    one = F.array(named(m=F.col("_found")[0], at=placed(F.col("_found")[0], F.lit(1))))
+    pairs = F.when(~wanted, F.array(named(m=F.lit(None).cast("string"), at=F.col("pos")))).when(F.size("_found") == 1, one).otherwise(
+        F.aggregate("_found", start, step)["out"])
+    hits = hits.withColumn("_pairs", pairs).drop("_found")
+    # Not the bare column: Spark would test its size below, and so make it twice.
+    pairs = F.when(F.col("rule_id") != "", F.col("_pairs"))
+    cols = [c for c in hits.columns if c not in ("pos", "_pairs")]
     out = hits.select(*cols, F.explode(pairs).alias("_z"))
     return out.select(*cols, F.col("_z.m").alias("match"), F.col("_z.at").alias("pos")).where(F.coalesce(F.length("match"), F.lit(1)) > 0)
 
 
+def _by_rule(families: list[Family], value: Callable[[Rule], Column]) -> Column:
+    out = None
+    for r in {r.id: r for fam in families for r in fam.rules}.values():
+        cond = F.col("rule_id") == r.id
+        out = F.when(cond, value(r)) if out is None else out.when(cond, value(r))
+    return F.array().cast("array<string>") if out is None else out
+
+
 def _by_pack(families: list[Family], value: Callable[[Family], Column | None]) -> Column:
     out = None
     for fam in families:
