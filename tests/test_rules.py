@@ -163,3 +163,24 @@ def test_comparisons_are_read_on_their_own_lines():
     found = sites_of("x" * 60_000 + "\nif (input.password === 'a') y()")
     assert time.process_time() - begin < 2  # a long name was read again from each of its characters
     assert [(s["kind"], s["line_no"]) for s in found if s["kind"] == "compare"] == [("compare", 2)]
+
+
+def test_each_match_is_looked_for_once(files):
+    """No offset of a token line beside its matches; its pattern is a literal and not run a second time for a filter below."""
+    rule = next(r for r in X.SECRET_RULES if r.id == "github-pat")
+    a, b = "ghp_" + H[:36], "ghp_" + "z" * 36
+    found = secrets.token_secrets(files(("a.ts", f"{a} {b} {a}\n\n// a: {b}\nrule: {a}\n/{b}/")), rules=[rule])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_instr" not in plan and plan.count("regexp_extract_all(") == 1 and "element_at(map(keys: [github-pat], values: [\\b" not in plan
+    assert sorted(r.line_no for r in found.collect()) == [1, 1, 1, 3]
+
+
+def test_history_matches_are_looked_for_once(spark, files):
+    rule = next(r for r in X.SECRET_RULES if r.id == "github-pat")
+    a, b = "ghp_" + H[:36], "ghp_" + "z" * 36
+    commits = spark.createDataFrame([("o/r", "s", "c", None, None, "me", None, [("f.ts", f"@@ -1 +5,3 @@\n+{a} {b} {a}\n+x\n+held {b}")])],
+                                    "repo string, scan_id string, sha string, author_date timestamp, committer_date timestamp, author_name string, committer_name string, files array<struct<filename:string,patch:string>>")
+    got = secrets.history_secrets(commits, secrets.token_secrets(files(("f.ts", f"held {b}")), rules=[rule]), rules=[rule])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_instr" not in plan and plan.count("regexp_extract_all(") == 2  # one of the history, one of the tree
+    assert sorted(r.line_no for r in got.collect()) == [5, 5, 5]
