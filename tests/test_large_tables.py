@@ -34,6 +34,17 @@ def test_stages_of_a_dockerfile_are_parsed_once(files, spark):
     assert plan.count("--platform") == 1 and time.perf_counter() - start < 60
 
 
+def test_lines_of_a_dockerfile_are_cut_once_for_all_rules(files):
+    rows = ["from node:18", "RUN x | sh", "RUN curl x | sh", "env TOKEN=abcdefgh1", "ADD HTTPS://x/y .", "RUN apt-get install a=1", "RUN apt install b", "RUN chmod 777 /x", "User root"]
+    f = files(("Dockerfile", "\n".join(rows)), ("a/Dockerfile", "FROM node:18\nUSER app"), ("b/Dockerfile", "RUN x"), ("c/Dockerfile", ""))
+    d = iac.dockerfile(f)
+    got = sorted((r.file_path, r.line_no, r.rule_id.removeprefix("dockerfile-")) for r in d.collect())
+    assert got == [("Dockerfile", 1, "user-root"), ("Dockerfile", 3, "curl-pipe-sh"), ("Dockerfile", 4, "secret-in-env"), ("Dockerfile", 5, "add-url"), ("Dockerfile", 7, "apt-noconfirm-no-pin"),
+                   ("Dockerfile", 8, "chmod-777"), ("Dockerfile", 9, "user-root-explicit"), ("b/Dockerfile", 1, "user-root"), ("c/Dockerfile", 1, "user-root")]
+    # Once for the rules, once for the lines that are scanned.
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("split(content") <= 3
+
+
 def test_workflow_conditions_test_a_literal_first(files):
     lines = ["jobs:", "  steps:", "    - USES: someone/tool@main", "    - uses: docker/login@v1", "    - run: |", "        echo ${{ github.head_ref }}", "    - name: x",
              "        echo ${{ github.head_ref }}", "    - run: echo ${{ github.event.issue.title }}", "  Api_Key: abcdef", "  TOKEN_EXPIRY: 3600", "permissions: write-all"]
